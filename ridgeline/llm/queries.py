@@ -29,10 +29,37 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def tokenizer_file() -> str:
+    """The public vocabulary that the contracts name."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ridgeline.llm.packing import pack
+
+    return pack(documents(spark, sf_dir), tokenizer_file())
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ridgeline.llm.bpe import decode, encode
+
+    found = decode(encode(documents(spark, sf_dir), tokenizer_file()), tokenizer_file())
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_media_columns": op2_media_columns,
     "op3_simhash": op3_simhash,
+    "op4_packing": op4_packing,
+    "op9_bpe": op9_bpe,
 }
 
 SPACES = r"'[\x20\x09-\x0D]+'"
