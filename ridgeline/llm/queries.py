@@ -42,6 +42,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer_file())
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ridgeline.llm.repeats import remove_repeats
+
+    return remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ridgeline.llm.bpe import decode, encode
 
@@ -59,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media_columns": op2_media_columns,
     "op3_simhash": op3_simhash,
     "op4_packing": op4_packing,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op9_bpe": op9_bpe,
 }
 
