@@ -48,6 +48,20 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ridgeline.llm.html_text import extract_text
+
+    return extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ridgeline.llm.language import learn, predict
+
+    rows = documents(spark, sf_dir)
+    found = predict(rows.select("doc_id", "text"), learn(rows))
+    return found.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ridgeline.llm.bpe import decode, encode
 
@@ -66,6 +80,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_packing": op4_packing,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_html_text": op7_html_text,
+    "op8_language": op8_language,
     "op9_bpe": op9_bpe,
 }
 
