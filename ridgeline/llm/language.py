@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.llm.common import narrow
@@ -147,12 +147,9 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return train([r["text"] for r in found], [r["lang"] for r in found])
 
 
-def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of df, with lang_pred, score, rejected.
-
-    A null text or one without a letter is `und` with score 0 and rejected, as is every row if there is no model.
-    """
-    sent = df.sparkSession.sparkContext.broadcast(model)
+def language_of(text: Column, model: Model | None) -> Column:
+    """struct<lang_pred, score, rejected> of a text column; see predict()."""
+    sent = SparkSession.active().sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def language(text: pd.Series) -> pd.DataFrame:
@@ -165,4 +162,17 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
             names[known], score[known] = np.array(m.languages, object)[best], p[np.arange(len(p)), best]
         return pd.DataFrame({"lang_pred": names, "score": score, "rejected": ~known | (score < (m.reject_below if m else 1))})
 
-    return df.withColumn("_found", language(text_col)).select("*", "_found.*").drop("_found")
+    return language(text)
+
+
+def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, lang_pred, score, rejected: one row per input row.
+
+    A null text or one without a letter is `und` with score 0 and rejected, as is every row if there is no model.
+    """
+    return df.select(F.col(id_col).alias("doc_id"), language_of(F.col(text_col), model).alias("found")).select("doc_id", "found.*")
+
+
+def keep_known(df: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows of df whose language isn't rejected, all columns as they are."""
+    return df.where(~language_of(F.col(text_col), model)["rejected"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.llm.common import documents
@@ -42,6 +42,18 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer_file())
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ridgeline.llm.pii import KINDS, find_personal_data
+
+    found = find_personal_data(documents(spark, sf_dir))
+    listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, KINDS), F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ridgeline.llm.repeats import remove_repeats
 
@@ -58,7 +70,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ridgeline.llm.language import learn, predict
 
     rows = documents(spark, sf_dir)
-    found = predict(rows.select("doc_id", "text"), learn(rows))
+    found = predict(rows, learn(rows))
     return found.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "lang_pred", "score")
 
 
@@ -74,15 +86,24 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ridgeline.llm.line_dedup import dedup_lines
+
+    found = dedup_lines(documents(spark, sf_dir))
+    return found.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_media_columns": op2_media_columns,
     "op3_simhash": op3_simhash,
     "op4_packing": op4_packing,
+    "op5_personal_data": op5_personal_data,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_html_text": op7_html_text,
     "op8_language": op8_language,
     "op9_bpe": op9_bpe,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 SPACES = r"'[\x20\x09-\x0D]+'"

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.llm.common import components, join_groups, narrow, written
@@ -43,15 +43,19 @@ def fingerprint(text: str, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long): one row per input row; null text counts as empty."""
+def fingerprint_of(text: Column, shingle: int = 3) -> Column:
+    """The 64 bits as a signed long; null text counts as empty."""
+
+    @F.pandas_udf("long")
+    def fp(text: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t or "", shingle) for t in text], np.uint64).view(np.int64))
+
+    return fp(text)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": np.array([fingerprint(t, shingle) for t in b["text"]], np.uint64).view(np.int64)})
 
-    rows = narrow(df, id_col, text_col)
-    return rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """doc_id, fp: one row per input row."""
+    return narrow(df, id_col, text_col).select("doc_id", fingerprint_of(F.col("text"), shingle).alias("fp"))
 
 
 def _expand(la: np.ndarray, ha: np.ndarray, lb: np.ndarray, hb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,20 +175,41 @@ def fingerprint_links(fps: DataFrame, count: int, budget: int = BUDGET, per_node
     return dealt.groupBy("a", "b").applyInPandas(_links(depth, budget), "u long, v long")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, budget: int = BUDGET, per_node: int = PER_NODE) -> DataFrame:
-    """One row per input row: doc_id, fp long, component_id (smallest id reachable over links of at most `budget` bits).
+def _components_of(docs: DataFrame, budget: int, per_node: int) -> tuple[DataFrame, int]:
+    """(fp, copies, component_id, kept) per distinct fingerprint of docs (doc_id, fp, place), and the number of docs.
 
-    Null and empty texts have fingerprint 0 and link like any other. Rows with a null id keep their fingerprint; a
-    component of null ids alone has a null component_id. Repeated rows share a component. Empty table: no rows.
+    kept is the place of the row that stays for its component, null if that row has another fingerprint.
     """
-    docs = written(fingerprints(df, id_col, text_col, shingle), "fingerprints")
-    fps = written(docs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "distinct")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")).alias("best")
+    fps = written(docs.groupBy("fp").agg(best, F.count("*").alias("copies")), "distinct")
     count, total = fps.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
     if not total:
-        return docs.select("doc_id", "fp", F.col("doc_id").alias("component_id"))
+        return fps.select("fp", "copies", F.col("best.doc_id").alias("component_id"), F.col("best.place").alias("kept")), 0
     roots = components(fingerprint_links(fps, count, budget, per_node))
     linked = fps.join(roots.withColumnRenamed("node", "fp"), "fp")
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = linked.join(least, "root").select("fp", "component_id")
-    groups = written(fps.join(of.withColumnRenamed("component_id", "of"), "fp", "left").select("fp", "copies", F.coalesce("of", "least").alias("component_id")), "components")
+    least = linked.groupBy("root").agg(F.min("best").alias("of"))
+    of = linked.join(least, "root").select("fp", "of")
+    whole = fps.join(of, "fp", "left").withColumn("of", F.coalesce("of", "best"))
+    return written(whole.select("fp", "copies", F.col("of.doc_id").alias("component_id"), F.when(F.col("of.place") == F.col("best.place"), F.col("of.place")).alias("kept")), "components"), total
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, budget: int = BUDGET, per_node: int = PER_NODE) -> DataFrame:
+    """One row per input row: doc_id, fp long, component_id (smallest id reachable over links of at most `budget` bits).
+
+    Null and empty texts have fingerprint 0 and link like any other. Rows with a null id keep their fingerprint; a
+    component of null ids alone has a null component_id. Repeated rows share a component. Empty table: no rows.
+    """
+    docs = written(fingerprints(df, id_col, text_col, shingle).withColumn("place", F.monotonically_increasing_id()), "fingerprints")
+    groups, total = _components_of(docs, budget, per_node)
     return join_groups(docs, groups, "fp", "copies", total).select("doc_id", "fp", "component_id")
+
+
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, budget: int = BUDGET, per_node: int = PER_NODE) -> DataFrame:
+    """One row of df for each component of near_duplicates(): that of the smallest id, null ids last; of rows that
+    repeat this id a single one. All columns stay as they are. Empty table: no rows."""
+    names = {c: f"_c{i}" for i, c in enumerate(df.columns)}
+    rows = df.select(*(F.col(f"`{c}`").alias(v) for c, v in names.items()))
+    rows = written(rows.withColumn("fp", fingerprint_of(F.col(names[text_col]), shingle)).withColumn("place", F.monotonically_increasing_id()), "near-input")
+    groups, _ = _components_of(rows.select(F.col(names[id_col]).alias("doc_id"), "fp", "place"), budget, per_node)
+    stay = groups.where("kept is not null").select(F.col("kept").alias("place"))
+    return rows.join(stay, "place", "left_semi").select(*(F.col(v).alias(c) for c, v in names.items()))
