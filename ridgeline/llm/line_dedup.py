@@ -4,7 +4,7 @@ A line is the set of its words (runs without white space). Words are ordered by
 corpus count of each hash bucket of words, as one byte on a logarithmic scale. Lines with equal sets collapse into one
 row before anything is compared. Two sets of Jaccard >= 4/5 share a word among the first few of each in that order
 (prefix filter); pairs that do are kept if their sizes (length filter) and the places of the shared word (positional
-filter) allow the threshold, and are then verified on the words themselves.
+filter) and 64-bit parity sketches allow the threshold, and are then verified on the words themselves.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from ridgeline.llm.common import SPACE, written
 
 BUCKETS = 1 << 18  # bytes of the rarity table, whatever the input
 HASH_BITS = 56
+BROADCAST_LINES = 500_000  # lines to verify, below which their places are broadcast (some 20 MB)
 
 
 def words(line: Column) -> Column:
@@ -23,19 +24,20 @@ def words(line: Column) -> Column:
     return F.array_remove(F.array_distinct(F.split(line, SPACE)), "")
 
 
-def _ceil(times: int, n: Column, by: int) -> Column:
-    return F.floor((n * times + (by - 1)) / by).cast("int")
+def _hashes(line: Column) -> Column:
+    """64-bit hashes of the distinct words of a line."""
+    return F.array_remove(F.array_distinct(F.transform(F.split(line, SPACE), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
-def _lines(rows: DataFrame) -> DataFrame:
-    return rows.select("row", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+def _ceil(times: int, n: Column, by: int) -> Column:
+    return F.floor((n * times + (by - 1)) / by).cast("int")
 
 
 def rarity_table(lines: DataFrame) -> DataFrame:
     """One row, one binary column of BUCKETS bytes: how common the words of each hash bucket are over all lines."""
     spark = lines.sparkSession
-    bucket = F.xxhash64("word").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket")
-    counts = lines.select(F.explode(words(F.col("line"))).alias("word")).select(bucket).groupBy("bucket").agg(F.count("*").alias("n"))
+    bucket = F.col("h").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket")
+    counts = lines.select(F.explode(_hashes(F.col("line"))).alias("h")).select(bucket).groupBy("bucket").agg(F.count("*").alias("n"))
     every = spark.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"), F.lit(0).cast("long").alias("n"))
     level = F.least(F.lit(120), F.floor(F.log2(F.sum("n") + 1) * 4)).cast("int")
     levels = counts.unionByName(every).groupBy("bucket").agg(F.lpad(F.hex(level), 2, "0").alias("hex"))
@@ -46,75 +48,82 @@ def rarity_table(lines: DataFrame) -> DataFrame:
 def _codes(line: Column, table: Column) -> Column:
     """Sorted codes of a line's words: rarity in the top byte, the word's hash in the other 56 bits."""
 
-    def code(word: Column) -> Column:
-        h = F.xxhash64(word)
+    def code(h: Column) -> Column:
         place = h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1
         rarity = F.ascii(F.substring(table, place, F.lit(1)).cast("string")).cast("long")
         return F.shiftleft(rarity, HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
 
-    return F.sort_array(F.transform(words(line), code))
+    return F.sort_array(F.transform(_hashes(line), code))
 
 
 def line_sets(lines: DataFrame) -> DataFrame:
-    """One row per distinct set of words: n, its first line (row, line_no, line) and the codes of its prefix.
+    """One row per distinct set of words: n, its first line (doc, line_no), its prefix and its sketch.
 
-    Sets are told apart by 96 bits of hashes of all their codes.
+    Sets are told apart by 96 bits of hashes of all their codes. The prefix holds 31 bits of each code; a sketch bit is
+    the parity of the number of words whose hash falls on it.
     """
     table = rarity_table(lines)
-    coded = lines.withColumn("table", table.scalar()).select("row", "line_no", "line", _codes(F.col("line"), F.col("table")).alias("codes"))
+    coded = lines.withColumn("table", table.scalar()).select("doc", "line_no", _codes(F.col("line"), F.col("table")).alias("codes"))
     n = F.size("codes")
-    keyed = coded.where(n > 0).select(
-        F.xxhash64("codes").alias("k1"),
-        F.hash("codes").alias("k2"),
-        F.struct("row", "line_no", "line", n.alias("n"), F.transform(F.slice("codes", 1, n - _ceil(4, n, 5) + 1), lambda c: c.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("prefix")).alias("s"),
-    )
-    return keyed.groupBy("k1", "k2").agg(F.min("s").alias("s")).select("s.*")
+    prefix = F.transform(F.slice("codes", 1, F.when(n > 4, n - _ceil(4, n, 5) + 1).otherwise(0)), lambda c: c.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(c, 31).bitwiseAND(F.lit(63)).cast("int"))
+    sketch = F.aggregate("codes", F.lit(0).cast("long"), lambda bits, c: bits.bitwiseXOR(bit(c)))
+    keyed = coded.select(F.xxhash64("codes").alias("k1"), F.hash("codes").alias("k2"), F.struct("doc", "line_no", n.alias("n"), sketch.alias("sketch"), prefix.alias("prefix")).alias("s"))
+    return keyed.groupBy("k1", "k2").agg(F.min("s").alias("s")).select("s.*").where("n > 0")
 
 
 def candidate_pairs(sets: DataFrame) -> DataFrame:
-    """(a, b) ids of sets that the prefix, length and positional filters leave; each pair once. a is the larger set."""
-    kept = sets.where("n > 4").select("id", "n", "prefix")  # smaller sets reach 4/5 only when equal
-    at = lambda size, side: kept.select(F.col("id").alias(f"id_{side}"), F.col("n").alias(f"n_{side}"), F.posexplode(F.slice("prefix", 1, size)).alias(f"at_{side}", "code"))
-    probe, index = at(F.size("prefix"), "a"), at(F.col("n") - _ceil(8, F.col("n"), 9) + 1, "b")
+    """(a, b) ids of sets that the prefix, length and positional filters leave, then the sketches; each pair once."""
+    kept = sets.where("n > 4")  # smaller sets reach 4/5 only when equal
+    # b's shorter prefix (8/9 of its size) follows from the positional filter, so both sides are the same rows, shuffled once.
+    at = lambda side: kept.select(F.col("id").alias(f"id_{side}"), F.col("n").alias(f"n_{side}"), F.posexplode("prefix").alias(f"at_{side}", "code"))
     lengths = (F.col("n_b") <= F.col("n_a")) & (F.col("n_b") * 5 >= F.col("n_a") * 4) & ((F.col("n_b") < F.col("n_a")) | (F.col("id_b") < F.col("id_a")))
     rest = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
     places = rest * 9 >= (F.col("n_a") + F.col("n_b")) * 4
-    return probe.join(index, "code").where(lengths & places).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-
-
-def similar_sets(sets: DataFrame) -> DataFrame:
-    """(a, b) ids of all pairs of different sets with Jaccard >= 4/5, each once."""
-    of = lambda side: sets.select(F.col("id").alias(side), F.col("line").alias(f"line_{side}"))
-    pairs = candidate_pairs(sets).join(of("a"), "a").join(of("b"), "b")
-    left, right = words(F.col("line_a")), words(F.col("line_b"))
-    return pairs.where(F.size(F.array_intersect(left, right)) * 9 >= (F.size(left) + F.size(right)) * 4).select("a", "b")
+    pairs = at("a").join(at("b"), "code").where(lengths & places).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    of = lambda side: kept.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    # Words of one set only are at most a ninth of both sizes together; each odd one out sets one bit at most.
+    return both.where(F.bit_count(F.col("sketch_a").bitwiseXOR(F.col("sketch_b"))) * 9 <= F.col("n_a") + F.col("n_b")).select("a", "b")
+
+
+def similar_sets(sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b, first_a, first_b): ids and first lines of all pairs of different sets with Jaccard >= 4/5."""
+    pairs = written(candidate_pairs(sets), "line-pairs")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(sets.select("id", "doc", "line_no"), "id")
+    asked = written(asked.groupBy("doc").agg(F.collect_list(F.struct("line_no", "id")).alias("asked")), "line-asked")
+    few = (asked.agg(F.sum(F.size("asked"))).first()[0] or 0) <= BROADCAST_LINES
+    found = docs.join(F.broadcast(asked) if few else asked, "doc").select("doc", F.split("text", "\n").alias("lines"), F.explode("asked").alias("x"))
+    lines = found.select(F.col("x.id").alias("id"), F.struct("doc", F.col("x.line_no").alias("line_no")).alias("first"), words(F.get("lines", F.col("x.line_no"))).alias("words"))
+    lines = lines.dropDuplicates(["id"])  # rows that repeat a document
+    of = lambda side: lines.select(F.col("id").alias(side), F.col("first").alias(f"first_{side}"), F.col("words").alias(f"words_{side}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    return both.where(F.size(F.array_intersect("words_a", "words_b")) * 9 >= (F.size("words_a") + F.size("words_b")) * 4).drop("words_a", "words_b")
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns and rows of df, text without its repeated lines, and n_lines, n_removed (long).
 
-    A line goes if its set of words has Jaccard >= 0.8 with that of any earlier line of the corpus; earlier is by id,
-    then by place in the input of rows with one id, then by line; removed lines count as earlier ones too. Lines
-    without words stay. A null text stays null with no lines; an empty one has one line. Null ids come first. Repeated
-    rows lose their lines to the first. Empty table: no rows.
+    A line goes if its set of words has Jaccard >= 0.8 with that of any earlier line of the corpus; earlier is by id
+    (null ids first), then by hash of the text where rows share an id, then by line; removed lines count as earlier
+    ones too. Lines without words stay. A null text stays null with no lines; an empty one has one line. Rows that
+    repeat an id and a text are one document: each of them keeps the same lines. Columns of df named n_lines or
+    n_removed stay as they are, the counts come last. Empty table: no rows.
     """
     extra = {c: f"_c{i}" for i, c in enumerate(df.columns)}
-    source = written(df.select(*(F.col(f"`{c}`").alias(v) for c, v in extra.items())).withColumn("_place", F.monotonically_increasing_id()), "lines-input")
-    row = F.struct(F.col(extra[id_col]).alias("id"), F.col("_place").alias("place"))
-    docs = source.select("*", row.alias("row"), F.col(extra[text_col]).alias("text"))
-    sets = written(line_sets(_lines(docs.where("text is not null"))).withColumn("id", F.monotonically_increasing_id()), "line-sets")
-    first = sets.select("id", F.struct("row", "line_no").alias("first"))
-    of = lambda side: first.select(F.col("id").alias(side), F.col("first").alias(f"first_{side}"))
-    pairs = similar_sets(sets).join(of("a"), "a").join(of("b"), "b")
+    docs = df.select(*(F.col(f"`{c}`").alias(v) for c, v in extra.items()))
+    docs = docs.withColumn("text", F.col(extra[text_col])).withColumn("doc", F.struct(F.col(extra[id_col]).alias("id"), F.xxhash64("text").alias("hash")))
+    with_text = docs.select("doc", "text").where("text is not null")
+    sets = written(line_sets(with_text.select("doc", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))).withColumn("id", F.monotonically_increasing_id()), "line-sets")
+    pairs = similar_sets(sets, with_text)
     gone = pairs.select(F.when(F.col("first_a") > F.col("first_b"), F.col("a")).otherwise(F.col("b")).alias("id")).distinct()
-    kept = sets.join(gone, "id", "left_anti").groupBy(F.col("row.place").alias("_place")).agg(F.array_sort(F.collect_list("line_no")).alias("_kept"))
+    kept = sets.select("id", "doc", "line_no").join(gone, "id", "left_anti").groupBy("doc").agg(F.array_sort(F.collect_list("line_no")).alias("_kept"))
     # The kept line numbers as one flag a line: false up to each, then true.
     before = lambda i: F.when(i == 0, F.lit(-1)).otherwise(F.col("_kept")[i - 1])
     flags = F.flatten(F.transform("_kept", lambda v, i: F.concat(F.array_repeat(F.lit(False), v - before(i) - 1), F.array(F.lit(True)))))
-    joined = docs.join(kept, "_place", "left").withColumn("_flags", flags).withColumn("_lines", F.split("text", "\n"))
-    blank = lambda x: F.size(words(x)) == 0
-    left = F.filter("_lines", lambda x, i: blank(x) | F.coalesce(F.get("_flags", i), F.lit(False)))
-    done = joined.withColumn("_left", left)
+    joined = docs.join(kept, "doc", "left").withColumn("_flags", flags).withColumn("_lines", F.split("text", "\n"))
+    blank = lambda x: ~x.rlike(r"[^\x20\x09-\x0D]")
+    done = joined.withColumn("_left", F.filter("_lines", lambda x, i: F.coalesce(F.get("_flags", i), F.lit(False)) | blank(x)))
     out = [(F.array_join("_left", "\n") if c == text_col else F.col(v)).alias(c) for c, v in extra.items()]
     n = lambda c: F.when(F.col("text").isNull(), 0).otherwise(F.size(c)).cast("long")
     return done.select(*out, n("_lines").alias("n_lines"), (n("_lines") - n("_left")).alias("n_removed"))
