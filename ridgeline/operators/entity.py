@@ -75,3 +75,8 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
 def insert_new(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """old and those rows of new whose keys it lacks."""
     return old.unionByName(new.join(old.select(*keys), list(keys), "left_anti"), allowMissingColumns=True)
+
+
+def replace_part(old: DataFrame, incoming: DataFrame, part: Column) -> DataFrame:
+    """old without the rows of a part (a condition), with all of incoming, which may be empty."""
+    return old.where(~F.coalesce(part, F.lit(False))).unionByName(incoming, allowMissingColumns=True)

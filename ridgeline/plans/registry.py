@@ -12,7 +12,7 @@ SQL: dict[str, str] = {}
 
 #: The bindings of sources/bindings.py as common table expressions.
 BASE = """
-with alldeals as (
+with recursive alldeals as (
   select l_suppkey as complex_id, cast(ceil(l_quantity / 10) as int) as type_id, cast(round(l_extendedprice) as int) as amount,
          cast(round(cast(round(l_extendedprice) as int) / l_quantity) as int) as pyeong, strftime(l_shipdate, '%Y%m') as month,
          cast(l_shipdate as date) as deal_date, l_orderkey as order_id, cast(l_linenumber as int) as line_no, l_quantity as m2,
