@@ -21,6 +21,7 @@ from ridgeline.llm.common import components, join_groups, narrow, written
 BUDGET = 2
 CHUNK = 1 << 18  # node pairs handled at once
 PER_NODE = 40_000  # fingerprints below a node at which tasks are dealt out, about
+LEAST_DEPTH = 6  # of the nodes that are dealt out
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -167,7 +168,7 @@ def _links(depth: int, budget: int):
 
 def fingerprint_links(fps: DataFrame, count: int, budget: int = BUDGET, per_node: int = PER_NODE) -> DataFrame:
     """(u, v) pairs that span every component of the distinct fingerprints fp under links of at most `budget` bits."""
-    depth = max(0, (max(count, 1) // per_node).bit_length())
+    depth = max(LEAST_DEPTH, (max(count, 1) // per_node).bit_length())
     # The most balanced bits come first in the trie, so that nodes at `depth` hold about as many fingerprints each.
     sums = fps.agg(*(F.sum(F.shiftright("fp", i).bitwiseAND(F.lit(1))) for i in range(64))).first()
     balance = sorted(range(64), key=lambda i: abs((sums[i] or 0) * 2 - count))
