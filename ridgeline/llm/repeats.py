@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,7 @@ GRAM = 24
 PART = 1 << 18  # windows hashed at once
 LAST = (1 << 63) - 1  # stands for a null id, which comes last
 BUCKET_BYTES = 4 << 20  # text per bucket of anchors
+BLOCK_BYTES = 4 << 20  # characters of documents that a task handles at once, about
 _MIX, _FACTOR = np.uint64(0xBF58476D1CE4E5B9), 0x9E3779B97F4A7C15
 
 
@@ -56,8 +58,8 @@ def sliding_min(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(v[: len(v) - (width - n)], v[width - n :]) if n < width else v
 
 
-def stretches(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(first window, last window, anchor's hash) of each run of windows with one anchor; no window crosses documents."""
+def stretches(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first window, last window, anchor's hash, anchor's place) of each run of windows with one anchor; no window crosses documents."""
     n = len(data)
     if n < window:
         return
@@ -79,43 +81,66 @@ def stretches(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, window:
         stop = ok.copy()
         stop[:-1] &= fresh[1:] | ~ok[1:]
         first = np.nonzero(fresh)[0]
-        yield at + first, at + np.nonzero(stop)[0], h[(least[first] & low).astype(np.int64)]
+        anchor = (least[first] & low).astype(np.int64)
+        yield at + first, at + np.nonzero(stop)[0], h[anchor], at + anchor
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
-    for b in batches:
-        texts = [t.encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()]
-        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-        yield b, texts, np.frombuffer(b"".join(texts), np.uint8), np.cumsum(lengths) - lengths, lengths
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, their bytes, starts, lengths), some BLOCK_BYTES of text at a time."""
+    for whole in batches:
+        sizes = np.fromiter((len(t or "") for t in whole.column("text").to_pylist()), np.int64, len(whole))
+        block = np.cumsum(sizes) // BLOCK_BYTES
+        cuts = np.concatenate([[0], np.nonzero(np.diff(block))[0] + 1, [len(whole)]])
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            b = whole.slice(lo, hi - lo)
+            texts = [t.encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()]
+            lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+            yield b, np.frombuffer(b"".join(texts), np.uint8), np.cumsum(lengths) - lengths, lengths
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-    for _, _, data, starts, lengths in _batches(batches):
-        for _, _, h in stretches(data, starts, lengths):
+    for _, data, starts, lengths in _batches(batches):
+        for _, _, h, _ in stretches(data, starts, lengths):
             yield pd.DataFrame({"h": h.view(np.int64)})
 
 
-def _candidates(sent, buckets: int):  # noqa: ANN001
-    """Rows of stretches whose anchor may repeat, to be dealt out by bucket; settled spans travel as rows without body."""
-    names = ["bucket", "gram", "id", "twin", "at", "upto", "body"]
+#: Columns of a packed set of stretches: document, its twin hash, first byte, length, place of the anchor (SETTLED: no text follows).
+_PACKED = (("id", "<i8"), ("twin", "<i8"), ("at", "<i8"), ("size", "<u4"), ("anchor", "u1"))
+SETTLED = 255
+
+
+def _pack(columns: dict[str, np.ndarray], bodies: list[bytes]) -> bytes:
+    raw = [columns[c].astype(t).tobytes() for c, t in _PACKED]
+    return zstandard.compress(b"".join([len(columns["id"]).to_bytes(8, "little"), *raw, *bodies]), 3)
+
 
-    def rows(gram, ids, twins, at, upto, body) -> pa.RecordBatch:  # noqa: ANN001
-        bucket = (gram.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(gram), pa.array(ids), pa.array(twins), pa.array(at, pa.int64()), pa.array(upto, pa.int64()), pa.array(body, pa.binary())], names)
+def _unpack(packed: bytes) -> tuple[pd.DataFrame, list[bytes]]:
+    raw = zstandard.decompress(packed)
+    n, at, columns = int.from_bytes(raw[:8], "little"), 8, {}
+    for c, t in _PACKED:
+        columns[c] = np.frombuffer(raw, t, n, at).astype(np.int64)
+        at += columns[c].size * np.dtype(t).itemsize
+    sizes = np.where(columns["anchor"] == SETTLED, 0, columns["size"])
+    ends = (at + np.cumsum(sizes)).tolist()
+    return pd.DataFrame(columns), [raw[e - n : e] for e, n in zip(ends, sizes.tolist(), strict=True)]
+
+
+def _candidates(sent, buckets: int):  # noqa: ANN001
+    """Stretches whose anchor may repeat, those of one bucket and block packed into a row; settled spans go without text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = sent.value
-        for b, _, data, starts, lengths in _batches(batches):
+        for b, data, starts, lengths in _batches(batches):
             ids, twins, raw = b.column("id").to_numpy(), b.column("twin").to_numpy(), data.tobytes()
             found = []
-            for first, last, h in stretches(data, starts, lengths):
+            for first, last, h, anchor in stretches(data, starts, lengths):
                 hit = np.ones(len(h), bool)
                 for p in _positions(h.view(np.int64), len(twice) * 8):
                     hit &= (twice[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
-                found.append((first[hit], last[hit], h[hit].view(np.int64)))
+                found.append((first[hit], last[hit], h[hit], anchor[hit]))
             if not found:
                 continue
-            first, last, gram = (np.concatenate(x) for x in zip(*found, strict=True))
+            first, last, gram, anchor = (np.concatenate(x) for x in zip(*found, strict=True))
             doc = np.searchsorted(starts + lengths, first, side="right")
             bodies = [raw[i : j + WINDOW] for i, j in zip(first.tolist(), last.tolist(), strict=True)]
             slot: dict[bytes, int] = {}
@@ -123,20 +148,23 @@ def _candidates(sent, buckets: int):  # noqa: ANN001
             least = np.full(len(slot), LAST)
             np.minimum.at(least, of, ids[doc])
             settled = ids[doc] > least[of]
-            keep = np.nonzero(~settled)[0]
-            at = first - starts[doc]
-            for k in range(0, len(keep), 20_000):
-                i = keep[k : k + 20_000]
-                yield rows(gram[i], ids[doc[i]], twins[doc[i]], at[i], (last - starts[doc])[i] + WINDOW, [bodies[x] for x in i.tolist()])
+            columns = {"id": ids[doc], "twin": twins[doc], "at": first - starts[doc], "size": last - first + WINDOW, "anchor": np.where(settled, SETTLED, anchor - first)}
             i = np.nonzero(settled)[0]
-            if len(i):  # neighbouring spans of a document become one row
-                order = np.argsort(first[i], kind="stable")
-                i = i[order]
-                begin, end, d = at[i], (last - starts[doc])[i] + WINDOW, doc[i]
-                new = np.append(True, (d[1:] != d[:-1]) | (begin[1:] > end[:-1]))
-                head = np.nonzero(new)[0]
-                tail = np.append(head[1:] - 1, len(i) - 1)
-                yield rows(gram[i[head]], ids[d[head]], twins[d[head]], begin[head], end[tail], [None] * len(head))
+            if len(i):  # neighbouring settled spans of a document become one
+                i = i[np.argsort(first[i], kind="stable")]
+                begin, end, d = first[i], last[i] + WINDOW, doc[i]
+                heads = np.nonzero(np.append(True, (d[1:] != d[:-1]) | (begin[1:] > end[:-1])))[0]
+                tails = np.append(heads[1:] - 1, len(i) - 1)
+                columns["size"][i[heads]] = end[tails] - begin[heads]
+                keep = np.sort(np.concatenate([np.nonzero(~settled)[0], i[heads]]))
+            else:
+                keep = np.arange(len(first))
+            bucket = (gram % np.uint64(buckets)).astype(np.int64)[keep]
+            order = np.argsort(bucket, kind="stable")
+            keep, bucket = keep[order], bucket[order]
+            heads = np.nonzero(np.append(True, bucket[1:] != bucket[:-1]))[0][: len(keep)]
+            packed = [_pack({c: v[k] for c, v in columns.items()}, [bodies[x] for x in k[~settled[k]].tolist()]) for k in np.split(keep, heads[1:])] if len(keep) else []
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[heads], pa.int64()), pa.array(packed, pa.binary())], ["bucket", "packed"])
 
     return run
 
@@ -173,14 +201,18 @@ def radix_groups(data: np.ndarray, at: np.ndarray, group: np.ndarray, ids: np.nd
     return least
 
 
-def _settle(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+def _settle(key: tuple, packed: pd.DataFrame) -> pd.DataFrame:
     """Spans of the stretches of one bucket of anchors that an earlier document has, and spans settled before."""
-    empty = rows["body"].isna()
+    parts = [_unpack(p) for p in packed["packed"]]
+    rows = pd.concat([p[0] for p in parts], ignore_index=True)
+    rows["upto"] = rows["at"] + rows["size"]
+    empty = (rows["anchor"] == SETTLED).to_numpy()
+    rows["body"] = [x for p in parts for x in p[1]]
     early = rows[empty]
     rows = rows[~empty]
     out = [early[["id", "twin", "at", "upto"]]]
     if len(rows):
-        ids, gram, begin = (rows[c].to_numpy(np.int64) for c in ("id", "gram", "at"))
+        ids, anchor, begin = (rows[c].to_numpy(np.int64) for c in ("id", "anchor", "at"))
         slot: dict[bytes, int] = {}
         of = np.fromiter((slot.setdefault(x, len(slot)) for x in rows["body"]), np.int64, len(rows))
         least = np.full(len(slot), LAST)
@@ -196,7 +228,7 @@ def _settle(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         count = size - WINDOW + 1
         owner = np.repeat(np.arange(len(bodies)), count)
         place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + start[owner]
-        first = radix_groups(data, place, np.unique(gram[some], return_inverse=True)[1][owner], least[owner])
+        first = radix_groups(data, place, np.unique(gram_hashes(data, GRAM)[start + anchor[some]], return_inverse=True)[1][owner], least[owner])
         hit = first < least[owner]
         if hit.any():
             new = hit & np.append(True, ~hit[:-1] | (owner[1:] != owner[:-1]))
@@ -226,7 +258,7 @@ def repeated_spans(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         found = np.frombuffer(zlib.decompress(row["twice"]), np.uint8)
         twice[row["block"] * len(found) : (row["block"] + 1) * len(found)] = found
     buckets = max(64, size // BUCKET_BYTES)
-    dealt = docs.mapInArrow(_candidates(spark.sparkContext.broadcast(twice), buckets), "bucket long, gram long, id long, twin long, at long, upto long, body binary")
+    dealt = docs.mapInArrow(_candidates(spark.sparkContext.broadcast(twice), buckets), "bucket long, packed binary")
     return dealt.groupBy("bucket").applyInPandas(_settle, "id long, twin long, span long")
 
 
