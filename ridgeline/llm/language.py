@@ -23,7 +23,7 @@ BUCKETS = 1 << 15
 DIMENSIONS = 16
 SIZES = (3, 4, 5)
 PART = 1 << 18  # bytes whose subwords are hashed at once
-SAMPLE = 6000  # labelled rows of the training sample, about, at most
+SAMPLE = 3000  # labelled rows of the training sample, about, at most
 SAMPLE_BYTES = 1 << 16  # longer texts stay out of the training sample
 UNKNOWN = "und"
 
@@ -92,15 +92,19 @@ def train(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 1.
     y = np.array([languages.index(x) for x in labels])
     order = rng.permutation(len(texts))
     cut = max(1, len(texts) * 4 // 5)
-    bags: list[list[np.ndarray]] = [[] for _ in texts]
-    for at in range(0, len(texts), 64):
-        for doc, bucket in subwords(texts[at : at + 64]):
-            heads = np.nonzero(np.append(True, doc[1:] != doc[:-1]))[0]
-            for d, part in zip(doc[heads], np.split(bucket, heads[1:]), strict=True):
-                bags[at + d].append(part)
+    found: list[tuple[np.ndarray, np.ndarray]] = []  # each document's buckets and how often it has them
+    for at in range(0, len(texts), 16):
+        part = texts[at : at + 16]
+        bags: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in part]
+        for doc, bucket in subwords(part):
+            heads = np.nonzero(np.append(True, doc[1:] != doc[:-1]))[0][: len(doc)]
+            for d, mine in zip(doc[heads], np.split(bucket, heads[1:]), strict=True) if len(doc) else ():
+                bags[d].append(mine)
+        for bag in bags:
+            buckets, counts = np.unique(np.concatenate(bag), return_counts=True)
+            found.append((buckets.astype(np.int32), counts.astype(np.float32)))
     embed = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS))
     layer, bias = rng.normal(0, 0.1, (DIMENSIONS, len(languages))), np.zeros(len(languages))
-    found = [np.unique(np.concatenate(b), return_counts=True) if b else (np.zeros(0, np.int64), np.zeros(0)) for b in bags]
     steps, step = epochs * cut, 0
     for _ in range(epochs):
         for k in rng.permutation(order[:cut]):
@@ -119,7 +123,7 @@ def train(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 1.
             embed[bucket] -= now * 20 * np.outer(weight, back)
     model = Model(languages, (embed @ layer).astype(np.float32), bias)
     rest = order[cut:] if cut < len(texts) else order
-    logits, truth = model.logits([texts[k] for k in rest]), y[rest]
+    logits, truth = np.concatenate([model.logits([texts[k] for k in rest[at : at + 64]]) for at in range(0, len(rest), 64)]), y[rest]
     tries = np.geomspace(0.05, 20, 60)
     model.temperature = float(min(tries, key=lambda t: -np.log(softmax(logits / t)[np.arange(len(rest)), truth] + 1e-12).mean()))
     top = np.sort(softmax(logits / model.temperature).max(axis=1))
