@@ -13,18 +13,24 @@ import json
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.llm.common import narrow
 
-#: Chunks that a worker remembers between batches, at most about this many when a batch begins.
-REMEMBERED = 300_000
+#: When a worker knows more chunks than this, it keeps those that its last stretch of texts had more than once.
+REMEMBERED = 600_000
+#: Bytes of text whose chunks are told apart at once; a longer text is a stretch of its own.
+STRETCH = 32 << 20
+#: Marks that are words of their own after letters.
+MARKS = frozenset(".,;:!?)")
 
 
 def byte_letters() -> list[str]:
@@ -49,8 +55,11 @@ class Words:
 
     def split(self, chunk: str) -> list[str | int]:
         """Words of a chunk without ASCII white space, as text; ids of special tokens in it."""
-        if chunk.isalpha():
-            return self._words(chunk)
+        if chunk.isascii():
+            if chunk.isalpha():
+                return [chunk.lower()]
+            if chunk[:-1].isalpha() and chunk[-1] in MARKS:
+                return [chunk[:-1].lower(), chunk[-1]]
         out: list[str | int] = []
         for part in self.around(chunk) if "<|" in chunk else (chunk,):
             out += [self.special[part]] if part in self.special else self._words(part)
@@ -149,32 +158,25 @@ class Chunks:
 
     def __init__(self, words: Words, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]) -> None:
         self.words, self.encode = words, encode
-        self.clear()
-
-    def clear(self) -> None:
-        self.at: dict[bytes, int] = {}
+        self.at: dict[str, int] = {}
         self.starts, self.lengths, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    def learn(self, texts: list[bytes]) -> None:
-        if len(self.at) > REMEMBERED:
-            self.clear()
-        new: dict[bytes, None] = {}
-        for t in texts:
-            new.update(dict.fromkeys(t.split()))
-        chunks = [c for c in new if c not in self.at]
+    def learn(self, chunks: list[str]) -> None:
+        """Adds chunks that are not there yet."""
+        chunks = [c for c in chunks if c not in self.at]
         if not chunks:
             return
-        split = [self.words.split(c.decode("utf-8", "surrogatepass")) for c in chunks]
+        split = [self.words.split(c) for c in chunks]
         distinct = dict.fromkeys(w for s in split for w in s if isinstance(w, str))
         ids, counts = self.encode([w.encode("utf-8", "surrogatepass") for w in distinct])
         starts = np.cumsum(counts) - counts
-        place = {w: i for i, w in enumerate(distinct)}
+        place: dict[str | int, int] = {w: i for i, w in enumerate(distinct)}
         # One entry for each word or special token of each chunk, in order.
         special = sorted(self.words.special.values())
         ids, starts, counts = np.append(ids, np.array(special, np.int32)), np.append(starts, len(ids) + np.arange(len(special))), np.append(counts, np.ones(len(special), np.int64))
-        place_special = {s: len(distinct) + i for i, s in enumerate(special)}
-        flat = np.fromiter((place[w] if isinstance(w, str) else place_special[w] for s in split for w in s), np.int64)
+        place |= {s: len(distinct) + i for i, s in enumerate(special)}
         per = np.fromiter(map(len, split), np.int64, len(split))
+        flat = np.fromiter(map(place.__getitem__, chain.from_iterable(split)), np.int64, int(per.sum()))
         values = gather(ids, starts[flat], counts[flat])
         sums = np.append(0, np.cumsum(counts[flat]))
         upto = np.append(0, np.cumsum(per))
@@ -184,10 +186,35 @@ class Chunks:
         self.lengths = np.append(self.lengths, lengths)
         self.ids = np.append(self.ids, values)
 
-    def of(self, text: bytes) -> np.ndarray:
-        chunks = text.split()
-        which = np.fromiter(map(self.at.__getitem__, chunks), np.int64, len(chunks))
-        return gather(self.ids, self.starts[which], self.lengths[which])
+    def keep(self, chunks: list[str], at: np.ndarray) -> None:
+        """Forgets all but these chunks, which stand at these places."""
+        starts, self.lengths = self.starts[at], self.lengths[at]
+        self.ids = gather(self.ids, starts, self.lengths)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.at = dict(zip(chunks, range(len(chunks)), strict=True))
+
+    def of(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text, in order; no text may be null. Chunks are told apart stretch by stretch, not text by text."""
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        low = 0
+        while low < len(texts):
+            high = max(low + 1, int(np.searchsorted(sizes, (sizes[low - 1] if low else 0) + STRETCH, side="right")))
+            lists = pc.ascii_split_whitespace(texts.slice(low, high - low))
+            flat = lists.flatten().dictionary_encode()
+            chunks, index = flat.dictionary.to_pylist(), flat.indices.to_numpy()
+            self.learn(chunks)
+            at = np.fromiter(map(self.at.__getitem__, chunks), np.int64, len(chunks))
+            if len(self.at) > REMEMBERED:
+                often = np.nonzero(np.bincount(index, minlength=len(chunks)) > 1)[0]
+                starts, lengths, ids = self.starts[at], self.lengths[at], self.ids
+                self.keep([chunks[i] for i in often.tolist()], at[often])
+            else:
+                starts, lengths, ids = self.starts[at], self.lengths[at], self.ids
+            ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                which = index[x:y]
+                yield gather(ids, starts[which], lengths[which])
+            low = high
 
 
 def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -211,10 +238,9 @@ def encode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = indexed(tokenizer)
         for b in batches:
-            texts = [t.encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()]
-            table.learn(texts)
-            for at in range(0, len(texts), 512):
-                found = [table.of(t) for t in texts[at : at + 512]]
+            texts = table.of(b.column("text"))
+            for at in range(0, b.num_rows, 512):
+                found = list(islice(texts, 512))
                 ends = np.append(0, np.cumsum([len(f) for f in found])).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found).astype(np.int32), pa.int32()))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, 512), ids], ["doc_id", "ids"])

@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,11 +50,9 @@ def pieces(df: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = EN
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = library(tokenizer)
         for b in batches:
-            texts = [t.encode("utf-8", "surrogatepass") for t in b["text"]]
-            table.learn(texts)
             which, out = [], []
-            for k, t in enumerate(texts):
-                ids = np.append(table.of(t), end_id).astype("<u4")
+            for k, found in enumerate(table.of(pa.Array.from_pandas(b["text"], type=pa.string()))):
+                ids = np.append(found, end_id).astype("<u4")
                 for start in range(0, len(ids), length):
                     raw = ids[start : start + length].tobytes()
                     which.append(k)
