@@ -1,10 +1,10 @@
 """Line dedup by an exact set-similarity join, with DataFrame functions only.
 
 A line is the set of its words (runs without white space). Words are ordered by rarity: a table of fixed size holds the
-corpus count of each hash bucket of words, as one byte on a logarithmic scale. Lines with equal sets collapse into one
+corpus count of each hash bucket of words, on a logarithmic scale. Lines with equal sets collapse into one
 row before anything is compared. Two sets of Jaccard >= 4/5 share a word among the first few of each in that order
 (prefix filter); pairs that do are kept if their sizes (length filter) and the places of the shared word (positional
-filter) and 64-bit parity sketches allow the threshold, and are then verified on the words themselves.
+filter) and 64-bit parity sketches allow the threshold, and are then verified on 64-bit hashes of all their words.
 """
 
 from __future__ import annotations
@@ -14,15 +14,10 @@ from pyspark.sql import functions as F
 
 from ridgeline.llm.common import SPACE, written
 
-BUCKETS = 1 << 18  # bytes of the rarity table, whatever the input
+BUCKETS = 1 << 18  # entries of the rarity table (8 bytes each), whatever the input
 HASH_BITS = 56
 
 
-def words(line: Column) -> Column:
-    """The distinct words of a line."""
-    return F.array_remove(F.array_distinct(F.split(line, SPACE)), "")
-
-
 def _hashes(line: Column) -> Column:
     """64-bit hashes of the distinct words of a line."""
     return F.array_remove(F.array_distinct(F.transform(F.split(line, SPACE), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
@@ -32,45 +27,41 @@ def _ceil(times: int, n: Column, by: int) -> Column:
     return F.floor((n * times + (by - 1)) / by).cast("int")
 
 
-def rarity_table(lines: DataFrame) -> DataFrame:
-    """One row, one binary column of BUCKETS bytes: how common the words of each hash bucket are over all lines."""
-    spark = lines.sparkSession
-    bucket = F.col("h").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket")
-    counts = lines.select(F.explode(_hashes(F.col("line"))).alias("h")).select(bucket).groupBy("bucket").agg(F.count("*").alias("n"))
+def rarity_table(texts: DataFrame) -> DataFrame:
+    """One row, one array of BUCKETS longs: how common the words of each hash bucket are over all texts, in the top byte."""
+    spark = texts.sparkSession
+    bucket = F.xxhash64("word").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket")
+    counts = texts.select(F.explode(F.split("text", SPACE)).alias("word")).select(bucket).groupBy("bucket").agg(F.count("*").alias("n"))
     every = spark.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"), F.lit(0).cast("long").alias("n"))
-    level = F.least(F.lit(120), F.floor(F.log2(F.sum("n") + 1) * 4)).cast("int")
-    levels = counts.unionByName(every).groupBy("bucket").agg(F.lpad(F.hex(level), 2, "0").alias("hex"))
-    in_order = F.array_sort(F.collect_list(F.struct("bucket", "hex")))
-    return levels.agg(F.unhex(F.array_join(F.transform(in_order, lambda x: x["hex"]), "")).alias("table"))
+    level = F.least(F.lit(120), F.floor(F.log2(F.sum("n") + 1) * 4)).cast("long")
+    levels = counts.unionByName(every).groupBy("bucket").agg(F.shiftleft(level, HASH_BITS).alias("level"))
+    in_order = F.array_sort(F.collect_list(F.struct("bucket", "level")))
+    return levels.agg(F.transform(in_order, lambda x: x["level"]).alias("table"))
 
 
 def _codes(line: Column, table: Column) -> Column:
     """Sorted codes of a line's words: rarity in the top byte, the word's hash in the other 56 bits."""
 
     def code(h: Column) -> Column:
-        place = h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1
-        rarity = F.ascii(F.substring(table, place, F.lit(1)).cast("string")).cast("long")
-        return F.shiftleft(rarity, HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
+        return F.get(table, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
 
     return F.sort_array(F.transform(_hashes(line), code))
 
 
-def line_sets(lines: DataFrame) -> DataFrame:
-    """One row per distinct set of words: n, its first line (doc, line_no), its prefix and its two sketches.
+def line_sets(texts: DataFrame) -> DataFrame:
+    """One row per distinct set of words: n, its first line (doc, line_no), its sketch and its prefix. texts: doc, text.
 
     Sets are told apart by 96 bits of hashes of all their codes. The prefix holds 31 bits of each code; a sketch bit is
     the parity of the number of words whose hash falls on it.
     """
-    table = rarity_table(lines)
+    table = rarity_table(texts)
+    lines = texts.select("doc", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     coded = lines.withColumn("table", table.scalar()).select("doc", "line_no", _codes(F.col("line"), F.col("table")).alias("codes"))
     n = F.size("codes")
     prefix = F.transform(F.slice("codes", 1, F.when(n > 4, n - _ceil(4, n, 5) + 1).otherwise(0)), lambda c: c.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-
-    def sketch(shift: int) -> Column:
-        bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(c, shift).bitwiseAND(F.lit(63)).cast("int"))
-        return F.aggregate("codes", F.lit(0).cast("long"), lambda bits, c: bits.bitwiseXOR(bit(c)))
-
-    keyed = coded.select(F.xxhash64("codes").alias("k1"), F.hash("codes").alias("k2"), F.struct("doc", "line_no", n.alias("n"), sketch(31).alias("s0"), sketch(37).alias("s1"), prefix.alias("prefix")).alias("s"))
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(c, 31).bitwiseAND(F.lit(63)).cast("int"))
+    sketch = F.aggregate("codes", F.lit(0).cast("long"), lambda bits, c: bits.bitwiseXOR(bit(c)))
+    keyed = coded.select(F.xxhash64("codes").alias("k1"), F.hash("codes").alias("k2"), F.struct("doc", "line_no", n.alias("n"), sketch.alias("sketch"), prefix.alias("prefix")).alias("s"))
     return keyed.groupBy("k1", "k2").agg(F.min("s").alias("s")).select("s.*").where("n > 0")
 
 
@@ -78,25 +69,27 @@ def candidate_pairs(sets: DataFrame) -> DataFrame:
     """(a, b) ids of sets that the prefix, length and positional filters and the sketches leave; each pair once."""
     kept = sets.where("n > 4")  # smaller sets reach 4/5 only when equal
     # b's shorter prefix (8/9 of its size) follows from the positional filter, so both sides are the same rows, shuffled once.
-    at = lambda side: kept.select(F.col("id").alias(f"id_{side}"), F.col("n").alias(f"n_{side}"), F.col("s0").alias(f"s_{side}"), F.posexplode("prefix").alias(f"at_{side}", "code"))
+    at = lambda side: kept.select(F.col("id").alias(f"id_{side}"), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}"), F.posexplode("prefix").alias(f"at_{side}", "code"))
     lengths = (F.col("n_b") <= F.col("n_a")) & (F.col("n_b") * 5 >= F.col("n_a") * 4) & ((F.col("n_b") < F.col("n_a")) | (F.col("id_b") < F.col("id_a")))
     rest = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
     places = rest * 9 >= (F.col("n_a") + F.col("n_b")) * 4
     # Words of one set only are at most a ninth of both sizes together; each odd one out sets one bit at most.
-    near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) * 9 <= F.col("n_a") + F.col("n_b")
-    pairs = at("a").join(at("b"), "code").where(lengths & places & near("s_a", "s_b")).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-    of = lambda side: kept.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("s1").alias(f"s_{side}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").where(near("s_a", "s_b")).select("a", "b")
+    near = F.bit_count(F.col("s_a").bitwiseXOR(F.col("s_b"))) * 9 <= F.col("n_a") + F.col("n_b")
+    return at("a").join(at("b"), "code").where(lengths & places & near).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
 def similar_sets(sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b, first_a, first_b): ids and first lines of all pairs of different sets with Jaccard >= 4/5. docs: doc, text, a row per doc."""
+    """(a, b, first_a, first_b): ids and first lines of all pairs of different sets with Jaccard >= 4/5. docs: doc, text.
+
+    Verified on 64-bit hashes of the words, made once per line.
+    """
     pairs = written(candidate_pairs(sets), "line-pairs")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(sets.select("id", "doc", "line_no"), "id")
     found = docs.join(asked.groupBy("doc").agg(F.collect_list(F.struct("line_no", "id")).alias("asked")), "doc").select("doc", F.split("text", "\n").alias("lines"), F.explode("asked").alias("x"))
-    lines = found.select(F.col("x.id").alias("id"), F.struct("doc", F.col("x.line_no").alias("line_no")).alias("first"), F.get("lines", F.col("x.line_no")).alias("line"))
-    of = lambda side: lines.select(F.col("id").alias(side), F.col("first").alias(f"first_{side}"), F.col("line").alias(f"line_{side}"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b").withColumns({"words_a": words(F.col("line_a")), "words_b": words(F.col("line_b"))})
+    lines = found.select(F.col("x.id").alias("id"), F.struct("doc", F.col("x.line_no").alias("line_no")).alias("first"), _hashes(F.get("lines", F.col("x.line_no"))).alias("words"))
+    once = lines.groupBy("id").agg(F.first("first").alias("first"), F.first("words").alias("words"))  # rows that repeat a document
+    of = lambda side: once.select(F.col("id").alias(side), F.col("first").alias(f"first_{side}"), F.col("words").alias(f"words_{side}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
     return both.where(F.size(F.array_intersect("words_a", "words_b")) * 9 >= (F.size("words_a") + F.size("words_b")) * 4).select("a", "b", "first_a", "first_b")
 
 
@@ -113,15 +106,14 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     docs = df.select(*(F.col(f"`{c}`").alias(v) for c, v in extra.items()))
     docs = docs.withColumn("text", F.col(extra[text_col])).withColumn("doc", F.struct(F.col(extra[id_col]).alias("id"), F.xxhash64("text").alias("hash")))
     with_text = docs.select("doc", "text").where("text is not null")
-    sets = written(line_sets(with_text.select("doc", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))).withColumn("id", F.monotonically_increasing_id()), "line-sets")
-    texts = with_text.groupBy("doc").agg(F.first("text").alias("text"))  # shuffled once: for the lines to verify and for the result
-    pairs = similar_sets(sets, texts)
-    gone = pairs.select(F.when(F.col("first_a") > F.col("first_b"), F.col("a")).otherwise(F.col("b")).alias("id")).distinct()
+    sets = written(line_sets(with_text).withColumn("id", F.monotonically_increasing_id()), "line-sets")
+    pairs = similar_sets(sets, with_text)
+    gone = written(pairs.select(F.when(F.col("first_a") > F.col("first_b"), F.col("a")).otherwise(F.col("b")).alias("id")).distinct(), "line-gone")
     kept = sets.select("id", "doc", "line_no").join(gone, "id", "left_anti").groupBy("doc").agg(F.array_sort(F.collect_list("line_no")).alias("_kept"))
     # The kept line numbers as one flag a line: false up to each, then true.
     before = lambda i: F.when(i == 0, F.lit(-1)).otherwise(F.col("_kept")[i - 1])
     flags = F.flatten(F.transform("_kept", lambda v, i: F.concat(F.array_repeat(F.lit(False), v - before(i) - 1), F.array(F.lit(True)))))
-    joined = docs.drop("text", extra[text_col]).join(texts.join(kept, "doc", "left"), "doc", "left").withColumn("_flags", flags).withColumn("_lines", F.split("text", "\n"))
+    joined = docs.drop(extra[text_col]).join(kept, "doc", "left").withColumn("_flags", flags).withColumn("_lines", F.split("text", "\n"))
     blank = lambda x: ~x.rlike(r"[^\x20\x09-\x0D]")
     done = joined.withColumn("_left", F.filter("_lines", lambda x, i: F.coalesce(F.get("_flags", i), F.lit(False)) | blank(x)))
     out = [(F.array_join("_left", "\n") if c == text_col else F.col(v)).alias(c) for c, v in extra.items()]
