@@ -66,7 +66,8 @@ def line_sets(texts: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(sets: DataFrame) -> DataFrame:
-    """(a, b) ids of sets that the prefix, length and positional filters and the sketches leave; each pair once."""
+    """(later, earlier, apart): ids of sets that the prefix, length and positional filters and the sketches leave, by the
+    order of their first lines, and the number of bits that their sketches differ in; each pair once."""
     kept = sets.where("n > 4")  # smaller sets reach 4/5 only when equal
     # b's shorter prefix (8/9 of its size) follows from the positional filter, so both sides are the same rows, shuffled once.
     at = lambda side: kept.select(F.col("id").alias(f"id_{side}"), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}"), F.posexplode("prefix").alias(f"at_{side}", "code"))
@@ -74,23 +75,34 @@ def candidate_pairs(sets: DataFrame) -> DataFrame:
     rest = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
     places = rest * 9 >= (F.col("n_a") + F.col("n_b")) * 4
     # Words of one set only are at most a ninth of both sizes together; each odd one out sets one bit at most.
-    near = F.bit_count(F.col("s_a").bitwiseXOR(F.col("s_b"))) * 9 <= F.col("n_a") + F.col("n_b")
-    return at("a").join(at("b"), "code").where(lengths & places & near).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    apart = F.bit_count(F.col("s_a").bitwiseXOR(F.col("s_b")))
+    pairs = at("a").join(at("b"), "code").where(lengths & places & (apart * 9 <= F.col("n_a") + F.col("n_b")))
+    pairs = pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), apart.alias("apart")).distinct()
+    of = lambda side: kept.select(F.col("id").alias(side), F.struct("doc", "line_no").alias(f"first_{side}"))
+    turned = F.when(F.col("first_a") > F.col("first_b"), F.struct(F.col("a").alias("later"), F.col("b").alias("earlier"))).otherwise(F.struct(F.col("b").alias("later"), F.col("a").alias("earlier")))
+    return pairs.join(of("a"), "a").join(of("b"), "b").select(turned.alias("pair"), "apart").select("pair.*", "apart")
 
 
-def similar_sets(sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b, first_a, first_b): ids and first lines of all pairs of different sets with Jaccard >= 4/5. docs: doc, text.
+def repeated_sets(sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """id of each set whose Jaccard with an earlier, different set is >= 4/5. docs: doc, text.
 
-    Verified on 64-bit hashes of the words, made once per line.
+    Verified on 64-bit hashes of the words, made once per line: first each set against the earlier one nearest by sketch,
+    which settles most members of large groups with one pair each, then those not settled against all their candidates.
     """
     pairs = written(candidate_pairs(sets), "line-pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(sets.select("id", "doc", "line_no"), "id")
-    found = docs.join(asked.groupBy("doc").agg(F.collect_list(F.struct("line_no", "id")).alias("asked")), "doc").select("doc", F.split("text", "\n").alias("lines"), F.explode("asked").alias("x"))
-    lines = found.select(F.col("x.id").alias("id"), F.struct("doc", F.col("x.line_no").alias("line_no")).alias("first"), _hashes(F.get("lines", F.col("x.line_no"))).alias("words"))
-    once = lines.groupBy("id").agg(F.first("first").alias("first"), F.first("words").alias("words"))  # rows that repeat a document
-    of = lambda side: once.select(F.col("id").alias(side), F.col("first").alias(f"first_{side}"), F.col("words").alias(f"words_{side}"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b")
-    return both.where(F.size(F.array_intersect("words_a", "words_b")) * 9 >= (F.size("words_a") + F.size("words_b")) * 4).select("a", "b", "first_a", "first_b")
+    asked = pairs.select(F.explode(F.array("later", "earlier")).alias("id")).distinct().join(sets.select("id", "doc", "line_no"), "id")
+    found = docs.join(asked.groupBy("doc").agg(F.collect_list(F.struct("line_no", "id")).alias("asked")), "doc").select(F.split("text", "\n").alias("lines"), F.explode("asked").alias("x"))
+    lines = found.select(F.col("x.id").alias("id"), _hashes(F.get("lines", F.col("x.line_no"))).alias("words"))
+    words = written(lines.groupBy("id").agg(F.first("words").alias("words")), "line-words")  # one row where documents repeat
+
+    def alike(some: DataFrame) -> DataFrame:
+        of = lambda side: words.select(F.col("id").alias(side), F.col("words").alias(f"{side}_words"))
+        both = some.select("later", "earlier").join(of("earlier"), "earlier").join(of("later"), "later")
+        return both.where(F.size(F.array_intersect("later_words", "earlier_words")) * 9 >= (F.size("later_words") + F.size("earlier_words")) * 4).select(F.col("later").alias("id")).distinct()
+
+    nearest = pairs.groupBy("later").agg(F.min(F.struct("apart", "earlier")).alias("x")).select("later", "x.earlier")
+    settled = written(alike(nearest), "line-near")
+    return settled.unionByName(alike(pairs.join(settled.withColumnRenamed("id", "later"), "later", "left_anti")))
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -107,8 +119,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     docs = docs.withColumn("text", F.col(extra[text_col])).withColumn("doc", F.struct(F.col(extra[id_col]).alias("id"), F.xxhash64("text").alias("hash")))
     with_text = docs.select("doc", "text").where("text is not null")
     sets = written(line_sets(with_text).withColumn("id", F.monotonically_increasing_id()), "line-sets")
-    pairs = similar_sets(sets, with_text)
-    gone = written(pairs.select(F.when(F.col("first_a") > F.col("first_b"), F.col("a")).otherwise(F.col("b")).alias("id")).distinct(), "line-gone")
+    gone = written(repeated_sets(sets, with_text), "line-gone")
     kept = sets.select("id", "doc", "line_no").join(gone, "id", "left_anti").groupBy("doc").agg(F.array_sort(F.collect_list("line_no")).alias("_kept"))
     # The kept line numbers as one flag a line: false up to each, then true.
     before = lambda i: F.when(i == 0, F.lit(-1)).otherwise(F.col("_kept")[i - 1])
