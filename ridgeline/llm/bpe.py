@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from ridgeline.llm.common import narrow
 
 #: When a worker knows more chunks than this, it keeps those that its last stretch of texts had more than once.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 #: Bytes of text whose chunks are told apart at once; a longer text is a stretch of its own.
-STRETCH = 32 << 20
+STRETCH = 8 << 20
 #: Marks that are words of their own after letters.
 MARKS = frozenset(".,;:!?)")
 
