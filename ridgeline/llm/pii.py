@@ -1,10 +1,12 @@
 """Personal data by fixed patterns and a skip-chain conditional random field.
 
-The patterns give base spans, which always stay. The field labels white-space tokens that hold a digit or an @ (all
-others are outside by definition and cut the chain). Neighbouring tokens share chain potentials; each occurrence of a
-token shares skip potentials with the next occurrence in its document of the same token, or of one with the same
-digits, so the links of n repeats are n - 1. Base spans are observed. Loopy sum-product message passing then gives each
-token's marginals; confident ones become added spans. Weights are trained here by gradient ascent on texts that a
+The patterns give base spans, which always stay. The field labels white-space tokens that hold a digit, an @ or a
+written-out at (all others are outside by definition and cut the chain). Neighbouring tokens share chain potentials; all
+occurrences of a value in a document share skip potentials with one hub, which sees the cues of all of them, so the links
+of n repeats are n. What the occurrences tell a hub counts 1 / n each: the same token seen often is no more evidence
+than once. A value is the joined digits of one to four neighbouring tokens, or else a token. Base spans are
+observed. Loopy sum-product message passing until each document settles then gives each token's marginals; confident
+ones become added spans. Weights are trained here by gradient ascent on texts that a
 seeded generator writes; nothing is learned from the corpus.
 """
 
@@ -22,8 +24,9 @@ from pyspark.sql import functions as F
 from ridgeline.llm.common import narrow
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 10  # of message passing, always: a document's result doesn't depend on its neighbours in a batch
-SURE = 0.95  # least marginal of every token of an added span
+SETTLED = 1e-3  # change of a document's messages at which they stop, whatever its neighbours in a batch do
+ROUNDS = 1000  # at most, for a document whose messages never settle
+SURE = 0.95  # least marginal of every token of an added span, for a repeated value that of its hub or of one token
 CHAIN, SKIP = 0, 1
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -33,7 +36,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_MARK = re.compile(r"[0-9@]")
+_MARK = re.compile(r"[0-9@]|[\[(][Aa][Tt][\])]")
 
 
 def _luhn(digits: str) -> bool:
@@ -81,7 +84,7 @@ _TOKEN_END = re.compile(r"[\x20\x09-\x0D]")
 
 
 def tokens(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the white-space tokens that hold a digit or an @."""
+    """(start, end) of the white-space tokens that hold a digit, an @, [at] or (at)."""
     out, at = [], 0
     while m := _MARK.search(text, at):
         end = _TOKEN_END.search(text, m.end())
@@ -123,9 +126,11 @@ def _digits_class(n: int) -> str:
 
 
 #: Feature names, the index of each is its row in the weights. "" is the padding, of weight zero.
-FEATURES = ["", "bias", *sorted(_SHAPES), *sorted(f"cue-{k}" for k in KINDS), *(_digits_class(n) for n in (0, 1, 3, 4, 5, 7, 8, 10, 12, 14, 99)), "letters", "first", "long"]
+FEATURES = ["", "bias", *sorted(_SHAPES), *sorted(f"cue-{k}" for k in KINDS), *sorted(f"any-cue-{k}" for k in KINDS), *(_digits_class(n) for n in (0, 1, 3, 4, 5, 7, 8, 10, 12, 14, 99)), "letters", "first", "long"]
 _PLACE = {f: i for i, f in enumerate(FEATURES)}
+_ANY = {_PLACE[f"cue-{k}"]: _PLACE[f"any-cue-{k}"] for k in KINDS}
 SLOTS = 12
+VALUE_TOKENS = 4  # neighbouring tokens that one value may be written in
 
 
 def features(token: str, before: str) -> list[int]:
@@ -142,6 +147,39 @@ def features(token: str, before: str) -> list[int]:
     return [_PLACE[f] for f in found[:SLOTS]]
 
 
+def repeated_values(found: list[str], joined: list[bool]) -> list[list[int]]:
+    """The tokens of each value that occurs more than once; joined: whether a token follows the one before it directly.
+
+    A token belongs to the value with most digits that it is part of.
+    """
+    digits = [re.sub("[^0-9]", "", t) for t in found]
+    windows, last, count = [], {}, {}
+    for i in range(len(found)):
+        value = ""
+        for j in range(i, min(i + VALUE_TOKENS, len(found))):
+            if not digits[j] or j > i and not joined[j]:
+                break
+            value += digits[j]
+            if len(value) > 19:
+                break
+            if len(value) >= 7:
+                key = "#" + value
+                windows.append((key, i, j + 1))
+                if i >= last.get(key, 0):
+                    last[key], count[key] = j + 1, count.get(key, 0) + 1
+        if len(key := found[i].strip(_TRIM).lower()) >= 5:
+            windows.append((key, i, i + 1))
+            last[key], count[key] = i + 1, count.get(key, 0) + 1
+    value_of: list[str] = [""] * len(found)
+    for key, i, j in sorted((w for w in windows if count[w[0]] > 1), key=lambda w: (w[0][0] == "#", len(w[0]))):
+        value_of[i:j] = [key] * (j - i)
+    members: dict[str, list[int]] = {}
+    for i, key in enumerate(value_of):
+        if key:
+            members.setdefault(key, []).append(i)
+    return [m for m in members.values() if len(m) > 1]
+
+
 class Graph:
     """Tokens of many documents with their chain and skip links, as arrays."""
 
@@ -149,15 +187,18 @@ class Graph:
         self.unary: list[list[int]] = []
         self.observed: list[int] = []  # label, or -1
         self.links: list[tuple[int, int, int]] = []
+        self.starts: list[int] = []  # first place of each document
+        self.hubs: list[tuple[int, list[int]]] = []  # and the tokens of each
 
     def add(self, text: str, spans: list[tuple[int, int]], base: list[tuple[str, int, int]]) -> None:
-        """One document: its tokens get the next places."""
-        seen: dict[str, int] = {}
+        """One document: its tokens get the next places, then the hubs of its repeated values."""
+        first = len(self.unary)
+        self.starts.append(first)
         end, k = 0, 0
+        joined: list[bool] = []  # to the token before
         for i, (s, e) in enumerate(spans):
             here = len(self.unary)
-            token = text[s:e]
-            self.unary.append(features(token, text[max(end, s - 40) : s]))
+            self.unary.append(features(text[s:e], text[max(end, s - 40) : s]))
             while k < len(base) and base[k][2] <= s:
                 k += 1
             label = -1
@@ -168,14 +209,17 @@ class Graph:
                     label = KINDS.index(kind) + 1
                     break
             self.observed.append(label)
-            if i and spans[i - 1][1] + 1 == s and text[s - 1] == " ":
+            joined.append(bool(i) and spans[i - 1][1] + 1 == s and text[s - 1] == " ")
+            if joined[-1]:
                 self.links.append((here - 1, here, CHAIN))
-            digits = re.sub("[^0-9]", "", token)
-            for key in {token.strip(_TRIM).lower(), "#" + digits if len(digits) >= 7 else ""} - {""}:
-                if key in seen and len(key) >= 5:
-                    self.links.append((seen[key], here, SKIP))
-                seen[key] = here
             end = e
+        for members in repeated_values([text[s:e] for s, e in spans], joined):
+            hub = len(self.unary)
+            cues = {_ANY[f] for i in members for f in self.unary[first + i] if f in _ANY}
+            self.unary.append(sorted(cues))
+            self.observed.append(-1)
+            self.hubs.append((hub, [first + i for i in members]))
+            self.links += [(first + i, hub, SKIP) for i in members]
 
     def marginals(self, weights: np.ndarray, links: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(tokens, labels) beliefs, (links, labels, labels) beliefs, and the links (from, to, type)."""
@@ -195,16 +239,25 @@ class Graph:
         back = np.concatenate([np.arange(m) + m, np.arange(m)])
         message = np.zeros((2 * m, labels))  # logarithms
         belief = own.copy()
-        for _ in range(ROUNDS if m else 0):
-            cavity = belief[src] - message[back]
+        # No link leaves its document.
+        part = np.zeros(2 * m, np.int64)
+        part[:m] = part[m:] = np.searchsorted(np.array(self.starts, np.int64), edge[:, 0], side="right")
+        share = np.ones((2 * m, 1))
+        into = np.nonzero(edge[:, 2] == SKIP)[0]
+        share[into, 0] = 1 / np.bincount(edge[into, 1], minlength=1)[edge[into, 1]] if len(into) else 1
+        live = np.arange(2 * m)
+        for _ in range(ROUNDS):
+            if not len(live):
+                break
+            cavity = belief[src[live]] - message[back[live]]
             cavity = np.exp(cavity - cavity.max(axis=1, keepdims=True))
-            new = np.zeros_like(message)
-            for y in range(labels):
-                new += cavity[:, y : y + 1] * pair[:, y, :]
-            new = np.log(new / new.sum(axis=1, keepdims=True))
-            message = 0.5 * message + 0.5 * new
-            belief = own.copy()
-            np.add.at(belief, dst, message)
+            new = np.einsum("ey,eyz->ez", cavity, pair[live])
+            new = 0.5 * message[live] + 0.5 * share[live] * np.log(new / new.sum(axis=1, keepdims=True))
+            moved = np.zeros(len(self.starts) + 1)
+            np.maximum.at(moved, part[live], np.abs(new - message[live]).max(axis=1))
+            np.add.at(belief, dst[live], new - message[live])
+            message[live] = new
+            live = live[moved[part[live]] > SETTLED]
         if m:
             joint = pair[:m] * np.exp((belief[src[:m]] - message[back[:m]])[:, :, None] + (belief[dst[:m]] - message[:m])[:, None, :] - belief[src[:m]].max(axis=1)[:, None, None] - belief[dst[:m]].max(axis=1)[:, None, None])
             joint /= joint.sum(axis=(1, 2), keepdims=True)
@@ -221,7 +274,7 @@ def _sample(rng: np.random.Generator, words: list[str]) -> tuple[str, list[tuple
     pick = lambda *options: options[rng.integers(len(options))]
     card = [num(4) for _ in range(4)]
     mine = {
-        "email": f"{word()}.{word()}{num(2)}@{word()}{pick('.com', '.org', '.example.com')}",
+        "email": pick(f"{word()}.{word()}{num(2)}@{word()}{pick('.com', '.org', '.example.com')}", f"{word()}{pick('[at]', '(at)')}{word()}{pick('[dot]', '(dot)', '.')}{pick('com', 'org')}"),
         "ip": ".".join(str(x) for x in rng.integers(0, 256, 4)),
         "card": pick(" ".join(card), "-".join(card)),
         "phone": pick(f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"+{num(1)} {num(3)} {num(3)} {num(4)}", f"({num(3)}) {num(3)}.{num(4)}"),
@@ -254,6 +307,7 @@ def train(texts: int = 150, steps: int = 100, rate: float = 2.0, seed: int = 5)
         graph.add(text, where, [])
         for s, e in where:
             truth.append(next((KINDS.index(k) + 1 for k, a, b in spans if a < e and b > s), 0))
+        truth += [truth[of[0]] for hub, of in graph.hubs if hub >= len(truth)]
     y = np.array(truth)
     labels = len(KINDS) + 1
     weights, links = np.zeros((len(FEATURES), labels)), np.zeros((2, labels, labels))
@@ -304,6 +358,9 @@ def find(texts: list[str], weights: np.ndarray, links: np.ndarray) -> list[tuple
         bases.append(base)
     belief = graph.marginals(weights, links)[0] if graph.unary else np.zeros((0, len(KINDS) + 1))
     label = np.where(belief.max(axis=1, initial=0) >= SURE, belief.argmax(axis=1) if len(belief) else 0, 0)
+    for hub, of in graph.hubs:  # a value is one kind everywhere: its hub's if that is sure, else that of its surest token
+        if kind := label[hub] or label[max(of, key=lambda i: belief[i, 1:].max())]:
+            label[of] = kind
     out = []
     for t, spans, base, first in zip(texts, where, bases, firsts, strict=True):
         added: list[tuple[str, int, int]] = []
