@@ -53,6 +53,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame, table: DataFrame, most: int) -> DataFrame:
+    """df, to be broadcast if `table`, the written rows that it is made of, are at most `most`; else it is shuffled."""
+    return F.broadcast(df) if table.count() <= most else df
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, parts: int = 1000) -> DataFrame:
     """Inner join of rows with one row per key of groups, where a few keys may hold most rows.
 

@@ -2,9 +2,14 @@
 
 A line is the set of its words (runs without white space). Words are ordered by rarity: a table of fixed size holds the
 corpus count of each hash bucket of words, on a logarithmic scale. Lines with equal sets collapse into one
-row before anything is compared. Two sets of Jaccard >= 4/5 share a word among the first few of each in that order
-(prefix filter); pairs that do are kept if their sizes (length filter) and the places of the shared word (positional
-filter) and 64-bit parity sketches allow the threshold, and are then verified on 64-bit hashes of all their words.
+row before anything is compared; rows are numbered in the order of their first lines. Two sets of Jaccard >= 4/5 share
+a word among the first few of each in the rarity order (prefix filter); pairs that do are kept if their sizes (length
+filter) and the places of the shared word (positional filter) and 64-bit parity sketches allow the threshold, and are
+then verified on 64-bit hashes of all their words.
+
+A set needs one earlier match only. So the members of a group of near copies first meet two earlier sets that have two
+of their four least word hashes in common with them; the prefix join lists pairs for the sets that this leaves alone,
+and for those whose near set fails the verification. A group of m near copies costs a few rows a member this way.
 """
 
 from __future__ import annotations
@@ -12,15 +17,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import SPACE, written
+from ridgeline.llm.common import few, written
 
 BUCKETS = 1 << 18  # entries of the rarity table (8 bytes each), whatever the input
 HASH_BITS = 56
+LEAST = 4  # least word hashes of a set, of which near copies share two
+FEW = 20_000  # sets that are broadcast when left over; more are shuffled
+
+
+def spaced(text: Column) -> Column:
+    """Text whose white space is spaces and line feeds alone."""
+    others = "\t\x0b\x0c\r"
+    found = F.lit(False)
+    for c in others:
+        found = found | F.contains(text, F.lit(c))
+    return F.when(found, F.translate(text, others, " " * len(others))).otherwise(text)
 
 
 def _hashes(line: Column) -> Column:
     """64-bit hashes of the distinct words of a line."""
-    return F.array_remove(F.array_distinct(F.transform(F.split(line, SPACE), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    return F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
 def _ceil(times: int, n: Column, by: int) -> Column:
@@ -31,7 +47,8 @@ def rarity_table(texts: DataFrame) -> DataFrame:
     """One row, one array of BUCKETS longs: how common the words of each hash bucket are over all texts, in the top byte."""
     spark = texts.sparkSession
     bucket = F.xxhash64("word").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket")
-    counts = texts.select(F.explode(F.split("text", SPACE)).alias("word")).select(bucket).groupBy("bucket").agg(F.count("*").alias("n"))
+    lines = texts.select(F.explode(F.split("text", "\n")).alias("line"))
+    counts = lines.select(F.explode(F.split("line", " ")).alias("word")).select(bucket).groupBy("bucket").agg(F.count("*").alias("n"))
     every = spark.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"), F.lit(0).cast("long").alias("n"))
     level = F.least(F.lit(120), F.floor(F.log2(F.sum("n") + 1) * 4)).cast("long")
     levels = counts.unionByName(every).groupBy("bucket").agg(F.shiftleft(level, HASH_BITS).alias("level"))
@@ -39,70 +56,99 @@ def rarity_table(texts: DataFrame) -> DataFrame:
     return levels.agg(F.transform(in_order, lambda x: x["level"]).alias("table"))
 
 
-def _codes(line: Column, table: Column) -> Column:
-    """Sorted codes of a line's words: rarity in the top byte, the word's hash in the other 56 bits."""
+def _codes(hashes: Column, table: Column) -> Column:
+    """Sorted codes of words: rarity in the top byte, the word's hash in the other 56 bits."""
 
     def code(h: Column) -> Column:
         return F.get(table, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
 
-    return F.sort_array(F.transform(_hashes(line), code))
+    return F.sort_array(F.transform(hashes, code))
 
 
 def line_sets(texts: DataFrame) -> DataFrame:
-    """One row per distinct set of words: n, its first line (doc, line_no), its sketch and its prefix. texts: doc, text.
+    """One row per distinct set of words: id, n, its first line (doc, line_no), copies, its least hashes, sketch and prefix.
 
-    Sets are told apart by 96 bits of hashes of all their codes. The prefix holds 31 bits of each code; a sketch bit is
-    the parity of the number of words whose hash falls on it.
+    texts: doc, text. Ids follow the order of first lines. Sets are told apart by 96 bits of hashes of all their codes.
+    The prefix holds 31 bits of each code; a sketch bit is the parity of the number of words whose hash falls on it.
     """
+    texts = texts.select("doc", spaced(F.col("text")).alias("text"))
     table = rarity_table(texts)
     lines = texts.select("doc", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    coded = lines.withColumn("table", table.scalar()).select("doc", "line_no", _codes(F.col("line"), F.col("table")).alias("codes"))
+    coded = lines.withColumn("table", table.scalar()).select("doc", "line_no", _codes(_hashes(F.col("line")), F.col("table")).alias("codes"))
+    by_hash = F.sort_array(F.transform("codes", lambda c: c.bitwiseAND(F.lit((1 << HASH_BITS) - 1))))
+    least = F.transform(F.slice(by_hash, 1, LEAST), lambda h: h.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
     n = F.size("codes")
     prefix = F.transform(F.slice("codes", 1, F.when(n > 4, n - _ceil(4, n, 5) + 1).otherwise(0)), lambda c: c.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
     bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(c, 31).bitwiseAND(F.lit(63)).cast("int"))
     sketch = F.aggregate("codes", F.lit(0).cast("long"), lambda bits, c: bits.bitwiseXOR(bit(c)))
-    keyed = coded.select(F.xxhash64("codes").alias("k1"), F.hash("codes").alias("k2"), F.struct("doc", "line_no", n.alias("n"), sketch.alias("sketch"), prefix.alias("prefix")).alias("s"))
-    return keyed.groupBy("k1", "k2").agg(F.min("s").alias("s")).select("s.*").where("n > 0")
+    first = F.struct("doc", "line_no", n.alias("n"), least.alias("least"), sketch.alias("sketch"), prefix.alias("prefix")).alias("s")
+    sets = coded.select(F.xxhash64("codes").alias("k1"), F.hash("codes").alias("k2"), first).groupBy("k1", "k2").agg(F.min("s").alias("s"), F.count("*").cast("int").alias("copies"))
+    return sets.select("s.*", "copies").where("n > 0").orderBy("doc", "line_no").withColumn("id", F.monotonically_increasing_id())
 
 
-def candidate_pairs(sets: DataFrame) -> DataFrame:
-    """(later, earlier, apart): ids of sets that the prefix, length and positional filters and the sketches leave, by the
-    order of their first lines, and the number of bits that their sketches differ in; each pair once."""
-    kept = sets.where("n > 4")  # smaller sets reach 4/5 only when equal
-    # b's shorter prefix (8/9 of its size) follows from the positional filter, so both sides are the same rows, shuffled once.
-    at = lambda side: kept.select(F.col("id").alias(f"id_{side}"), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}"), F.posexplode("prefix").alias(f"at_{side}", "code"))
-    lengths = (F.col("n_b") <= F.col("n_a")) & (F.col("n_b") * 5 >= F.col("n_a") * 4) & ((F.col("n_b") < F.col("n_a")) | (F.col("id_b") < F.col("id_a")))
-    rest = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    places = rest * 9 >= (F.col("n_a") + F.col("n_b")) * 4
-    # Words of one set only are at most a ninth of both sizes together; each odd one out sets one bit at most.
-    apart = F.bit_count(F.col("s_a").bitwiseXOR(F.col("s_b")))
-    pairs = at("a").join(at("b"), "code").where(lengths & places & (apart * 9 <= F.col("n_a") + F.col("n_b")))
-    pairs = pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), apart.alias("apart")).distinct()
-    of = lambda side: kept.select(F.col("id").alias(side), F.struct("doc", "line_no").alias(f"first_{side}"))
-    turned = F.when(F.col("first_a") > F.col("first_b"), F.struct(F.col("a").alias("later"), F.col("b").alias("earlier"))).otherwise(F.struct(F.col("b").alias("later"), F.col("a").alias("earlier")))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select(turned.alias("pair"), "apart").select("pair.*", "apart")
+def _may_match(n_a: str, n_b: str, s_a: str, s_b: str) -> tuple[Column, Column]:
+    """Whether sets of these sizes and sketches can reach the threshold, and the bits their sketches differ in.
 
+    Words of one set only are at most a ninth of both sizes together; each odd one out sets one bit at most.
+    """
+    a, b = F.col(n_a), F.col(n_b)
+    apart = F.bit_count(F.col(s_a).bitwiseXOR(F.col(s_b)))
+    return (a * 5 >= b * 4) & (b * 5 >= a * 4) & (apart * 9 <= a + b), apart
 
-def repeated_sets(sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """id of each set whose Jaccard with an earlier, different set is >= 4/5. docs: doc, text.
 
-    Verified on 64-bit hashes of the words, made once per line: first each set against the earlier one nearest by sketch,
-    which settles most members of large groups with one pair each, then those not settled against all their candidates.
+def nearest_earlier(sets: DataFrame) -> DataFrame:
+    """(later, earlier): for each set the nearest by sketch of the earlier sets that it meets.
+
+    Sets with two of their least hashes in common meet the earliest of them and the one with most copies.
     """
-    pairs = written(candidate_pairs(sets), "line-pairs")
-    asked = pairs.select(F.explode(F.array("later", "earlier")).alias("id")).distinct().join(sets.select("id", "doc", "line_no"), "id")
-    found = docs.join(asked.groupBy("doc").agg(F.collect_list(F.struct("line_no", "id")).alias("asked")), "doc").select(F.split("text", "\n").alias("lines"), F.explode("asked").alias("x"))
+    pairs = F.array(*(F.struct(F.get("least", i).alias("x"), F.get("least", j).alias("y")) for i in range(LEAST) for j in range(i + 1, min(i + 3, LEAST))))
+    keyed = sets.where("n > 4").select("id", "n", "sketch", "copies", F.explode(pairs).alias("key"))
+    mine = F.struct("id", "n", "sketch")
+    met = F.array_distinct(F.array(F.min(mine), F.max_by(mine, F.struct("copies", -F.col("id"))))).alias("met")
+    heads = written(keyed.groupBy("key").agg(met, F.count("*").alias("all")).where("all > 1").drop("all"), "line-heads")
+    both = keyed.join(heads, "key").select("id", "n", "sketch", F.explode("met").alias("m")).select("id", "n", "sketch", F.col("m.id").alias("earlier"), F.col("m.n").alias("m"), F.col("m.sketch").alias("seen"))
+    may, apart = _may_match("n", "m", "sketch", "seen")
+    nearest = both.where("earlier < id").where(may).groupBy("id").agg(F.min(F.struct(apart.alias("apart"), "earlier")).alias("x"))
+    return nearest.select(F.col("id").alias("later"), "x.earlier")
+
+
+def candidate_pairs(later: DataFrame, sets: DataFrame) -> DataFrame:
+    """(later, earlier): each set of `later`, some of the rows of sets, with the earlier sets that the prefix, length and
+    positional filters and the sketches leave; each pair once."""
+    at = lambda of, side: of.where("n > 4").select(F.col("id").alias(f"id_{side}"), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}"), F.posexplode("prefix").alias(f"at_{side}", "code"))
+    may, _ = _may_match("n_a", "n_b", "s_a", "s_b")
+    rest = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    pairs = at(later, "a").join(at(sets, "b"), "code").where((F.col("id_b") < F.col("id_a")) & may & (rest * 9 >= (F.col("n_a") + F.col("n_b")) * 4))
+    return pairs.select(F.col("id_a").alias("later"), F.col("id_b").alias("earlier")).distinct()
+
+
+def line_words(asked: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, words): the hashes of the words of each set of `asked` (id, doc, line_no), a written table."""
+    by_doc = asked.groupBy("doc").agg(F.collect_list(F.struct("line_no", "id")).alias("asked"))
+    found = docs.join(few(by_doc, asked, 5 * FEW), "doc").select(F.split(spaced(F.col("text")), "\n").alias("lines"), F.explode("asked").alias("x"))
     lines = found.select(F.col("x.id").alias("id"), _hashes(F.get("lines", F.col("x.line_no"))).alias("words"))
-    words = written(lines.groupBy("id").agg(F.first("words").alias("words")), "line-words")  # one row where documents repeat
+    return lines.groupBy("id").agg(F.first("words").alias("words"))  # one row where documents repeat
 
-    def alike(some: DataFrame) -> DataFrame:
-        of = lambda side: words.select(F.col("id").alias(side), F.col("words").alias(f"{side}_words"))
-        both = some.select("later", "earlier").join(of("earlier"), "earlier").join(of("later"), "later")
-        return both.where(F.size(F.array_intersect("later_words", "earlier_words")) * 9 >= (F.size("later_words") + F.size("earlier_words")) * 4).select(F.col("later").alias("id")).distinct()
 
-    nearest = pairs.groupBy("later").agg(F.min(F.struct("apart", "earlier")).alias("x")).select("later", "x.earlier")
-    settled = written(alike(nearest), "line-near")
-    return settled.unionByName(alike(pairs.join(settled.withColumnRenamed("id", "later"), "later", "left_anti")))
+def matches(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows of pairs (later, earlier) whose sets have Jaccard >= 4/5."""
+    asked = pairs.select(F.explode(F.array("later", "earlier")).alias("id")).distinct().join(sets.select("id", "doc", "line_no"), "id")
+    words = written(line_words(written(asked, "line-asked"), docs), "line-words")
+    of = lambda side: words.select(F.col("id").alias(side), F.col("words").alias(f"{side}_words"))
+    both = pairs.join(of("earlier"), "earlier").join(of("later"), "later")
+    return both.where(F.size(F.array_intersect("later_words", "earlier_words")) * 9 >= (F.size("later_words") + F.size("earlier_words")) * 4).select("later", "earlier")
+
+
+def repeated_sets(sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """id of each set whose Jaccard with an earlier, different set is >= 4/5. docs: doc, text."""
+    near = written(nearest_earlier(sets), "line-near")
+    alone = sets.join(near.select(F.col("later").alias("id")), "id", "left_anti")
+    pairs = written(near.unionByName(candidate_pairs(alone, sets)), "line-pairs")
+    settled = written(matches(pairs, sets, docs).select(F.col("later").alias("id")).distinct(), "line-settled")
+    # Sets whose nearest one failed have not met the others yet.
+    failed = written(sets.join(near.select(F.col("later").alias("id")), "id", "left_semi").join(settled, "id", "left_anti"), "line-failed")
+    more = written(candidate_pairs(few(failed, failed, FEW), sets), "line-more")
+    return settled.unionByName(matches(more, sets, docs).select(F.col("later").alias("id")).distinct())
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -112,13 +158,14 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     (null ids first), then by hash of the text where rows share an id, then by line; removed lines count as earlier
     ones too. Lines without words stay. A null text stays null with no lines; an empty one has one line. Rows that
     repeat an id and a text are one document: each of them keeps the same lines. Columns of df named n_lines or
-    n_removed stay as they are, the counts come last. Empty table: no rows.
+    n_removed are replaced. Empty table: no rows.
     """
+    df = df.drop(*(c for c in ("n_lines", "n_removed") if c not in (id_col, text_col)))
     extra = {c: f"_c{i}" for i, c in enumerate(df.columns)}
     docs = df.select(*(F.col(f"`{c}`").alias(v) for c, v in extra.items()))
     docs = docs.withColumn("text", F.col(extra[text_col])).withColumn("doc", F.struct(F.col(extra[id_col]).alias("id"), F.xxhash64("text").alias("hash")))
     with_text = docs.select("doc", "text").where("text is not null")
-    sets = written(line_sets(with_text).withColumn("id", F.monotonically_increasing_id()), "line-sets")
+    sets = written(line_sets(with_text), "line-sets")
     gone = written(repeated_sets(sets, with_text), "line-gone")
     kept = sets.select("id", "doc", "line_no").join(gone, "id", "left_anti").groupBy("doc").agg(F.array_sort(F.collect_list("line_no")).alias("_kept"))
     # The kept line numbers as one flag a line: false up to each, then true.
