@@ -9,6 +9,7 @@ block is each word's own order.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -232,23 +233,31 @@ def indexed(path: str) -> Chunks:
 def encode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids array<int>: one row per input row, without special tokens added; null and empty texts have no ids.
 
-    tokenizer: path of the vocabulary file, readable on every executor.
+    tokenizer: path of the vocabulary file, readable on every executor. Repeated rows stay and agree; an empty table
+    gives no rows; other columns go.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = indexed(tokenizer)
         for b in batches:
-            texts = table.of(b.column("text"))
-            for at in range(0, b.num_rows, 512):
-                found = list(islice(texts, 512))
+            at = 0
+            for found in encoded(table, b.column("text")):
                 ends = np.append(0, np.cumsum([len(f) for f in found])).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found).astype(np.int32), pa.int32()))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, 512), ids], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, len(found)), ids], ["doc_id", "ids"])
+                at += len(found)
 
     rows = narrow(df, id_col, text_col)
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
+def encoded(table: Chunks, texts: pa.Array, rows: int = 512) -> Iterator[list[np.ndarray]]:
+    """The ids of the texts, `rows` texts at a time."""
+    found = table.of(texts)
+    while part := list(islice(found, rows)):
+        yield part
+
+
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> list[str]:
     words = Words(path)
@@ -256,14 +265,39 @@ def vocabulary(path: str) -> list[str]:
     return [names.get(i, "") for i in range(max(names) + 1)]
 
 
+def decoded(ids: np.ndarray, names: list[str]) -> str:
+    """The text of ids: the vocabulary has no decoder, so tokens are joined by one space; ids outside it are nothing."""
+    return " ".join([names[i] for i in ids.tolist() if 0 <= i < len(names)])
+
+
 def decode(df: DataFrame, tokenizer: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
-    """All columns of df, with the text of its ids, special tokens included: the vocabulary has no decoder, so tokens
-    are joined by one space. Null ids give null, ids outside the vocabulary nothing."""
+    """All columns of df, with the text of its ids, special tokens included, as column `out`, which it replaces if df has
+    one. Null ids give null, ids outside the vocabulary nothing."""
 
     @F.pandas_udf("string")
     def text(ids: pd.Series) -> pd.Series:
         names = vocabulary(tokenizer)
-        n = len(names)
-        return ids.map(lambda x: None if x is None else " ".join([names[i] for i in x.tolist() if 0 <= i < n]))
+        return ids.map(lambda x: None if x is None else decoded(x, names))
 
     return df.withColumn(out, text(ids_col))
+
+
+def round_trip(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: what encode() and then decode() give, as digests, one row per input row.
+
+    Ids and decoded texts stay in the Python worker, a few hundred documents of them at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, names = indexed(tokenizer), vocabulary(tokenizer)
+        numbers = [str(i) for i in range(len(names))]
+        digest = lambda text: hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+        for b in batches:
+            at = 0
+            for found in encoded(table, b.column("text"), 64):
+                rows = [(len(ids), digest(" ".join([numbers[i] for i in ids.tolist()])), digest(decoded(ids, names))) for ids in found]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, len(found)), *map(pa.array, zip(*rows, strict=True))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                at += len(found)
+
+    rows = narrow(df, id_col, text_col)
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -26,19 +26,29 @@ def narrow(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none (tests)."""
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share.
+
+    Where the session names none, one of our own in local mode, where all run in one process; on a cluster it raises.
+    """
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(found)
+        context.setCheckpointDir(found)
     return found
 
 
+#: Paths of written tables that are still there, oldest first.
+_TABLES: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: computed once, short lineage, safe from lost executors.
 
-    Shuffle files of the write go when it ends, since nothing reads them again; the table goes when the driver's JVM ends.
+    Shuffle files of the write go when it ends, since nothing reads them again; the table goes by discard(), or else
+    when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
@@ -48,11 +58,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    _folder(spark, path, "deleteOnExit")
+    _TABLES.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _folder(spark: SparkSession, path: str, action: str, *more: bool) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    getattr(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), action)(at, *more)
+
+
+def marked() -> int:
+    """A mark in the list of written tables, for discard()."""
+    return len(_TABLES)
+
+
+def discard(spark: SparkSession, since: int, but: Sequence[DataFrame] = ()) -> None:
+    """Deletes the tables written after marked() gave `since`, except those that the frames of `but` read.
+
+    Call it only when nothing that is still to be computed reads them.
+    """
+    kept = {f.split("/")[-2] for df in but for f in df.inputFiles()}
+    gone = [p for p in _TABLES[since:] if p.rsplit("/", 1)[-1] not in kept]
+    for path in gone:
+        _folder(spark, path, "delete", True)
+        _TABLES.remove(path)
+
+
 def few(df: DataFrame, table: DataFrame, most: int) -> DataFrame:
     """df, to be broadcast if `table`, the written rows that it is made of, are at most `most`; else it is shuffled."""
     return F.broadcast(df) if table.count() <= most else df

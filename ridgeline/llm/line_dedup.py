@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import few, written
+from ridgeline.llm.common import discard, few, marked, written
 
 BUCKETS = 1 << 18  # entries of the rarity table (8 bytes each), whatever the input
 HASH_BITS = 56
@@ -151,22 +151,24 @@ def repeated_sets(sets: DataFrame, docs: DataFrame) -> DataFrame:
     return settled.unionByName(matches(more, sets, docs).select(F.col("later").alias("id")).distinct())
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns and rows of df, text without its repeated lines, and n_lines, n_removed (long).
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = True) -> DataFrame:
+    """All columns and rows of df, text without its repeated lines, and with `counts` n_lines, n_removed (long).
 
     A line goes if its set of words has Jaccard >= 0.8 with that of any earlier line of the corpus; earlier is by id
     (null ids first), then by hash of the text where rows share an id, then by line; removed lines count as earlier
     ones too. Lines without words stay. A null text stays null with no lines; an empty one has one line. Rows that
     repeat an id and a text are one document: each of them keeps the same lines. Columns of df named n_lines or
-    n_removed are replaced. Empty table: no rows.
+    n_removed are replaced by the counts, without `counts` they stay. Empty table: no rows.
     """
-    df = df.drop(*(c for c in ("n_lines", "n_removed") if c not in (id_col, text_col)))
+    df = df.drop(*(c for c in ("n_lines", "n_removed") if counts and c not in (id_col, text_col)))
     extra = {c: f"_c{i}" for i, c in enumerate(df.columns)}
     docs = df.select(*(F.col(f"`{c}`").alias(v) for c, v in extra.items()))
     docs = docs.withColumn("text", F.col(extra[text_col])).withColumn("doc", F.struct(F.col(extra[id_col]).alias("id"), F.xxhash64("text").alias("hash")))
     with_text = docs.select("doc", "text").where("text is not null")
     sets = written(line_sets(with_text), "line-sets")
+    since = marked()
     gone = written(repeated_sets(sets, with_text), "line-gone")
+    discard(df.sparkSession, since, [gone])
     kept = sets.select("id", "doc", "line_no").join(gone, "id", "left_anti").groupBy("doc").agg(F.array_sort(F.collect_list("line_no")).alias("_kept"))
     # The kept line numbers as one flag a line: false up to each, then true.
     before = lambda i: F.when(i == 0, F.lit(-1)).otherwise(F.col("_kept")[i - 1])
@@ -176,4 +178,4 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     done = joined.withColumn("_left", F.filter("_lines", lambda x, i: F.coalesce(F.get("_flags", i), F.lit(False)) | blank(x)))
     out = [(F.array_join("_left", "\n") if c == text_col else F.col(v)).alias(c) for c, v in extra.items()]
     n = lambda c: F.when(F.col("text").isNull(), 0).otherwise(F.size(c)).cast("long")
-    return done.select(*out, n("_lines").alias("n_lines"), (n("_lines") - n("_left")).alias("n_removed"))
+    return done.select(*out, *([n("_lines").alias("n_lines"), (n("_lines") - n("_left")).alias("n_removed")] if counts else []))

@@ -75,15 +75,9 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ridgeline.llm.bpe import decode, encode
-
-    found = decode(encode(documents(spark, sf_dir), tokenizer_file()), tokenizer_file())
-    return found.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    from ridgeline.llm.bpe import round_trip
+
+    return round_trip(documents(spark, sf_dir), tokenizer_file())
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from conftest_llm import plain
 
-from ridgeline.llm.bpe import decode, encode
+from ridgeline.llm.bpe import decode, encode, round_trip
 from ridgeline.llm.exact_dedup import exact_dedup
 from ridgeline.llm.language import keep_known, learn, predict
 from ridgeline.llm.line_dedup import dedup_lines
@@ -130,6 +130,11 @@ def test_bpe(corpus, spark):
     for r in plain(decode(encode(both, tokenizer_file()), tokenizer_file())):
         want = tokenizer.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids
         assert r["ids"] == want and r["decoded"] == tokenizer.decode(want, skip_special_tokens=False)
+    for r in plain(round_trip(both, tokenizer_file())):
+        want = tokenizer.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids
+        text = tokenizer.decode(want, skip_special_tokens=False)
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(want), hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest())
+        assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
 
 
 def test_repeats(corpus):
@@ -251,6 +256,7 @@ OPERATORS = {
     "mask": mask,
     "repeats": remove_repeats,
     "bpe": lambda df: decode(encode(df, tokenizer_file()), tokenizer_file()),
+    "round_trip": lambda df: round_trip(df, tokenizer_file()),
     "lines": dedup_lines,
     "predict": lambda df: predict(df, None),
 }
