@@ -8,7 +8,7 @@ filter) and the places of the shared word (positional filter) and 64-bit parity
 then verified on 64-bit hashes of all their words.
 
 A set needs one earlier match only. So the members of a group of near copies first meet two earlier sets that have two
-of their four least word hashes in common with them; the prefix join lists pairs for the sets that this leaves alone,
+neighbours of their four least word hashes in common with them; the prefix join lists pairs for the sets that this leaves alone,
 and for those whose near set fails the verification. A group of m near copies costs a few rows a member this way.
 """
 
@@ -21,7 +21,8 @@ from ridgeline.llm.common import discard, few, marked, written
 
 BUCKETS = 1 << 18  # entries of the rarity table (8 bytes each), whatever the input
 HASH_BITS = 56
-LEAST = 4  # least word hashes of a set, of which near copies share two
+LEAST = 4  # least word hashes of a set, of which near copies share two neighbours
+LONG = 64  # words of a set from which its sketch has 128 bits
 FEW = 20_000  # sets that are broadcast when left over; more are shuffled
 
 
@@ -80,46 +81,63 @@ def line_sets(texts: DataFrame) -> DataFrame:
     n = F.size("codes")
     prefix = F.transform(F.slice("codes", 1, F.when(n > 4, n - _ceil(4, n, 5) + 1).otherwise(0)), lambda c: c.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
     bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(c, 31).bitwiseAND(F.lit(63)).cast("int"))
-    sketch = F.aggregate("codes", F.lit(0).cast("long"), lambda bits, c: bits.bitwiseXOR(bit(c)))
-    first = F.struct("doc", "line_no", n.alias("n"), least.alias("least"), sketch.alias("sketch"), prefix.alias("prefix")).alias("s")
-    sets = coded.select(F.xxhash64("codes").alias("k1"), F.hash("codes").alias("k2"), first).groupBy("k1", "k2").agg(F.min("s").alias("s"), F.count("*").cast("int").alias("copies"))
+    odd = lambda codes: F.aggregate(codes, F.lit(0).cast("long"), lambda bits, c: bits.bitwiseXOR(bit(c)))
+    half = F.when(n > LONG, odd(F.filter("codes", lambda c: F.shiftright(c, 37).bitwiseAND(F.lit(1)) == 1))).otherwise(F.lit(0).cast("long"))
+    first = F.struct("doc", "line_no", n.alias("n"), least.alias("least"), odd("codes").alias("sketch"), half.alias("half"), prefix.alias("prefix")).alias("s")
+    # Few lines repeat within a task, so they are dealt out before they are sorted and brought together.
+    keyed = coded.select(F.xxhash64("codes").alias("k1"), F.hash("codes").alias("k2"), first).repartition("k1", "k2")
+    sets = keyed.groupBy("k1", "k2").agg(F.min("s").alias("s"), F.count("*").cast("int").alias("copies"))
     return sets.select("s.*", "copies").where("n > 0").orderBy("doc", "line_no").withColumn("id", F.monotonically_increasing_id())
 
 
-def _may_match(n_a: str, n_b: str, s_a: str, s_b: str) -> tuple[Column, Column]:
-    """Whether sets of these sizes and sketches can reach the threshold, and the bits their sketches differ in.
+def _apart(a: str, b: str) -> tuple[Column, Column]:
+    """Whether sets with these prefixes of column names can reach the threshold by sizes and sketches, and the bits in
+    which their sketches differ.
 
-    Words of one set only are at most a ninth of both sizes together; each odd one out sets one bit at most.
+    Words of one set only are at most a ninth of both sizes together; each odd one out sets one bit at most. The sketches
+    of two long sets are taken in their two halves, 128 bits in all.
     """
-    a, b = F.col(n_a), F.col(n_b)
-    apart = F.bit_count(F.col(s_a).bitwiseXOR(F.col(s_b)))
-    return (a * 5 >= b * 4) & (b * 5 >= a * 4) & (apart * 9 <= a + b), apart
+    n_a, n_b = F.col(f"n_{a}"), F.col(f"n_{b}")
+    whole = F.col(f"sketch_{a}").bitwiseXOR(F.col(f"sketch_{b}"))
+    half = F.col(f"half_{a}").bitwiseXOR(F.col(f"half_{b}"))
+    apart = F.when((n_a > LONG) & (n_b > LONG), F.bit_count(half) + F.bit_count(whole.bitwiseXOR(half))).otherwise(F.bit_count(whole))
+    return (n_a * 5 >= n_b * 4) & (n_b * 5 >= n_a * 4) & (apart * 9 <= n_a + n_b), apart
 
 
 def nearest_earlier(sets: DataFrame) -> DataFrame:
     """(later, earlier): for each set the nearest by sketch of the earlier sets that it meets.
 
-    Sets with two of their least hashes in common meet the earliest of them and the one with most copies.
+    Sets with two neighbours among their least hashes in common meet the earliest of them and the one with most copies.
     """
-    pairs = F.array(*(F.struct(F.get("least", i).alias("x"), F.get("least", j).alias("y")) for i in range(LEAST) for j in range(i + 1, min(i + 3, LEAST))))
-    keyed = sets.where("n > 4").select("id", "n", "sketch", "copies", F.explode(pairs).alias("key"))
-    mine = F.struct("id", "n", "sketch")
-    met = F.array_distinct(F.array(F.min(mine), F.max_by(mine, F.struct("copies", -F.col("id"))))).alias("met")
+    pairs = F.array(*(F.struct(F.get("least", i).alias("x"), F.get("least", i + 1).alias("y")) for i in range(LEAST - 1)))
+    keyed = sets.where("n > 4").select(F.struct("id", "n", "sketch", "half").alias("a"), "copies", F.explode(pairs).alias("key"))
+    met = F.array_distinct(F.array(F.min("a"), F.max_by("a", F.struct("copies", -F.col("a.id"))))).alias("met")
     heads = written(keyed.groupBy("key").agg(met, F.count("*").alias("all")).where("all > 1").drop("all"), "line-heads")
-    both = keyed.join(heads, "key").select("id", "n", "sketch", F.explode("met").alias("m")).select("id", "n", "sketch", F.col("m.id").alias("earlier"), F.col("m.n").alias("m"), F.col("m.sketch").alias("seen"))
-    may, apart = _may_match("n", "m", "sketch", "seen")
-    nearest = both.where("earlier < id").where(may).groupBy("id").agg(F.min(F.struct(apart.alias("apart"), "earlier")).alias("x"))
-    return nearest.select(F.col("id").alias("later"), "x.earlier")
+    both = keyed.join(heads, "key").select("a", F.explode("met").alias("b")).where("b.id < a.id")
+    both = both.select(*(F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in ("id", "n", "sketch", "half")))
+    may, apart = _apart("a", "b")
+    nearest = both.where(may).groupBy("id_a").agg(F.min(F.struct(apart.alias("apart"), "id_b")).alias("x"))
+    return nearest.select(F.col("id_a").alias("later"), F.col("x.id_b").alias("earlier"))
 
 
 def candidate_pairs(later: DataFrame, sets: DataFrame) -> DataFrame:
-    """(later, earlier): each set of `later`, some of the rows of sets, with the earlier sets that the prefix, length and
-    positional filters and the sketches leave; each pair once."""
-    at = lambda of, side: of.where("n > 4").select(F.col("id").alias(f"id_{side}"), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}"), F.posexplode("prefix").alias(f"at_{side}", "code"))
-    may, _ = _may_match("n_a", "n_b", "s_a", "s_b")
-    rest = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    pairs = at(later, "a").join(at(sets, "b"), "code").where((F.col("id_b") < F.col("id_a")) & may & (rest * 9 >= (F.col("n_a") + F.col("n_b")) * 4))
-    return pairs.select(F.col("id_a").alias("later"), F.col("id_b").alias("earlier")).distinct()
+    """(later, earlier): the sets of `later`, which has the columns of sets and `upto`, with the sets of ids below upto that
+    the prefix, length and positional filters and the sketches leave; each pair once.
+
+    Prefixes that two similar sets share by `both` words end in one of them with both in all; what the other may add is
+    its rest, so pairs with too few words shared in their prefixes fall too.
+    """
+    at = lambda of, side, more: of.where("n > 4").select(*(F.col(c).alias(f"{c}_{side}") for c in (*more, "id", "n", "sketch", "half")), F.posexplode("prefix").alias(f"at_{side}", "code"))
+    more = ["upto"] if "upto" in sets.columns else []
+    n_a, n_b = F.col("n_a"), F.col("n_b")
+    may, _ = _apart("a", "b")
+    # At a shared word all before it may be shared, at the first one none is.
+    room = F.least("at_a", "at_b") + F.least(n_a - F.col("at_a"), n_b - F.col("at_b"))
+    met = at(later, "a", ["upto"]).join(at(sets, "b", more), "code").where((F.col("id_b") < F.col("upto_a")) & may & (room * 9 >= (n_a + n_b) * 4))
+    met = met.groupBy(F.col("upto_a").alias("later"), F.col("id_b").alias("earlier")).agg(F.count("*").alias("both"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.min("at_a").alias("at_a"), F.min("at_b").alias("at_b"))
+    rest = F.greatest(_ceil(4, n_a, 5), _ceil(4, n_b, 5)) - 1
+    first = F.least(n_a - F.col("at_a"), n_b - F.col("at_b"))
+    return met.where((F.least(F.col("both") + rest, first) * 9) >= (n_a + n_b) * 4).select("later", "earlier")
 
 
 def line_words(asked: DataFrame, docs: DataFrame) -> DataFrame:
@@ -142,11 +160,12 @@ def matches(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
 def repeated_sets(sets: DataFrame, docs: DataFrame) -> DataFrame:
     """id of each set whose Jaccard with an earlier, different set is >= 4/5. docs: doc, text."""
     near = written(nearest_earlier(sets), "line-near")
-    alone = sets.join(near.select(F.col("later").alias("id")), "id", "left_anti")
-    pairs = written(near.unionByName(candidate_pairs(alone, sets)), "line-pairs")
+    # Both sides of the join are the same rows, shuffled once: a set with a near one has no id below its upto.
+    known = sets.drop("doc", "line_no", "least", "copies").join(near.select(F.col("later").alias("id"), F.lit(-1).cast("long").alias("upto")), "id", "left").withColumn("upto", F.coalesce("upto", "id"))
+    pairs = written(near.unionByName(candidate_pairs(known, known)), "line-pairs")
     settled = written(matches(pairs, sets, docs).select(F.col("later").alias("id")).distinct(), "line-settled")
     # Sets whose nearest one failed have not met the others yet.
-    failed = written(sets.join(near.select(F.col("later").alias("id")), "id", "left_semi").join(settled, "id", "left_anti"), "line-failed")
+    failed = written(sets.withColumn("upto", F.col("id")).join(near.select(F.col("later").alias("id")), "id", "left_semi").join(settled, "id", "left_anti"), "line-failed")
     more = written(candidate_pairs(few(failed, failed, FEW), sets), "line-more")
     return settled.unionByName(matches(more, sets, docs).select(F.col("later").alias("id")).distinct())
 
