@@ -80,8 +80,9 @@ def line_sets(texts: DataFrame) -> DataFrame:
     least = F.transform(F.slice(by_hash, 1, LEAST), lambda h: h.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
     n = F.size("codes")
     prefix = F.transform(F.slice("codes", 1, F.when(n > 4, n - _ceil(4, n, 5) + 1).otherwise(0)), lambda c: c.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(c, 31).bitwiseAND(F.lit(63)).cast("int"))
-    odd = lambda codes: F.aggregate(codes, F.lit(0).cast("long"), lambda bits, c: bits.bitwiseXOR(bit(c)))
+    bits = F.array(*(F.lit(i).cast("long") for i in (*(1 << i for i in range(63)), -(1 << 63))))
+    bit = lambda c: F.get(bits, F.shiftright(c, 31).bitwiseAND(F.lit(63)).cast("int"))
+    odd = lambda codes: F.aggregate(codes, F.lit(0).cast("long"), lambda seen, c: seen.bitwiseXOR(bit(c)))
     half = F.when(n > LONG, odd(F.filter("codes", lambda c: F.shiftright(c, 37).bitwiseAND(F.lit(1)) == 1))).otherwise(F.lit(0).cast("long"))
     first = F.struct("doc", "line_no", n.alias("n"), least.alias("least"), odd("codes").alias("sketch"), half.alias("half"), prefix.alias("prefix")).alias("s")
     # Few lines repeat within a task, so they are dealt out before they are sorted and brought together.
