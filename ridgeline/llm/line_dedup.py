@@ -9,7 +9,7 @@ then verified on 64-bit hashes of all their words.
 
 A set needs one earlier match only. So the members of a group of near copies first meet two earlier sets that have two
 neighbours of their four least word hashes in common with them; the prefix join lists pairs for the sets that this leaves alone,
-and for those whose near set fails the verification. A group of m near copies costs a few rows a member this way.
+and for those whose heads all fail the verification. A group of m near copies costs a few rows a member this way.
 """
 
 from __future__ import annotations
@@ -85,15 +85,13 @@ def line_sets(texts: DataFrame) -> DataFrame:
     odd = lambda codes: F.aggregate(codes, F.lit(0).cast("long"), lambda seen, c: seen.bitwiseXOR(bit(c)))
     half = F.when(n > LONG, odd(F.filter("codes", lambda c: F.shiftright(c, 37).bitwiseAND(F.lit(1)) == 1))).otherwise(F.lit(0).cast("long"))
     first = F.struct("doc", "line_no", n.alias("n"), least.alias("least"), odd("codes").alias("sketch"), half.alias("half"), prefix.alias("prefix")).alias("s")
-    # Few lines repeat within a task, so they are dealt out before they are sorted and brought together.
-    keyed = coded.select(F.xxhash64("codes").alias("k1"), F.hash("codes").alias("k2"), first).repartition("k1", "k2")
+    keyed = coded.select(F.xxhash64("codes").alias("k1"), F.hash("codes").alias("k2"), first)
     sets = keyed.groupBy("k1", "k2").agg(F.min("s").alias("s"), F.count("*").cast("int").alias("copies"))
     return sets.select("s.*", "copies").where("n > 0").orderBy("doc", "line_no").withColumn("id", F.monotonically_increasing_id())
 
 
-def _apart(a: str, b: str) -> tuple[Column, Column]:
-    """Whether sets with these prefixes of column names can reach the threshold by sizes and sketches, and the bits in
-    which their sketches differ.
+def _may_match(a: str, b: str) -> Column:
+    """Whether sets with these suffixes of column names can reach the threshold by sizes and sketches.
 
     Words of one set only are at most a ninth of both sizes together; each odd one out sets one bit at most. The sketches
     of two long sets are taken in their two halves, 128 bits in all.
@@ -102,11 +100,11 @@ def _apart(a: str, b: str) -> tuple[Column, Column]:
     whole = F.col(f"sketch_{a}").bitwiseXOR(F.col(f"sketch_{b}"))
     half = F.col(f"half_{a}").bitwiseXOR(F.col(f"half_{b}"))
     apart = F.when((n_a > LONG) & (n_b > LONG), F.bit_count(half) + F.bit_count(whole.bitwiseXOR(half))).otherwise(F.bit_count(whole))
-    return (n_a * 5 >= n_b * 4) & (n_b * 5 >= n_a * 4) & (apart * 9 <= n_a + n_b), apart
+    return (n_a * 5 >= n_b * 4) & (n_b * 5 >= n_a * 4) & (apart * 9 <= n_a + n_b)
 
 
-def nearest_earlier(sets: DataFrame) -> DataFrame:
-    """(later, earlier): for each set the nearest by sketch of the earlier sets that it meets.
+def heads_met(sets: DataFrame) -> DataFrame:
+    """(later, earlier): for each set the earlier ones that it meets and that their sketches leave, six at most.
 
     Sets with two neighbours among their least hashes in common meet the earliest of them and the one with most copies.
     """
@@ -116,9 +114,7 @@ def nearest_earlier(sets: DataFrame) -> DataFrame:
     heads = written(keyed.groupBy("key").agg(met, F.count("*").alias("all")).where("all > 1").drop("all"), "line-heads")
     both = keyed.join(heads, "key").select("a", F.explode("met").alias("b")).where("b.id < a.id")
     both = both.select(*(F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in ("id", "n", "sketch", "half")))
-    may, apart = _apart("a", "b")
-    nearest = both.where(may).groupBy("id_a").agg(F.min(F.struct(apart.alias("apart"), "id_b")).alias("x"))
-    return nearest.select(F.col("id_a").alias("later"), F.col("x.id_b").alias("earlier"))
+    return both.where(_may_match("a", "b")).select(F.col("id_a").alias("later"), F.col("id_b").alias("earlier")).distinct()
 
 
 def candidate_pairs(later: DataFrame, sets: DataFrame) -> DataFrame:
@@ -131,28 +127,28 @@ def candidate_pairs(later: DataFrame, sets: DataFrame) -> DataFrame:
     at = lambda of, side, more: of.where("n > 4").select(*(F.col(c).alias(f"{c}_{side}") for c in (*more, "id", "n", "sketch", "half")), F.posexplode("prefix").alias(f"at_{side}", "code"))
     more = ["upto"] if "upto" in sets.columns else []
     n_a, n_b = F.col("n_a"), F.col("n_b")
-    may, _ = _apart("a", "b")
     # At a shared word all before it may be shared, at the first one none is.
     room = F.least("at_a", "at_b") + F.least(n_a - F.col("at_a"), n_b - F.col("at_b"))
-    met = at(later, "a", ["upto"]).join(at(sets, "b", more), "code").where((F.col("id_b") < F.col("upto_a")) & may & (room * 9 >= (n_a + n_b) * 4))
+    met = at(later, "a", ["upto"]).join(at(sets, "b", more), "code").where((F.col("id_b") < F.col("upto_a")) & _may_match("a", "b") & (room * 9 >= (n_a + n_b) * 4))
     met = met.groupBy(F.col("upto_a").alias("later"), F.col("id_b").alias("earlier")).agg(F.count("*").alias("both"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.min("at_a").alias("at_a"), F.min("at_b").alias("at_b"))
     rest = F.greatest(_ceil(4, n_a, 5), _ceil(4, n_b, 5)) - 1
     first = F.least(n_a - F.col("at_a"), n_b - F.col("at_b"))
     return met.where((F.least(F.col("both") + rest, first) * 9) >= (n_a + n_b) * 4).select("later", "earlier")
 
 
-def line_words(asked: DataFrame, docs: DataFrame) -> DataFrame:
-    """(id, words): the hashes of the words of each set of `asked` (id, doc, line_no), a written table."""
+def line_words(asked: DataFrame, docs: DataFrame, left_over: bool) -> DataFrame:
+    """(id, words): the hashes of the words of each set of `asked` (id, doc, line_no), a written table; left_over: it may
+    be small enough to be broadcast."""
     by_doc = asked.groupBy("doc").agg(F.collect_list(F.struct("line_no", "id")).alias("asked"))
-    found = docs.join(few(by_doc, asked, 5 * FEW), "doc").select(F.split(spaced(F.col("text")), "\n").alias("lines"), F.explode("asked").alias("x"))
+    found = docs.join(few(by_doc, asked, 5 * FEW) if left_over else by_doc, "doc").select(F.split(spaced(F.col("text")), "\n").alias("lines"), F.explode("asked").alias("x"))
     lines = found.select(F.col("x.id").alias("id"), _hashes(F.get("lines", F.col("x.line_no"))).alias("words"))
     return lines.groupBy("id").agg(F.first("words").alias("words"))  # one row where documents repeat
 
 
-def matches(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+def matches(pairs: DataFrame, sets: DataFrame, docs: DataFrame, left_over: bool = False) -> DataFrame:
     """The rows of pairs (later, earlier) whose sets have Jaccard >= 4/5."""
     asked = pairs.select(F.explode(F.array("later", "earlier")).alias("id")).distinct().join(sets.select("id", "doc", "line_no"), "id")
-    words = written(line_words(written(asked, "line-asked"), docs), "line-words")
+    words = written(line_words(written(asked, "line-asked"), docs, left_over), "line-words")
     of = lambda side: words.select(F.col("id").alias(side), F.col("words").alias(f"{side}_words"))
     both = pairs.join(of("earlier"), "earlier").join(of("later"), "later")
     return both.where(F.size(F.array_intersect("later_words", "earlier_words")) * 9 >= (F.size("later_words") + F.size("earlier_words")) * 4).select("later", "earlier")
@@ -160,15 +156,16 @@ def matches(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
 
 def repeated_sets(sets: DataFrame, docs: DataFrame) -> DataFrame:
     """id of each set whose Jaccard with an earlier, different set is >= 4/5. docs: doc, text."""
-    near = written(nearest_earlier(sets), "line-near")
-    # Both sides of the join are the same rows, shuffled once: a set with a near one has no id below its upto.
-    known = sets.drop("doc", "line_no", "least", "copies").join(near.select(F.col("later").alias("id"), F.lit(-1).cast("long").alias("upto")), "id", "left").withColumn("upto", F.coalesce("upto", "id"))
+    near = written(heads_met(sets), "line-near")
+    ids = near.select(F.col("later").alias("id")).distinct()
+    # Both sides of the join are the same rows, shuffled once: a set that met a head has no id below its upto.
+    known = sets.drop("doc", "line_no", "least", "copies").join(ids.withColumn("upto", F.lit(-1).cast("long")), "id", "left").withColumn("upto", F.coalesce("upto", "id"))
     pairs = written(near.unionByName(candidate_pairs(known, known)), "line-pairs")
     settled = written(matches(pairs, sets, docs).select(F.col("later").alias("id")).distinct(), "line-settled")
-    # Sets whose nearest one failed have not met the others yet.
-    failed = written(sets.withColumn("upto", F.col("id")).join(near.select(F.col("later").alias("id")), "id", "left_semi").join(settled, "id", "left_anti"), "line-failed")
+    # Sets whose heads all failed have not met the others yet.
+    failed = written(sets.withColumn("upto", F.col("id")).join(ids, "id", "left_semi").join(settled, "id", "left_anti"), "line-failed")
     more = written(candidate_pairs(few(failed, failed, FEW), sets), "line-more")
-    return settled.unionByName(matches(more, sets, docs).select(F.col("later").alias("id")).distinct())
+    return settled.unionByName(matches(more, sets, docs, left_over=True).select(F.col("later").alias("id")).distinct())
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = True) -> DataFrame:
