@@ -18,10 +18,14 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     context = df.sparkSession.sparkContext
     root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not root:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-shared-")
         context.setCheckpointDir(root)
     path = f"{root.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(at)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -68,7 +72,8 @@ def best_match(pairs: DataFrame, key: str, by: Sequence[Column]) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """old with rows of new in place of those with the same keys; new columns are null in old rows."""
+    """old with rows of new in place of those with the same keys, one row a key; new columns are null in old rows."""
+    new = new.dropDuplicates(list(keys))
     return old.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(new, allowMissingColumns=True)
 
 

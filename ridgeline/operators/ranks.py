@@ -14,13 +14,34 @@ def order(growth: str = "growth_rate", *then: Column) -> list[Column]:
     return [F.col(growth).desc_nulls_last(), *then]
 
 
-def scope_ranks(items: DataFrame, scopes: dict[str, Sequence[str]], by: Sequence[Column]) -> DataFrame:
+def table_rank(df: DataFrame, by: Sequence[Column], out: str) -> DataFrame:
+    """df with its 1-based rank over all rows: sorted in ranges, whose counts give each range its start.
+
+    The sorted rows are written to the shared folder, so that ranges and ranks are those of one sort.
+    """
+    from ridgeline.operators.entity import shared_table
+
+    placed = shared_table(df.orderBy(*by).withColumn("_at", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("_at", 33)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # a row for each range
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    ranked = placed.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    return ranked.withColumn(out, (F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_start") + 1).cast("int")).drop("_at", "_part", "_start")
+
+
+def scope_ranks(items: DataFrame, scopes: dict[str, Sequence[str | Column]], by: Sequence[Column]) -> DataFrame:
     """rank and total columns for each named scope (its partition columns; none: the whole table)."""
+    for name, keys in scopes.items():
+        if not keys:
+            items = table_rank(items, by, f"{name}_rank")
+            items = items.crossJoin(F.broadcast(items.agg(F.count("*").cast("int").alias(f"{name}_total"))))  # one row
     out = {}
     for name, keys in scopes.items():
-        out[f"{name}_rank"] = F.row_number().over(Window.partitionBy(*keys).orderBy(*by)).cast("int")
-        out[f"{name}_total"] = F.count("*").over(Window.partitionBy(*keys)).cast("int")
-    return items.withColumns(out)
+        if keys:
+            out[f"{name}_rank"] = F.row_number().over(Window.partitionBy(*keys).orderBy(*by)).cast("int")
+            out[f"{name}_total"] = F.count("*").over(Window.partitionBy(*keys)).cast("int")
+    return items.withColumns(out) if out else items
 
 
 def rollup(items: DataFrame) -> DataFrame:

@@ -226,7 +226,7 @@ def a17(spark, sf):
 def a18(spark, sf):
     e = ends(bound_monthly(spark, sf)).where("start_pyeong is not null").join(b.complexes(spark, sf).select("complex_id", "dong_key"), "complex_id")
     n = e.groupBy("dong_key").agg(F.count("*").alias("areas"), F.round(numbers.growth(F.avg("start_pyeong"), F.avg("end_pyeong")), 6).alias("growth_rate"))
-    return n.withColumn("rank", F.row_number().over(Window.orderBy(F.col("growth_rate").desc_nulls_last(), "dong_key")).cast("int"))
+    return ranks.table_rank(n, [F.col("growth_rate").desc_nulls_last(), F.col("dong_key").asc()], "rank")
 
 
 @query("a19_index_chart", "with m as (select dong_key, month, avg(pyeong) as p from monthly join complexes using (complex_id) where month between '199801' and '199812' group by 1, 2) select dong_key, month, round(100 * p / first_value(p) over (partition by dong_key order by month), 1) as index from m")
