@@ -6,27 +6,33 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.functions import geo
 from ridgeline.operators.ranks import first_by
 
 
-def shared_table(df: DataFrame, name: str) -> DataFrame:
-    """df written to the folder that driver and executors share, and read back."""
-    context = df.sparkSession.sparkContext
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share; one of our own only in local mode, where the session names none."""
+    context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not root:
         if not context.master.startswith("local[") and context.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-shared-")
         context.setCheckpointDir(root)
-    path = f"{root.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def shared_table(df: DataFrame, name: str) -> DataFrame:
+    """df written to the folder that driver and executors share, and read back; it goes when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_root(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    at = context._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def near_pairs(points: DataFrame, key: Sequence[str], metres: float, id_col: str = "complex_id") -> DataFrame:
