@@ -57,29 +57,52 @@ def search_score(name: Column, keyword: str) -> Column:
     return F.when(n == k, 0).when(F.startswith(n, k), 10).when(F.contains(n, k), 20).otherwise(40)
 
 
-def slug(x: Column, most: int = 80) -> Column:
-    return F.left(F.regexp_replace(F.lower(F.trim(x)), "[^a-z0-9_.:-]+", "_"), F.lit(most))
+def slug(x: Column, most: int = 80, other: str = "page_view") -> Column:
+    """An event's name: lower case, runs of other characters as one underscore, none at the ends; `other` if empty."""
+    made = F.regexp_replace(F.lower(F.trim(F.coalesce(x, F.lit("")))), "[^a-z0-9_.:-]+", "_")
+    return F.coalesce(F.nullif(F.left(F.regexp_replace(made, "^_+|_+$", ""), F.lit(most)), F.lit("")), F.lit(other))
 
 
 def is_uuid(x: Column) -> Column:
     return F.lower(x).rlike("^[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$")
 
 
-#: Fixed values: (name, pattern that tells it, pattern of its version), the first that matches counts.
-BROWSERS = (("Edge", "Edg/", r"Edg/([0-9.]+)"), ("Samsung Internet", "SamsungBrowser/", r"SamsungBrowser/([0-9.]+)"), ("Whale", "Whale/", r"Whale/([0-9.]+)"), ("Chrome", "(Chrome|CriOS)/", r"(?:Chrome|CriOS)/([0-9.]+)"), ("Firefox", "(Firefox|FxiOS)/", r"(?:Firefox|FxiOS)/([0-9.]+)"), ("Safari", "Version/.*Safari/", r"Version/([0-9.]+)"))
-SYSTEMS = (("Android", "Android"), ("iOS", "iPhone|iPad|iPod"), ("Windows", "Windows"), ("macOS", "Mac OS X|Macintosh"), ("Linux", "Linux"))
+#: Names of browsers and the pattern that tells each and holds its version; the first that matches counts.
+BROWSERS = (
+    ("Edge", r"\bedg(?:e|ios|a)?/([\d.]+)"), ("Samsung Internet", r"samsungbrowser/([\d.]+)"), ("Naver Whale", r"whale/([\d.]+)"), ("KakaoTalk", r"kakaotalk/([\d.]+)"),
+    ("Chrome", r"(?:chrome|crios)/([\d.]+)"), ("Firefox", r"(?:firefox|fxios)/([\d.]+)"), ("Safari", r"version/([\d.]+).*safari"),
+)
+#: Names of systems, the pattern that tells each, and that of its version.
+SYSTEMS = (("iOS", "iphone|ipad|ipod", r"os ([\d_]+)"), ("Android", "android", r"android ([\d.]+)"), ("Windows", "windows nt", r"windows nt ([\d.]+)"), ("macOS", "mac os x", r"mac os x ([\d_]+)"), ("Linux", "linux", ""))
 
 
 def user_agent(ua: Column) -> Column:
-    """struct<browser, version, os, device>."""
-    pick = lambda options, out, other: reduce(lambda c, o: c.when(ua.rlike(o[1]), out(o)), options[1:], F.when(ua.rlike(options[0][1]), out(options[0]))).otherwise(other)
-    device = F.when(ua.rlike("iPad|Tablet"), "tablet").when(ua.rlike("Mobi|iPhone|Android"), "mobile").otherwise("desktop")
-    return F.struct(pick(BROWSERS, lambda o: F.lit(o[0]), "Other").alias("browser"), pick(BROWSERS, lambda o: F.regexp_extract(ua, o[2], 1), "").alias("version"), pick(SYSTEMS, lambda o: F.lit(o[0]), "Other").alias("os"), device.alias("device"))
-
-
-def environment(host: Column) -> Column:
-    h = F.lower(F.coalesce(host, F.lit("")))
-    return F.when(h == "", "unknown").when(h.rlike(r"^(localhost|127\.|0\.0\.0\.0|\[?::1)|\.local(:|$)"), "local").when(h.rlike("(^|[.-])(dev|test|staging)[.-]"), "development").otherwise("production")
+    """struct<browser, version, os, os_version, device>; what isn't told is Unknown, its version empty."""
+    u = F.lower(F.coalesce(ua, F.lit("")))
+    first = lambda cases, other: reduce(lambda c, x: c.when(*x), cases[1:], F.when(*cases[0])).otherwise(other)
+    version = lambda pattern: F.translate(F.regexp_extract(u, pattern, 1), "_", ".") if pattern else F.lit("")
+    device = F.when(u.rlike("mobi|iphone|ipod"), "mobile").when(u.rlike("ipad|tablet|android"), "tablet").when(u.rlike("bot|crawler|spider|slurp"), "bot").otherwise("desktop")
+    return F.struct(
+        first([(u.rlike(p), F.lit(n)) for n, p in BROWSERS], "Unknown").alias("browser"),
+        first([(u.rlike(p), version(p)) for _, p in BROWSERS], "").alias("version"),
+        first([(u.rlike(p), F.lit(n)) for n, p, _ in SYSTEMS], "Unknown").alias("os"),
+        first([(u.rlike(p), version(v)) for _, p, v in SYSTEMS], "").alias("os_version"),
+        device.alias("device"),
+    )
+
+
+def host_of(host: Column) -> Column:
+    """A host without scheme, path and port."""
+    h = F.split_part(F.regexp_replace(F.lower(F.trim(F.coalesce(host, F.lit("")))), "^https?://", ""), F.lit("/"), F.lit(1))
+    v6 = F.regexp_extract(h, r"^\[([^\]]+)\](:\d+)?$", 1)
+    return F.when(v6 != "", v6).when(h.rlike("^[^:]*:[^:]*$"), F.regexp_replace(h, r":\d+$", "")).otherwise(h)
+
+
+def environment(host: Column, production: tuple[str, ...] = (), development: tuple[str, ...] = ()) -> Column:
+    """The environment of a host: named ones, else local addresses, else unknown."""
+    h = host_of(host)
+    local = h.isin("localhost", "127.0.0.1", "::1") | F.startswith(h, F.lit("192.168.")) | F.startswith(h, F.lit("10."))
+    return F.when(h.isin(*development), "development").when(h.isin(*production), "production").when(local, "local").otherwise("unknown")
 
 
 def bounded_map(m: Column, keys: int = 30, chars: int = 300) -> Column:

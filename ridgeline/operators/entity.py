@@ -47,6 +47,22 @@ def near_pairs(points: DataFrame, key: Sequence[str], metres: float, id_col: str
     return both.where(geo.haversine(F.col("la"), F.col("ga"), F.col("lb"), F.col("gb")) <= metres).select("a", "b")
 
 
+def similar_pairs(names: DataFrame, least: float, name: str = "name") -> DataFrame:
+    """(a, b, similarity) of distinct names, a < b, whose trigrams overlap by `least` or more: names meet on one of their
+    rarest trigrams only, of which two similar ones share one, and are then scored."""
+    from ridgeline.functions import text
+
+    grams = names.select(F.col(name).alias("name")).distinct().withColumn("grams", text.trigrams(F.col("name"))).where("size(grams) > 0")
+    each = grams.select("name", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    common = each.groupBy("gram").agg(F.count("*").alias("of"))
+    order = F.transform(F.array_sort(F.collect_list(F.struct("of", "gram"))), lambda x: x["gram"])
+    ranked = each.join(common, "gram").groupBy("name").agg(F.first("n").alias("n"), order.alias("grams"))
+    dealt = ranked.select("name", "n", F.explode(F.slice("grams", F.lit(1), (F.col("n") - F.ceil(F.col("n") * least) + 1).cast("int"))).alias("gram"))
+    side = lambda s: dealt.select(F.col("name").alias(s), F.col("n").alias(f"n_{s}"), "gram")
+    met = side("a").join(side("b"), "gram").where((F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * least)).select("a", "b").distinct()
+    return met.withColumn("similarity", text.similarity(F.col("a"), F.col("b"))).where(F.col("similarity") >= least)
+
+
 def group_edges(df: DataFrame, key: Sequence[Column], id_col: str) -> DataFrame:
     """(a, b): every member of a group to its least one; a line for each member, not for each pair."""
     named = [k.alias(f"_k{i}") for i, k in enumerate(key)]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions import geo, months, numbers, text
 from ridgeline.operators import entity, ranks
-from ridgeline.plans.registry import query
+from ridgeline.plans.registry import more, query
 from ridgeline.sources import bindings as b
 
 GRAMS = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({x}), '[^0-9a-z가-힣]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', cast(i as int), 3)))))"
@@ -30,29 +30,27 @@ def f2(spark, sf):
     return b.table(spark, sf, "part").select("p_partkey", text.loose_key(F.concat(F.lit("(A) "), "p_name", F.lit("-아파트 1.2"))).alias("key"))
 
 
-@query("f4_similarity", f"with n as (select distinct p_name as name, {GRAMS.format(x='p_name')} as g from part) select a.name as a, b.name as b, round({SIM.format(a='a.g', b='b.g')}, 6) as similarity from n a join n b on a.name[1:4] = b.name[1:4] and a.name < b.name", base=False)
+ALIKE = f"with n as (select distinct p_name as name, {GRAMS.format(x='p_name')} as g from part), alike as (select a.name as a, b.name as b, {SIM.format(a='a.g', b='b.g')} as similarity from n a join n b on a.name < b.name)"
+
+
+@query("f4_similarity", f"{ALIKE} select a, b, round(similarity, 6) as similarity from alike where similarity >= 0.3", base=False)
 def f4(spark, sf):
-    n = names(spark, sf).withColumn("head", F.left("name", F.lit(4)))
-    pairs = n.select(F.col("name").alias("a"), "head").join(n.select(F.col("name").alias("b"), "head"), "head").where("a < b")
-    return pairs.select("a", "b", F.round(text.similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
+    return entity.similar_pairs(names(spark, sf), 0.3).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@query("x1_name_score", f"with n as (select distinct p_name as name from part), p as (select a.name as a, case when length(b.name) % 3 = 0 then a.name[1:5] when length(b.name) % 3 = 1 then b.name else '' end as b from n a join n b on a.name[1:4] = b.name[1:4]), d as (select distinct a, b, {GRAMS.format(x='a')} as ga, {GRAMS.format(x='b')} as gb from p) select a, b, cast(case when a = '' or b = '' then 0 when a = b then 100 when length(a) >= 2 and length(b) >= 2 and (contains(a, b) or contains(b, a)) then 90 else round_even({SIM.format(a='ga', b='gb')} * 100, 0) end as int) as score from d", base=False)
+@query("x1_name_score", f"with n as (select distinct p_name as name from part), p as (select name as a, case when length(name) % 4 = 0 then name[1:5] when length(name) % 4 = 1 then name when length(name) % 4 = 2 then '' else reverse(name) || name[1:4] end as b from n), d as (select a, b, {GRAMS.format(x='a')} as ga, {GRAMS.format(x='b')} as gb from p) select a, b, cast(case when a = '' or b = '' then 0 when a = b then 100 when length(a) >= 2 and length(b) >= 2 and (contains(a, b) or contains(b, a)) then 90 else round_even({SIM.format(a='ga', b='gb')} * 100, 0) end as int) as score from d", base=False)
 def x1(spark, sf):
-    n = names(spark, sf).withColumn("head", F.left("name", F.lit(4)))
-    r = F.length("o") % 3
-    p = n.join(n.select(F.col("name").alias("o"), "head"), "head").select(F.col("name").alias("a"), F.when(r == 0, F.left("name", F.lit(5))).when(r == 1, F.col("o")).otherwise("").alias("b"))
-    return p.distinct().select("a", "b", text.name_score(F.col("a"), F.col("b")).alias("score"))
+    r = F.length("name") % 4
+    p = names(spark, sf).select(F.col("name").alias("a"), F.when(r == 0, F.left("name", F.lit(5))).when(r == 1, F.col("name")).when(r == 2, "").otherwise(F.concat(F.reverse("name"), F.left("name", F.lit(4)))).alias("b"))
+    return p.select("a", "b", text.name_score(F.col("a"), F.col("b")).alias("score"))
 
 
-@query("j5_best_candidate", f"with c as (select p_partkey, p_name, p_brand, {GRAMS.format(x='p_name')} as g from part where p_partkey < 400), k as (select p_brand, p_partkey as cand, p_name as cand_name, {GRAMS.format(x='p_name')} as cg from part where p_partkey >= 400) select p_partkey, cand, score from (select p_partkey, cand, round({SIM.format(a='g', b='cg')}, 6) as score, row_number() over (partition by p_partkey order by round({SIM.format(a='g', b='cg')}, 6) desc, cand) as rn from c join k using (p_brand)) where rn = 1 and score >= 0.45", base=False)
+@query("j5_best_candidate", f"{ALIKE}, s as (select a, b, similarity from alike union all select b, a, similarity from alike) select a as name, b as candidate, round(similarity, 6) as score from (select *, row_number() over (partition by a order by round(similarity, 6) desc, b) as rn from s where similarity >= 0.45) where rn = 1", base=False)
 def j5(spark, sf):
-    """Per complex the best scored candidate of its region, if it is similar enough."""
-    p = b.table(spark, sf, "part")
-    left = p.where("p_partkey < 400").select("p_partkey", "p_brand", "p_name")
-    right = p.where("p_partkey >= 400").select("p_brand", F.col("p_partkey").alias("cand"), F.col("p_name").alias("cand_name"))
-    scored = left.join(right, "p_brand").select("p_partkey", "cand", F.round(text.similarity(F.col("p_name"), F.col("cand_name")), 6).alias("score"))
-    return entity.best_match(scored, "p_partkey", [F.col("score").desc(), F.col("cand")]).where("score >= 0.45")
+    """Of each name the best scored other one, if it is similar enough."""
+    pairs = entity.similar_pairs(names(spark, sf), 0.45).withColumn("score", F.round("similarity", 6))
+    both = pairs.select(F.col("a").alias("name"), F.col("b").alias("candidate"), "score").unionByName(pairs.select(F.col("b").alias("name"), F.col("a").alias("candidate"), "score"))
+    return entity.best_match(both, "name", [F.col("score").desc(), F.col("candidate")])
 
 
 @query("j7_fallback_match", "with direct as (select c.c_custkey, s.s_suppkey from customer c join supplier s on c.c_nationkey = s.s_nationkey and c.c_custkey % 7 = s.s_suppkey % 7), rest as (select c.c_custkey, n.n_regionkey from customer c join nation n on c.c_nationkey = n.n_nationkey where c.c_custkey not in (select c_custkey from direct)), f as (select r.c_custkey, s.s_suppkey from rest r join nation n using (n_regionkey) join supplier s on s.s_nationkey = n.n_nationkey and s.s_suppkey % 7 = r.c_custkey % 7) select c_custkey, min(s_suppkey) as s_suppkey, 'direct' as how from direct group by 1 union all select c_custkey, min(s_suppkey), 'fallback' from f group by 1", base=False)
@@ -76,10 +74,10 @@ def j9(spark, sf):
     return left.join(urgent, "c_custkey", "left").select("c_custkey", F.coalesce("urgent", F.lit(False)).alias("urgent"))
 
 
-@query("j11_full_join", "with j as (select c_nationkey as k, count(*) as jobs from customer where c_nationkey < 18 group by 1), q as (select s_nationkey as k, count(*) as queued from supplier where s_nationkey > 6 group by 1) select cast(coalesce(j.k, q.k) as bigint) as k, cast(coalesce(jobs, 0) as bigint) as jobs, cast(coalesce(queued, 0) as bigint) as queued from j full join q on j.k = q.k", base=False)
+@query("j11_full_join", "with j as (select c_nationkey as k, count(*) as jobs from customer where c_mktsegment = 'BUILDING' group by 1), q as (select s_nationkey as k, count(*) as queued from supplier where s_acctbal > 0 group by 1) select cast(coalesce(j.k, q.k) as bigint) as k, cast(coalesce(jobs, 0) as bigint) as jobs, cast(coalesce(queued, 0) as bigint) as queued from j full join q on j.k = q.k", base=False)
 def j11(spark, sf):
-    j = b.table(spark, sf, "customer").where("c_nationkey < 18").groupBy(F.col("c_nationkey").cast("long").alias("k")).agg(F.count("*").alias("jobs"))
-    q = b.table(spark, sf, "supplier").where("s_nationkey > 6").groupBy(F.col("s_nationkey").cast("long").alias("k")).agg(F.count("*").alias("queued"))
+    j = b.table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").groupBy(F.col("c_nationkey").cast("long").alias("k")).agg(F.count("*").alias("jobs"))
+    q = b.table(spark, sf, "supplier").where("s_acctbal > 0").groupBy(F.col("s_nationkey").cast("long").alias("k")).agg(F.count("*").alias("queued"))
     return j.join(q, "k", "full").select("k", F.coalesce("jobs", F.lit(0)).alias("jobs"), F.coalesce("queued", F.lit(0)).alias("queued"))
 
 
@@ -93,16 +91,30 @@ def j19(spark, sf):
     return entity.group_edges(b.table(spark, sf, "part"), [F.col("p_name"), F.col("p_brand"), F.col("p_size")], "p_partkey")
 
 
-EDGES = "with recursive e as (select a.complex_id as a, b.complex_id as b from complexes a join complexes b on a.complex_id < b.complex_id and a.sigungu_key = b.sigungu_key and 2 * 6371000 * asin(least(1.0, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2)))) <= 3000), l as (select a, b from e union all select b, a from e), r as (select a as node, a as reach from l union select r.node, l.b from r join l on r.reach = l.a) "
+METRES = "2 * 6371000 * asin(least(1.0, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2))))"
+EDGES = f"e as (select a.apt_id as a, b.apt_id as b from pts a join pts b on a.apt_id < b.apt_id and (a.dong_key = b.dong_key and (replace(a.address, ' ', '') = replace(b.address, ' ', '') or {METRES} <= 35))), l as (select a, b from e union all select b, a from e), r as (select a as node, a as reach from l union select r.node, l.b from r join l on r.reach = l.a), root as (select node as apt_id, min(reach) as root from r group by 1)"
+HIDE = "d as (select o_custkey as apt_id, max(strftime(o_orderdate, '%Y%m')) as last_month, count(*) as n from orders group by 1), m as (select apt_id, root, last_month, coalesce(n, 0) as n, cast(1960 + apt_id * 7 % 50 as int) as built, name from root join apts using (apt_id) left join d using (apt_id)), s as (select *, row_number() over w as rk, first_value(last_month) over w as top_month, first_value(built) over w as top_built from m window w as (partition by root order by last_month desc nulls last, built desc, n desc, name)), g as (select *, (cast(top_month[1:4] as int) - cast(last_month[1:4] as int)) * 12 + cast(top_month[5:6] as int) - cast(last_month[5:6] as int) as gap from s)"
 
 
-@query("a23_duplicate_groups", EDGES.replace("with recursive", "with") + ", root as (select node, min(reach) as root from r group by 1), d as (select complex_id, max(month) as last_month, count(*) as n from deals group by 1), m as (select node as complex_id, root, last_month, n, row_number() over (partition by root order by last_month desc nulls last, n desc, node) as rk from root left join d on node = complex_id) select m.complex_id, m.root, m.rk = 1 as survives from m")
+@query("a23_duplicate_groups", "with recursive " + more("apts", f"with pts as (select *, case when legal_code <> '' then legal_code[1:8] else 'region ' || region end as dong_key from apts where lat is not null), {EDGES}, {HIDE} select apt_id, root, rk = 1 as survives, rk > 1 and coalesce(gap >= 24 or (top_built - built >= 10 and gap >= 12), false) as hidden from g").removeprefix("with "), base=False)
 def a23(spark, sf):
-    """Components of nearby complexes; of each the one traded last, then most, survives."""
-    roots = entity.components(entity.near_pairs(b.complexes(spark, sf), ["sigungu_key"], 3000)).withColumnRenamed("node", "complex_id")
-    d = b.deals(spark, sf).groupBy("complex_id").agg(F.max("month").alias("last_month"), F.count("*").alias("n"))
-    w = Window.partitionBy("root").orderBy(F.col("last_month").desc_nulls_last(), F.col("n").desc_nulls_last(), "complex_id")
-    return roots.join(d, "complex_id", "left").select("complex_id", "root", (F.row_number().over(w) == 1).alias("survives"))
+    """Groups of one address or within 35 m in a neighbourhood. The survivor was traded last, or built last; another one
+    is hidden if its last trade is two years older, or one year older and it was built ten years before."""
+    a = b.apartments(spark, sf).where("lat is not null").withColumn("dong_key", F.when(F.col("legal_code") != "", F.left("legal_code", F.lit(8))).otherwise(F.concat(F.lit("region "), F.col("region").cast("string"))))
+    near = entity.near_pairs(a, ["dong_key"], 35, "apt_id").unionByName(entity.group_edges(a, [F.col("dong_key"), text.squeezed(F.col("address"))], "apt_id"))
+    roots = entity.components(near).withColumnRenamed("node", "apt_id")
+    d = b.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("apt_id")).agg(F.max(months.of(F.col("o_orderdate"))).alias("last_month"), F.count("*").alias("n"))
+    rows = roots.join(a.select("apt_id", "name", (F.lit(1960) + F.col("apt_id") * 7 % 50).cast("int").alias("built")), "apt_id").join(d, "apt_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return hidden(rows).select("apt_id", "root", "survives", "hidden")
+
+
+def hidden(rows: DataFrame) -> DataFrame:
+    """rows (root, last_month, built, n, name) with survives and hidden."""
+    w = Window.partitionBy("root").orderBy(F.col("last_month").desc_nulls_last(), F.col("built").desc_nulls_last(), F.col("n").desc(), "name")
+    top = rows.withColumns({"survives": F.row_number().over(w) == 1, "top_month": F.first("last_month").over(w), "top_built": F.first("built").over(w)})
+    gap = months.between(F.col("last_month"), F.col("top_month"))
+    older = (gap >= 24) | ((F.coalesce("top_built", F.lit(0)) - F.coalesce("built", F.lit(0)) >= 10) & (gap >= 12))
+    return top.withColumn("hidden", ~F.col("survives") & F.coalesce(older, F.lit(False)))
 
 
 @query("f13_distance", "select complex_id, cast(round(6371000 * acos(least(1.0, greatest(-1.0, sin(radians(lat)) * sin(radians(37.05)) + cos(radians(lat)) * cos(radians(37.05)) * cos(radians(127.05 - lng)))))) as bigint) as metres from complexes")
@@ -160,96 +172,128 @@ def w7(spark, sf):
 
 @dataclass(frozen=True)
 class Formula:
-    """A prediction of a quote from deals around its month: months back and forward, area tolerance, how to average."""
+    """A prediction of a quote from the deals of its complex: months back, area tolerance in square metres, average."""
 
     name: str
     back: int
-    forward: int
     tolerance: float
-    method: str  # mean, median, trimmed, weighted
+    method: str  # average, median, trimmed, weighted
+
 
+def _formulas() -> tuple[Formula, ...]:
+    """The formulas that are compared, by window of months and by area."""
+    plain = {"same_month": (0, "median average trimmed"), "trailing_3m": (2, "median average weighted trimmed"), "trailing_6m": (5, "median average weighted trimmed"), "trailing_12m": (11, "median weighted trimmed")}
+    wide = {"wide_area_3m": (2, "median"), "wide_area_6m": (5, "median weighted"), "wide_area_12m": (11, "weighted")}
+    return tuple(Formula(f"{n}_{m}", back, area, m) for of, area in ((plain, 1.2), (wide, 3.0)) for n, (back, ms) in of.items() for m in ms.split())
 
-FORMULAS = tuple(Formula(f"{m}_{n}m_{int(a * 10)}", n, 0, a, m) for m in ("mean", "median", "trimmed", "weighted") for n in (1, 3, 6) for a in (0.5, 3.0)) + (Formula("mean_around_3m", 3, 3, 3.0, "mean"), Formula("median_around_3m", 3, 3, 3.0, "median"))
 
+FORMULAS = _formulas()
 
-def trimmed_mean(values: Column) -> Column:
-    """Mean without a tenth (rounded down) of the values at each end; below 10 values nothing goes."""
-    cut = F.floor(F.size(values) / 10).cast("int")
-    kept = F.slice(F.array_sort(values), cut + 1, F.size(values) - 2 * cut)
-    return F.aggregate(kept, F.lit(0.0), lambda s, v: s + v) / F.size(kept)
+
+def within(f: Formula) -> Column:
+    return F.col("lag").between(0, f.back) & (F.col("off") <= f.tolerance)
+
+
+def trimmed_means(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, mean: without a tenth (rounded down) of the values at each end; below 4 values nothing goes."""
+    w = Window.partitionBy(*keys)
+    n, rn = F.count("*").over(w), F.row_number().over(w.orderBy(value))
+    cut = rows.select(*keys, value, n.alias("_n"), rn.alias("_rn")).withColumn("_cut", F.floor(F.col("_n") / 10))
+    return cut.where("_rn > _cut and _rn <= _n - _cut").groupBy(*keys).agg(F.avg(value).alias("mean"))
 
 
 def predictions(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """pairs: keys, lag (months the deal is before the quote), off (area difference), amount. One row per key and
-    formula: all formulas are conditional aggregates over one join of the widest window."""
+    """pairs: keys, lag (months the deal is before the quote), off (area difference), pyeong. One row per key and formula:
+    the averages are conditional aggregates over one join of the widest window, the trimmed ones rank their values."""
     def value(f: Formula) -> Column:
-        ok = F.col("lag").between(-f.forward, f.back) & (F.col("off") <= f.tolerance)
-        x = F.when(ok, F.col("amount").cast("double"))
-        if f.method == "mean":
+        x = F.when(within(f), F.col("pyeong").cast("double"))
+        if f.method == "average":
             return F.avg(x)
         if f.method == "median":
             return F.median(x)
-        if f.method == "trimmed":
-            return F.when(F.count(x) > 0, trimmed_mean(F.collect_list(x)))
-        w = F.when(ok, 1 / (F.abs(F.col("lag")) + 1))
+        w = F.when(within(f), 1 / (F.col("lag") + 1))
         return F.sum(x * w) / F.sum(w)
 
-    wide = pairs.groupBy(*keys).agg(*(value(f).alias(f.name) for f in FORMULAS))
-    return wide.unpivot(keys, [f.name for f in FORMULAS], "formula", "predicted").where("predicted is not null")
+    plain = [f for f in FORMULAS if f.method != "trimmed"]
+    wide = pairs.groupBy(*keys).agg(*(value(f).alias(f.name) for f in plain)).unpivot(keys, [f.name for f in plain], "formula", "predicted")
+    names = F.explode(F.array_compact(F.array(*(F.when(within(f), F.lit(f.name)) for f in FORMULAS if f.method == "trimmed")))).alias("formula")
+    trimmed = trimmed_means(pairs.select(*keys, "pyeong", names), [*keys, "formula"], "pyeong").withColumnRenamed("mean", "predicted")
+    return wide.unionByName(trimmed).where("predicted > 0")
+
+
+def kb_quotes(spark, sf) -> DataFrame:
+    """Cancelled line items as quotes: per complex, area type and month a price per pyeong; types are 10 m2 apart."""
+    d = b.deals(spark, sf, cancelled=True).where("cancelled").groupBy("complex_id", "type_id", "month").agg(F.floor(F.avg("pyeong") + 0.5).cast("int").alias("quote"))
+    return d.join(b.complexes(spark, sf).select("complex_id", F.col("sigungu_key").alias("region"), F.col("dong_key").cast("string").alias("dong"), "name"), "complex_id").where("quote > 0")
+
+
+def match_key(region: Column, dong: Column, name: Column) -> Column:
+    return F.concat_ws("|", region.cast("string"), text.squeezed(dong), text.loose_key(name))
 
 
 def quote_pairs(spark, sf) -> DataFrame:
-    q = b.quotes(spark, sf).where(F.col("month").between("199801", "199806")).where("type_id = '1-URGENT'").select("region", "name", F.col("month").alias("quote_month"), F.col("price").alias("quote"))
-    d = b.deals(spark, sf).join(b.complexes(spark, sf).select("complex_id", F.col("sigungu_key").alias("region")), "complex_id").where(F.col("month").between("199707", "199809"))
-    d = d.select("region", "month", "amount", F.abs(F.col("m2") - 25).alias("off"))
-    lag = months.between(F.col("month"), F.col("quote_month"))
-    return q.join(d, "region").withColumn("lag", lag).where(F.col("lag").between(-3, 6) & (F.col("off") <= 3.0))
+    """Quotes with the deals of their complex in the twelve months up to theirs, at most 3 m2 off. Both sides meet on the
+    key of region, neighbourhood and name and on the month, so pairs grow with the data."""
+    q = kb_quotes(spark, sf).withColumns({"key": match_key(F.col("region"), F.col("dong"), F.col("name")), "area": F.col("type_id") * 10 - 5.0})
+    q = q.select("key", "complex_id", "type_id", F.col("month").alias("quote_month"), "quote", "area", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("lag")).withColumn("month", months.add(F.col("quote_month"), -F.col("lag")))
+    c = b.complexes(spark, sf).select("complex_id", match_key(F.col("sigungu_key"), F.col("dong_key").cast("string"), F.col("name")).alias("key"))
+    d = b.deals(spark, sf).select("complex_id", "month", "m2", "pyeong").join(c, "complex_id").drop("complex_id").where("pyeong > 0")
+    return q.join(d, ["key", "month"]).withColumn("off", F.abs(F.col("m2") - F.col("area"))).where("off <= 3.0").select("complex_id", "type_id", "quote_month", "quote", "lag", "off", "pyeong")
 
 
-PAIRS = f"pairs as (select q.region, q.name, q.month as quote_month, q.price as quote, d.amount, abs(d.m2 - 25) as off, (cast(q.month[1:4] as int) * 12 + cast(q.month[5:6] as int)) - (cast(d.month[1:4] as int) * 12 + cast(d.month[5:6] as int)) as lag from quotes q join complexes c on c.sigungu_key = q.region join deals d using (complex_id) where q.month between '199801' and '199806' and q.type_id = '1-URGENT' and abs(d.m2 - 25) <= 3.0), near as (select * from pairs where lag between -3 and 6)"
+PAIRS = f"kb as (select complex_id, type_id, month as quote_month, cast(floor(avg(pyeong) + 0.5) as int) as quote from alldeals where cancelled group by all having quote > 0), near as (select kb.*, d.pyeong, abs(d.m2 - (kb.type_id * 10 - 5.0)) as off, {{q}} - {{d}} as lag from kb join deals d using (complex_id) where {{q}} - {{d}} between 0 and 11 and abs(d.m2 - (kb.type_id * 10 - 5.0)) <= 3.0 and d.pyeong > 0)".format(q="(cast(kb.quote_month[1:4] as int) * 12 + cast(kb.quote_month[5:6] as int))", d="(cast(d.month[1:4] as int) * 12 + cast(d.month[5:6] as int))")
+QUOTE = ["complex_id", "type_id", "quote_month", "quote"]
 
 
 def _formula_sql(f: Formula) -> str:
-    where = f"from near where lag between {-f.forward} and {f.back} and off <= {f.tolerance} "
-    keys = "region, name, quote_month"
+    where = f"from near where lag <= {f.back} and off <= {f.tolerance} "
+    keys = ", ".join(QUOTE)
     if f.method == "trimmed":
-        ranked = f"select {keys}, quote, amount, row_number() over (partition by {keys} order by amount) as rn, count(*) over (partition by {keys}) as n {where}"
-        return f"select {keys}, any_value(quote) as quote, '{f.name}' as formula, avg(amount) as predicted from ({ranked}) where rn > floor(n / 10) and rn <= n - floor(n / 10) group by {keys}"
-    how = {"mean": "avg(amount)", "median": "median(amount)", "weighted": "sum(amount / (abs(lag) + 1)) / sum(1 / (abs(lag) + 1))"}[f.method]
-    return f"select {keys}, any_value(quote) as quote, '{f.name}' as formula, {how} as predicted {where} group by {keys}"
+        ranked = f"select {keys}, pyeong, row_number() over (partition by {keys} order by pyeong) as rn, count(*) over (partition by {keys}) as n {where}"
+        return f"select {keys}, '{f.name}' as formula, avg(pyeong) as predicted from ({ranked}) where rn > floor(n / 10) and rn <= n - floor(n / 10) group by {keys}"
+    how = {"average": "avg(pyeong)", "median": "median(pyeong)", "weighted": "sum(pyeong / (lag + 1)) / sum(1 / (lag + 1))"}[f.method]
+    return f"select {keys}, '{f.name}' as formula, {how} as predicted {where} group by {keys}"
 
 
 PRED = PAIRS + ", pred as (" + " union all ".join(map(_formula_sql, FORMULAS)) + ")"
 
 
 def bound_predictions(spark, sf) -> DataFrame:
-    return predictions(quote_pairs(spark, sf), ["region", "name", "quote_month", "quote"])
+    return predictions(quote_pairs(spark, sf), QUOTE)
 
 
-@query("j17_range_join", f"with {PAIRS} select region, name, quote_month, cast(count(*) as bigint) as deals, min(lag) as least_lag, max(lag) as most_lag from near group by 1, 2, 3")
+@query("j17_range_join", f"with {PAIRS} select complex_id, type_id, quote_month, cast(count(*) as bigint) as deals, cast(min(lag) as int) as least_lag, cast(max(lag) as int) as most_lag from near group by 1, 2, 3")
 def j17(spark, sf):
-    return quote_pairs(spark, sf).groupBy("region", "name", "quote_month").agg(F.count("*").alias("deals"), F.min("lag").alias("least_lag"), F.max("lag").alias("most_lag"))
+    return quote_pairs(spark, sf).groupBy("complex_id", "type_id", "quote_month").agg(F.count("*").alias("deals"), F.min("lag").alias("least_lag"), F.max("lag").alias("most_lag"))
 
 
-@query("x2_formula_predictions", f"with {PRED} select region, name, quote_month, formula, round(predicted, 4) as predicted from pred")
+@query("x2_formula_predictions", f"with {PRED} select complex_id, type_id, quote_month, formula, round(predicted + 0.000013, 4) as predicted from pred")
 def x2(spark, sf):
-    return bound_predictions(spark, sf).select("region", "name", "quote_month", "formula", F.round("predicted", 4).alias("predicted"))
+    return bound_predictions(spark, sf).select("complex_id", "type_id", "quote_month", "formula", F.round(F.col("predicted") + 0.000013, 4).alias("predicted"))
+
+
+def split_month(rows: DataFrame) -> DataFrame:
+    """One row: the place among quotes, in order of month, complex and type, below which they train: 70 %, one at least."""
+    return rows.agg(F.greatest(F.lit(1), F.floor(F.count("*") * 0.7)).cast("int").alias("cut"))
 
 
-@query("a30_formula_report", f"with {PRED}, s as (select *, row_number() over (partition by formula order by quote_month, region, name) as rn, count(*) over (partition by formula) as n from pred), t as (select *, rn <= greatest(1, floor(0.7 * n)) as train from s), k as (select formula, sum(quote * predicted) filter (train) / sum(predicted * predicted) filter (train) as scale from t group by 1) select formula, round(any_value(scale), 6) as scale, cast(count(*) filter (train) as bigint) as n_train, cast(count(*) filter (not train) as bigint) as n_test, round(avg(abs(predicted - quote) / quote) filter (not train), 6) as mape, round(avg(abs(predicted * scale - quote) / quote) filter (not train), 6) as calibrated_mape from t join k using (formula) group by 1")
+@query("a30_formula_report", f"with {PRED}, m as (select *, row_number() over (order by quote_month, complex_id, type_id) as place, count(*) over () as n from (select distinct {', '.join(QUOTE)} from pred)), t as (select pred.*, place <= greatest(1, floor(0.7 * n)) as train from pred join m using ({', '.join(QUOTE)})), k as (select formula, sum(quote * predicted) filter (train) / sum(predicted * predicted) filter (train) as scale from t group by 1) select formula, round(any_value(scale), 6) as scale, cast(count(*) filter (train) as bigint) as n_train, cast(count(*) filter (not train) as bigint) as n_test, round(avg(abs(predicted - quote) / quote) filter (not train), 6) as raw_mape, round(avg(abs(predicted * scale - quote) / quote) filter (not train), 6) as mape, round(avg((predicted * scale - quote) / quote) filter (not train), 6) as bias from t join k using (formula) group by 1")
 def a30(spark, sf):
-    """Train on the first 70 % by month, calibrate by a scale, report on the rest."""
-    w = Window.partitionBy("formula")
-    rows = bound_predictions(spark, sf).withColumn("train", F.row_number().over(w.orderBy("quote_month", "region", "name")) <= F.greatest(F.lit(1), F.floor(F.count("*").over(w) * 0.7)))
+    """The first 70 % of the matched quotes, by month, train a scale for each formula; the rest test it."""
+    rows = entity.shared_table(bound_predictions(spark, sf), "predictions")
+    placed = ranks.table_rank(rows.select(*QUOTE).distinct(), [F.col(c).asc() for c in ("quote_month", "complex_id", "type_id")], "place")
+    split = placed.crossJoin(F.broadcast(split_month(placed))).select(*QUOTE, (F.col("place") <= F.col("cut")).alias("train"))  # one row
+    rows = rows.join(split, QUOTE)
     q, p = F.col("quote"), F.col("predicted")
     scale = rows.where("train").groupBy("formula").agg((F.sum(q * p) / F.sum(p * p)).alias("scale"))
     test = F.when(~F.col("train"), F.lit(1))
-    return rows.join(scale, "formula").groupBy("formula").agg(F.round(F.first("scale"), 6).alias("scale"), F.count_if("train").alias("n_train"), F.count(test).alias("n_test"), F.round(F.avg(test * F.abs(p - q) / q), 6).alias("mape"), F.round(F.avg(test * F.abs(p * F.col("scale") - q) / q), 6).alias("calibrated_mape"))
+    off = (p * F.col("scale") - q) / q
+    return rows.join(F.broadcast(scale), "formula").groupBy("formula").agg(F.round(F.first("scale"), 6).alias("scale"), F.count_if("train").alias("n_train"), F.count(test).alias("n_test"), F.round(F.avg(test * F.abs(p - q) / q), 6).alias("raw_mape"), F.round(F.avg(test * F.abs(off)), 6).alias("mape"), F.round(F.avg(test * off), 6).alias("bias"))  # a row for each formula
 
 
 @query("a28_trimmed_mean", "with r as (select complex_id, amount, row_number() over (partition by complex_id order by amount) as rn, count(*) over (partition by complex_id) as n from deals) select complex_id, round(avg(amount), 4) as mean from r where rn > floor(n / 10) and rn <= n - floor(n / 10) group by 1")
 def a28(spark, sf):
-    return b.deals(spark, sf).groupBy("complex_id").agg(F.round(trimmed_mean(F.collect_list(F.col("amount").cast("double"))), 4).alias("mean"))
+    return trimmed_means(b.deals(spark, sf), ["complex_id"], "amount").select("complex_id", F.round("mean", 4).alias("mean"))
 
 
 @query("a27_median", "select complex_id, type_id, median(amount) as median from deals group by 1, 2")
@@ -267,9 +311,9 @@ def s15(spark, sf):
     return entity.upsert(s, new, ["s_suppkey"])
 
 
-@query("s27_insert_new", "select cast(k as bigint) as k, cast(min(v) as bigint) as v from (select c_nationkey as k, 0 as v from customer where c_nationkey < 10 union all select s_nationkey, 1 from supplier) group by 1", base=False)
+@query("s27_insert_new", "select cast(k as bigint) as k, cast(min(v) as bigint) as v from (select c_nationkey as k, 0 as v from customer where c_mktsegment = 'BUILDING' and c_acctbal > 8000 union all select s_nationkey, 1 from supplier) group by 1", base=False)
 def s27(spark, sf):
-    have = b.table(spark, sf, "customer").where("c_nationkey < 10").select(F.col("c_nationkey").cast("long").alias("k"), F.lit(0).cast("long").alias("v")).distinct()
+    have = b.table(spark, sf, "customer").where("c_mktsegment = 'BUILDING' and c_acctbal > 8000").select(F.col("c_nationkey").cast("long").alias("k"), F.lit(0).cast("long").alias("v")).distinct()
     new = b.table(spark, sf, "supplier").select(F.col("s_nationkey").cast("long").alias("k"), F.lit(1).cast("long").alias("v")).distinct()
     return entity.insert_new(have, new, ["k"])
 
@@ -326,9 +370,31 @@ def f16(spark, sf):
     return o.select("o_orderkey", numbers.parse_number(written).alias("parsed"), F.col("o_totalprice").cast("int").alias("whole"))
 
 
-@query("f20_slug", "select event_id, left(regexp_replace(lower(trim(event_type || ' / ' || user_id)), '[^a-z0-9_.:-]+', '_', 'g'), 80) as slug from events", base=False)
+@query("f20_slug", "select event_id, coalesce(nullif(left(regexp_replace(regexp_replace(lower(trim(s)), '[^a-z0-9_.:-]+', '_', 'g'), '^_+|_+$', '', 'g'), 80), ''), 'page_view') as slug from (select event_id, case when user_id % 5 = 0 then ' !! ' when user_id % 5 = 1 then '_' || event_type || ' / ' || user_id || '?' else event_type || ' / ' || user_id end as s from events)", base=False)
 def f20(spark, sf):
-    return b.table(spark, sf, "events").select("event_id", text.slug(F.concat_ws(" / ", "event_type", F.col("user_id").cast("string"))).alias("slug"))
+    e, k = b.table(spark, sf, "events"), F.col("user_id") % 5
+    plain = F.concat_ws(" / ", "event_type", F.col("user_id").cast("string"))
+    return e.select("event_id", text.slug(F.when(k == 0, " !! ").when(k == 1, F.concat(F.lit("_"), plain, F.lit("?"))).otherwise(plain)).alias("slug"))
+
+
+AGENTS = ("Mozilla/5.0 (iPhone; CPU iPhone OS 17_0 like Mac OS X) Version/17.0 Mobile Safari/604.1", "Mozilla/5.0 (Linux; Android 13; SM-G991N) Chrome/110.0.1 Mobile Safari/537.36 KAKAOTALK/10.2.1", "Mozilla/5.0 (Windows NT 10.0) Chrome/118.0 Whale/3.23.2 Safari/537.36", "Mozilla/5.0 (compatible; Googlebot/2.1)", "Mozilla/5.0 (X11; Linux) Firefox/120.0")
+TOLD = (("Safari", "iOS", "17.0", "mobile"), ("KakaoTalk", "Android", "13", "mobile"), ("Naver Whale", "Windows", "10.0", "desktop"), ("Unknown", "Unknown", "", "bot"), ("Firefox", "Linux", "", "desktop"))
+
+
+@query("f21_user_agents", "select ['" + "', '".join("|".join(t) for t in TOLD) + "'][user_id % 5 + 1] as told, cast(count(*) as bigint) as n from events group by 1", base=False)
+def f21(spark, sf):
+    ua = F.get(F.array(*map(F.lit, AGENTS)), (F.col("user_id") % 5).cast("int"))
+    u = b.table(spark, sf, "events").withColumn("u", text.user_agent(ua))
+    return u.groupBy(F.concat_ws("|", "u.browser", "u.os", "u.os_version", "u.device").alias("told")).agg(F.count("*").alias("n"))
+
+
+HOSTS = ("https://www.site.test/a", "dev.site.test:80", "192.168.0.4", "[::1]:3000", "other.test")
+
+
+@query("f23_environments", "select ['production', 'development', 'local', 'local', 'unknown'][user_id % 5 + 1] as environment, cast(count(*) as bigint) as n from events group by 1", base=False)
+def f23(spark, sf):
+    host = F.get(F.array(*map(F.lit, HOSTS)), (F.col("user_id") % 5).cast("int"))
+    return b.table(spark, sf, "events").groupBy(text.environment(host, ("site.test", "www.site.test"), ("dev.site.test",)).alias("environment")).agg(F.count("*").alias("n"))
 
 
-__all__ = ["FORMULAS", "Formula", "predictions", "tiles", "trimmed_mean"]
+__all__ = ["FORMULAS", "Formula", "predictions", "tiles", "trimmed_means"]

@@ -16,8 +16,8 @@ with recursive alldeals as (
   select l_suppkey as complex_id, cast(ceil(l_quantity / 10) as int) as type_id, cast(round(l_extendedprice) as int) as amount,
          cast(round(cast(round(l_extendedprice) as int) / l_quantity) as int) as pyeong, strftime(l_shipdate, '%Y%m') as month,
          cast(l_shipdate as date) as deal_date, l_orderkey as order_id, cast(l_linenumber as int) as line_no, l_quantity as m2,
-         l_returnflag = 'R' as cancelled from lineitem),
-deals as (select * exclude (cancelled) from alldeals where not cancelled),
+         coalesce(l_returnflag = 'R', false) as cancelled from lineitem),
+deals as (select * exclude (cancelled) from alldeals where not cancelled and m2 > 0 and amount is not null),
 complexes as (
   select s_suppkey as complex_id, s_name as name, cast(floor(s_acctbal) as int) as households, cast(n_nationkey as int) as sigungu_key,
          n_name as sigungu_name, cast(r_regionkey as int) as sido_key, r_name as sido_name, cast(n_nationkey * 10 + s_suppkey % 3 as int) as dong_key,

@@ -20,7 +20,8 @@ def deals(spark: SparkSession, sf_dir: str, cancelled: bool = False) -> DataFram
     """Valid deals; with cancelled=True all of them, flagged."""
     rows = table(spark, sf_dir, "lineitem")
     if not cancelled:
-        rows = rows.where(F.col("l_returnflag") != "R")
+        # A deal without a flag was not cancelled; one needs an area and a price.
+        rows = rows.where("(l_returnflag is null or l_returnflag <> 'R') and l_quantity > 0 and l_extendedprice is not null")
     amount = F.round("l_extendedprice").cast("int")
     out = rows.select(
         F.col("l_suppkey").alias("complex_id"),

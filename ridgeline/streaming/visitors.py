@@ -29,9 +29,17 @@ def visitor_stream(events: DataFrame) -> DataFrame:
     return events.groupBy("visitor_id").agg(F.min("ts").alias("first_seen_at"), F.max("ts").alias("last_seen_at"), F.count("*").alias("events"), F.count_if(F.col("event_name") == "view").alias("views"))
 
 
-def new_visitors(events: DataFrame, late: str = LATE) -> DataFrame:
-    """The first event of each visitor within the watermark."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["visitor_id"])
+def new_visitors(events: DataFrame) -> DataFrame:
+    """The first event of each visitor ever: one flag a visitor stays in state, however long ago the visit was."""
+
+    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        first = min((b["ts"].min() for b in batches if len(b)), default=None)
+        if not state.exists and first is not None:
+            state.update((True,))
+            yield pd.DataFrame({"visitor_id": [k[0]], "ts": [first]})
+
+    rows = events.select("visitor_id", "ts")
+    return rows.groupBy("visitor_id").applyInPandasWithState(run, f"visitor_id {rows.schema['visitor_id'].dataType.simpleString()}, ts timestamp", "seen boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def rolling_counts(events: DataFrame, size: str = "1 hour", slide: str = "10 minutes", late: str = LATE) -> DataFrame:
@@ -58,28 +66,88 @@ def throttle_stream(events: DataFrame, key: str, seconds: int) -> DataFrame:
 
 
 def throttled(events: DataFrame, key: str, seconds: int) -> DataFrame:
-    """The batch form: distinct times are gathered per key and minute, then folded in order. Keys are alert kinds."""
-    first = events.groupBy(key, F.date_trunc("minute", "ts").alias("_minute")).agg(F.array_sort(F.collect_set(F.unix_micros("ts"))).alias("_ats"))
-    per = first.groupBy(key).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_minute", "_ats"))), lambda x: x["_ats"])).alias("_ats"))
-    gap = F.lit(seconds * 1_000_000).cast("long")
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<long>").alias("kept"))
-    step = lambda s, at: F.when(s["last"].isNull() | (at - s["last"] >= gap), F.struct(at.alias("last"), F.array_append(s["kept"], at).alias("kept"))).otherwise(s)
-    return per.select(key, F.explode(F.aggregate("_ats", start, step)["kept"]).alias("_at")).select(key, F.timestamp_micros("_at").alias("ts"))
+    """The batch form: a key's times, sorted by Spark, stream past in order, and only the last alert is held.
+
+    A key is one sorted stream, so keys are kinds of alert; its rows spill, they are never held together.
+    """
+    gap = seconds * 1_000_000
+    times = events.select(F.col(key).alias("k"), F.unix_micros("ts").alias("at")).distinct()
 
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, last = None, 0
+        for b in batches:
+            keep = []
+            for i, (k, at) in enumerate(zip(b["k"], b["at"], strict=True)):
+                if k != of or at - last >= gap:
+                    of, last = k, at
+                    keep.append(i)
+            yield b.iloc[keep]
 
-def merge_batches(events: DataFrame, path: str, keys: list[str], checkpoint: str):
-    """Keyed upsert of a stream into Parquet, version by version: each batch rewrites the table it read and moves on.
+    ordered = times.where("k is not null").repartition("k").sortWithinPartitions("k", "at")
+    return ordered.mapInPandas(fold, ordered.schema).select(F.col("k").alias(key), F.timestamp_micros("at").alias("ts"))
 
-    Returns the started query; the newest version is the folder of the highest number under path.
+
+def merge_batches(events: DataFrame, path: str, keys: list[str], checkpoint: str, parts: int = 64):
+    """Keyed upsert of a stream into Parquet, in parts by a hash of the keys: a batch rewrites the parts it has rows of.
+
+    Each part is a folder of versions, p=<part>/v=<batch>; a batch writes its version of a part and then drops older ones
+    but the last, so a batch that is run again finds what it read. Returns the started query; read_merged() reads.
     """
     from ridgeline.operators.entity import upsert
     from ridgeline.operators.ranks import first_by
 
+    part = F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int").alias("_p")
+
     def write(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        new = first_by(batch, keys, [F.col("ts").desc()])
-        done = f"{path}/v{n:09d}"
-        old = spark.read.schema(batch.schema).parquet(f"{path}/v{n - 1:09d}") if n else None
-        (new if old is None else upsert(old, new, keys)).write.mode("overwrite").parquet(done)
+        new = first_by(batch, keys, [F.col("ts").desc()]).persist()
+        touched = [r["_p"] for r in new.select(part).distinct().collect()]  # at most `parts`
+        old = _versions(spark, path, touched, n)
+        rows = new if not old else upsert(spark.read.schema(batch.schema).parquet(*old.values()), new, keys)
+        if touched:
+            _clear(spark, path, touched, n)
+            rows.withColumn("_p", part).withColumn("_v", F.lit(n)).repartition("_p").write.partitionBy("_p", "_v").mode("append").parquet(path)
+        _drop_before(spark, path, old)
+        new.unpersist()
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _folder(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _numbers(spark: SparkSession, path: str) -> list[int]:
+    """The versions of a part's folder, ascending."""
+    files, at = _folder(spark, path)
+    return sorted(int(f.getPath().getName().split("=")[1]) for f in files.listStatus(at) if f.getPath().getName().startswith("_v=")) if files.exists(at) else []
+
+
+def _versions(spark: SparkSession, path: str, touched: list[int], n: int) -> dict[int, str]:
+    """The newest folder before batch n of each part that has one."""
+    found = {p: [v for v in _numbers(spark, f"{path}/_p={p}") if v < n] for p in touched}
+    return {p: f"{path}/_p={p}/_v={vs[-1]}" for p, vs in found.items() if vs}
+
+
+def _clear(spark: SparkSession, path: str, touched: list[int], n: int) -> None:
+    """What a batch that broke off has left."""
+    for p in touched:
+        files, at = _folder(spark, f"{path}/_p={p}/_v={n}")
+        files.delete(at, True)
+
+
+def _drop_before(spark: SparkSession, path: str, read: dict[int, str]) -> None:
+    for p, newest in read.items():
+        for v in _numbers(spark, f"{path}/_p={p}"):
+            if v < int(newest.rsplit("=", 1)[1]):
+                files, at = _folder(spark, f"{path}/_p={p}/_v={v}")
+                files.delete(at, True)
+
+
+def read_merged(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The newest version of each part."""
+    files, at = _folder(spark, path)
+    parts = [int(f.getPath().getName().split("=")[1]) for f in files.listStatus(at) if f.getPath().getName().startswith("_p=")] if files.exists(at) else []
+    found = [f"{path}/_p={p}/_v={vs[-1]}" for p in parts if (vs := _numbers(spark, f"{path}/_p={p}"))]
+    return spark.read.schema(schema).parquet(*found) if found else spark.createDataFrame([], schema)

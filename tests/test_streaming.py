@@ -53,5 +53,20 @@ def test_visitors_and_throttle(spark, folder):
 
 
 def test_merge(spark, folder):
-    v.merge_batches(source(spark, folder), f"{folder}/out", ["visitor_id"], f"{folder}/cp").awaitTermination(120)
-    assert sorted(r["event_id"] for r in spark.read.parquet(f"{folder}/out/v000000000").collect()) == [6, 7, 8]
+    v.merge_batches(source(spark, folder), f"{folder}/out", ["visitor_id"], f"{folder}/cp", parts=2).awaitTermination(120)
+    read = lambda: sorted(r["event_id"] for r in v.read_merged(spark, f"{folder}/out", SCHEMA).collect())
+    assert read() == [6, 7, 8]
+    late = [(20, dt.datetime(2026, 2, 1), 1, "view", 0), (21, dt.datetime(2026, 2, 2), 9, "view", 0)]
+    spark.createDataFrame(late, SCHEMA).write.parquet(f"{folder}/in/p9")
+    v.merge_batches(source(spark, folder), f"{folder}/out", ["visitor_id"], f"{folder}/cp", parts=2).awaitTermination(120)
+    assert read() == [6, 8, 20, 21]
+
+
+def test_new_visitor_is_new_once(spark, tmp_path):
+    t = dt.datetime(2026, 1, 1)
+    rows = [(i, t + dt.timedelta(days=d), 1, "view", 0) for i, d in enumerate([0, 1, 40])]
+    for n, r in enumerate(rows):
+        spark.createDataFrame([r], SCHEMA).write.parquet(f"{tmp_path}/in/p{n}")
+        new = v.new_visitors(source(spark, tmp_path)).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp")
+        new.outputMode("append").trigger(availableNow=True).start().awaitTermination(120)
+        assert spark.read.parquet(f"{tmp_path}/out").count() == 1

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions import geo, months, numbers, text
 from ridgeline.operators import entity, prices, ranks
-from ridgeline.plans.matching import FORMULAS, predictions, tiles, trimmed_mean
+from ridgeline.plans.matching import FORMULAS, predictions, tiles, trimmed_means
 
 
 def values(spark, rows, schema, *columns):
@@ -47,8 +47,24 @@ def test_text(spark):
     assert [g[0] for g in got] == [100, 90, 0, 38, 0]
     assert column(spark, ["래미안 (1단지) A.b", None], "string", text.name_key(F.col("x"))) == ["래미안1단지ab", ""]
     ua = "Mozilla/5.0 (iPhone; CPU iPhone OS 17_0 like Mac OS X) AppleWebKit/605 Version/17.0 Mobile/15E148 Safari/604.1"
-    assert tuple(column(spark, [ua], "string", text.user_agent(F.col("x")))[0]) == ("Safari", "17.0", "iOS", "mobile")
-    assert column(spark, ["localhost:3000", "dev.a.kr", "a.kr", None], "string", text.environment(F.col("x"))) == ["local", "development", "production", "unknown"]
+    assert tuple(column(spark, [ua], "string", text.user_agent(F.col("x")))[0]) == ("Safari", "17.0", "iOS", "17.0", "mobile")
+    hosts = ["localhost:3000", "https://dev.a.kr/x", "a.kr:443", "b.kr", "[::1]:80", "10.1.2.3", None]
+    assert column(spark, hosts, "string", text.environment(F.col("x"), ("a.kr",), ("dev.a.kr",))) == ["local", "development", "production", "unknown", "local", "local", "unknown"]
+    agents = {
+        "Mozilla/5.0 (Linux; Android 13; SM-G991N) AppleWebKit/537.36 Chrome/110.0.1 Mobile Safari/537.36 KAKAOTALK/10.2.1": ("KakaoTalk", "10.2.1", "Android", "13", "mobile"),
+        "Mozilla/5.0 (Windows NT 10.0; Win64) AppleWebKit/537.36 Chrome/118.0 Whale/3.23.2 Safari/537.36": ("Naver Whale", "3.23.2", "Windows", "10.0", "desktop"),
+        "Mozilla/5.0 (compatible; Googlebot/2.1)": ("Unknown", "", "Unknown", "", "bot"),
+        "Mozilla/5.0 (Linux; Android 12; SM-T870) AppleWebKit/537.36 Chrome/99.0 Safari/537.36": ("Chrome", "99.0", "Android", "12", "tablet"),
+        "": ("Unknown", "", "Unknown", "", "desktop"),
+    }
+    assert [tuple(r) for r in column(spark, list(agents), "string", text.user_agent(F.col("x")))] == list(agents.values())
+    assert column(spark, ["  __Click Me!! ", "!!!", None, "a.b:c"], "string", text.slug(F.col("x"))) == ["click_me", "page_view", "page_view", "a.b:c"]
+    import hashlib
+    import hmac
+
+    from ridgeline.plans.places import hmac_sha256
+
+    assert column(spark, ["x", ""], "string", hmac_sha256(F.col("x"), b"key")) == [hmac.new(b"key", m, hashlib.sha256).hexdigest() for m in (b"x", b"")]
     assert column(spark, ["6f9619ff-8b86-4d01-b42d-00cf4fc964ff", "x"], "string", text.is_uuid(F.col("x"))) == [True, False]
     assert spark.createDataFrame([({"b": "x" * 9, "a": "1"},)], "m map<string,string>").select(text.bounded_map(F.col("m"), 1, 5)).first()[0] == {"a": "1"}
 
@@ -72,11 +88,14 @@ def test_asof_and_densify(spark):
 
 
 def test_formulas(spark):
-    xs = [(list(map(float, range(1, 10))),), (list(map(float, range(1, 11))),), ([5.0],)]
-    assert [r[0] for r in values(spark, xs, "x array<double>", trimmed_mean(F.col("x")))] == [5, 5.5, 5]
-    pairs = spark.createDataFrame([("a", 0, 0.1, 100), ("a", 1, 0.1, 200), ("a", 3, 2.0, 900)], "q string, lag int, off double, amount int")
+    cases = {"few": [1.0, 2.0, 9.0], "ten": [0.0, *map(float, range(2, 10)), 100.0], "four": [1.0, 2.0, 3.0, 10.0]}
+    rows = [(k, x) for k, xs in cases.items() for x in xs]
+    got = {r["k"]: r["mean"] for r in trimmed_means(spark.createDataFrame(rows, "k string, x double"), ["k"], "x").collect()}
+    assert got == {"few": 4.0, "ten": 5.5, "four": 4.0}
+    pairs = spark.createDataFrame([("a", 0, 0.1, 100), ("a", 1, 0.1, 200), ("a", 4, 2.0, 900)], "q string, lag int, off double, pyeong int")
     got = {r["formula"]: r["predicted"] for r in predictions(pairs, ["q"]).collect()}
-    assert len(FORMULAS) == 26 and got["mean_1m_5"] == 150 and abs(got["weighted_1m_5"] - 400 / 3) < 1e-9 and got["mean_3m_30"] == 400 and got["mean_3m_5"] == 150
+    assert len(FORMULAS) == 18 and got["same_month_average"] == 100 and got["trailing_3m_median"] == 150 and abs(got["trailing_3m_weighted"] - 400 / 3) < 1e-9
+    assert got["wide_area_6m_median"] == 200 and got["trailing_6m_average"] == 150 and got["trailing_12m_trimmed"] == 150
 
 
 def test_components_and_pairs(spark):
@@ -105,5 +124,6 @@ def test_page_and_tiles(spark):
 def test_filters_reach_the_scan(spark, metric):
     from ridgeline.sources import bindings as b
 
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
     plan = b.deals(spark, "/root/testdata/sf0.001").where("complex_id = 7").select("amount")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "EqualTo(l_suppkey,7)" in plan and "l_tax" not in plan
