@@ -21,8 +21,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.llm.common import join_groups, written
 
-PAGES = 4  # pages of a host that must have a node before its importance counts
-SHARE = 0.3  # and their share of the host's pages
+PAGES = 4  # occurrences of a node before its entropy tells anything, whatever the size of its host
 LOW = 0.2  # importance below which a node is cut
 PRESENTATION = 0.1  # weight of presentation against content
 
@@ -40,7 +39,9 @@ NAMES = frozenset(
 )
 MAIN = frozenset("article content main post entry story maincontent".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+#: What follows a tag's name up to its >; quotes that are closed may hold one. Possessive, so it never goes back.
+_REST = re.compile(r"(?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+")
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _PARTS = re.compile(r"[^a-z0-9]+")
 _ENDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "td": ("tr", "table"), "th": ("tr", "table"), "tr": ("table",), "option": ("select",)}
@@ -59,34 +60,57 @@ def parse(source: str) -> Node:
     """A tree of elements; unclosed and stray tags are tolerated, as browsers do in the common cases."""
     root = Node("#root")
     stack, raw = [root], None
+    open_tags: dict[str, int] = {}
     at, end = 0, len(source)
+
+    def say(text: str) -> None:
+        if text:
+            stack[-1].children.append(html.unescape(text) if "&" in text else text)
+
     while at < end:
         if raw is not None:
-            m = re.compile(f"</{raw}[^>]*>", re.I).search(source, at)
+            m = re.compile(f"</{raw}[^>]*+>", re.I).search(source, at)
             stack[-1].children.append(source[at : m.start() if m else end])
-            stack.pop()
+            _count(open_tags, stack.pop(), -1)
             at, raw = m.end() if m else end, None
             continue
-        m = _TOKEN.match(source, at)
-        at = m.end()
-        closing, name, rest = m.groups()
-        if name is None:
-            text = m[0]
-            if not (text.startswith("<!") or text.startswith("<?")):
-                stack[-1].children.append(html.unescape(text) if "&" in text else text)
+        start = source.find("<", at)
+        if start < 0:
+            say(source[at:])
+            break
+        say(source[at:start])
+        if source.startswith(("<!", "<?"), start):
+            long = source.startswith("<!--", start)
+            stop = source.find("-->" if long else ">", start + (4 if long else 2))
+            at = end if stop < 0 else stop + (3 if long else 1)
             continue
+        closing = source.startswith("</", start)
+        m = _NAME.match(source, start + 1 + closing)
+        if m is None:
+            say("<")
+            at = start + 1
+            continue
+        name, after = m[0], m.end()
+        stop = _REST.match(source, after).end()
+        if stop >= end or source[stop] != ">":  # a quote that is never closed: the tag ends at the next >
+            stop = source.find(">", after)
+            stop = end if stop < 0 else stop
+        rest, at = source[after:stop], stop + 1
         name = name.lower()
         if closing:
-            if any(n.tag == name for n in stack[1:]):
-                while stack.pop().tag != name:
-                    pass
+            if open_tags.get(name):
+                while True:
+                    gone = stack.pop()
+                    _count(open_tags, gone, -1)
+                    if gone.tag == name:
+                        break
             continue
         if name in CLOSES_P and (name not in ("table",)):
-            _close(stack, ("p",), ("td", "th", "table", "button", "object", "caption"))
+            _close(open_tags, stack, ("p",), ("td", "th", "table", "button", "object", "caption"))
         if name in _ENDS:
-            _close(stack, ("dt", "dd") if name in ("dt", "dd") else ("td", "th") if name in ("td", "th") else (name,), _ENDS[name])
+            _close(open_tags, stack, ("dt", "dd") if name in ("dt", "dd") else ("td", "th") if name in ("td", "th") else (name,), _ENDS[name])
             if name == "tr":
-                _close(stack, ("tr",), ("table",))
+                _close(open_tags, stack, ("tr",), ("table",))
         found = {k.lower(): html.unescape(a or b or c or "") for k, a, b, c in _ATTRIBUTE.findall(rest)} if rest.strip(" /\n\t\r") else {}
         node = Node(name, f"{name}.{'.'.join(sorted(found.get('class', '').lower().split()))}#{found.get('id', '').lower()}", found)
         node.path = xxhash.xxh64_intdigest(node.style, stack[-1].path)
@@ -94,14 +118,23 @@ def parse(source: str) -> Node:
         if name in VOID or rest.rstrip().endswith("/") and name in ("svg", "path"):
             continue
         stack.append(node)
+        _count(open_tags, node, 1)
         if name in RAW:
             raw = name
     return root
 
 
-def _close(stack: list[Node], tags: tuple[str, ...], scope: tuple[str, ...]) -> None:
+def _count(open_tags: dict[str, int], node: Node, n: int) -> None:
+    open_tags[node.tag] = open_tags.get(node.tag, 0) + n
+
+
+def _close(open_tags: dict[str, int], stack: list[Node], tags: tuple[str, ...], scope: tuple[str, ...]) -> None:
+    if not any(open_tags.get(t) for t in tags):
+        return
     for i in range(len(stack) - 1, 0, -1):
         if stack[i].tag in tags:
+            for node in stack[i:]:
+                _count(open_tags, node, -1)
             del stack[i:]
             return
         if stack[i].tag in scope:
@@ -165,19 +198,37 @@ def walk(root: Node) -> Iterator[Node]:
         stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
 
 
-def main_text(source: str, cut: frozenset[int]) -> str:
-    """The article's blocks joined by one newline; "" if there is none."""
-    root = parse(source)
-    nodes = [*walk(root)]
+def outermost(root: Node, wanted) -> list[Node]:
+    """The wanted nodes in page order that lie neither in one another nor in what isn't article text."""
+    found, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        if node is not root and named_noise(node, False):
+            continue
+        if wanted(node):
+            found.append(node)
+        else:
+            stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
+    return found
+
 
-    def best(found: list[Node], article: bool) -> list[str] | None:
-        texts = [t for n in found if (t := blocks(n, cut, article))]
-        return max(texts, key=lambda t: sum(map(len, t)), default=None)
+def main_text(source: str, cut: frozenset[int]) -> str:
+    """The blocks of all articles in page order, joined by one newline; "" if there are none.
 
-    found = best([n for n in nodes if n.tag == "article" and not named_noise(n, False)], True)
-    found = found or best([n for n in nodes if n.tag == "main" or n.attributes.get("role", "").lower() == "main"], True)
-    found = found or best([n for n in nodes if n.tag in ("div", "section", "td") and n.attributes and MAIN & {*_PARTS.split(f"{n.attributes.get('class', '')} {n.attributes.get('id', '')}".lower())} and not named_noise(n, False)], True)
-    return "\n".join(found or blocks(root, cut))
+    A page without articles has its main elements, without these the outermost ones whose class or id says so, else all
+    that is left of it.
+    """
+    root = parse(source)
+    named = lambda n: MAIN & {*_PARTS.split(f"{n.attributes.get('class', '')} {n.attributes.get('id', '')}".lower())}
+    kinds = (
+        lambda n: n.tag == "article",
+        lambda n: n.tag == "main" or n.attributes.get("role", "").lower() == "main",
+        lambda n: n.tag in ("div", "section", "td") and n.attributes and named(n),
+    )
+    for wanted in kinds:
+        if found := [t for n in outermost(root, wanted) for t in blocks(n, cut, True)]:
+            return "\n".join(found)
+    return "\n".join(blocks(root, cut))
 
 
 def style_nodes(source: str) -> list[tuple[int, int, int]]:
@@ -212,17 +263,18 @@ def site_tree(pages: DataFrame) -> DataFrame:
     return spread.select("host", "path", F.col("m0").alias("pages"), (PRESENTATION * entropy(0) + (1 - PRESENTATION) * entropy(1)).alias("importance"))
 
 
-def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = PAGES) -> DataFrame:
     """One row per input row: page_id, url, text, n_chars.
 
+    A style node is cut by its importance alone, once `least_pages` pages have it; the share of its host's pages that it
+    stands on doesn't count. A host's cut nodes are its templates' repeated parts, each shared by pages, held as one list.
+
     Null html counts as empty and gives "". Pages whose url is null or has no host form one host of their own. Repeated
     rows count as pages of their own. Empty table: no rows.
     """
     pages = df.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), F.coalesce(F.lower(F.try_parse_url(F.col(url_col), F.lit("HOST"))), F.lit("")).alias("host"))
     hosts = pages.groupBy("host").agg(F.count("*").alias("of"))
-    tree = site_tree(pages).where((F.col("pages") >= PAGES) & (F.col("importance") < LOW))
-    # A host's cut nodes each stand on SHARE of its pages or more, so they are few, however many pages it has.
-    low = tree.join(hosts, "host").where(F.col("pages") >= SHARE * F.col("of")).groupBy("host").agg(F.collect_list("path").alias("cut"))
+    low = site_tree(pages).where((F.col("pages") >= least_pages) & (F.col("importance") < LOW)).groupBy("host").agg(F.collect_list("path").alias("cut"))
     groups = written(hosts.join(low, "host", "left"), "hosts")
     total = groups.agg(F.coalesce(F.sum("of"), F.lit(0))).first()[0]
 

@@ -143,7 +143,7 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         return None
     share = max(1, sample // len(sizes))
     limits = F.create_map(*(x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, share / n)))))
-    dealt = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003
+    dealt = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 53)) / float(1 << 53)  # fine enough for any number of rows
     found = rows.where(dealt < limits[F.col("lang")]).where((F.octet_length("text") <= SAMPLE_BYTES) & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang").collect()
     if not found:
         return None
@@ -173,6 +173,7 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     """doc_id, lang_pred, score, rejected: one row per input row.
 
     A null text or one without a letter is `und` with score 0 and rejected, as is every row if there is no model.
+    Repeated rows stay and agree; of equal scores the first language in order counts; an empty table gives no rows.
     """
     return df.select(F.col(id_col).alias("doc_id"), language_of(F.col(text_col), model).alias("found")).select("doc_id", "found.*")
 

@@ -107,7 +107,6 @@ CUES = {
 _CUE = {w: f"cue-{k}" for k, ws in CUES.items() for w in ws}
 _SHAPES = {
     "mail": re.compile(r"[^@]+@[^@]+\.[A-Za-z]{2,}"),
-    "hidden-mail": re.compile(r".*(?:\[at\]|\(at\)|@).*(?:\[dot\]|\(dot\)|\.).*"),
     "quad": re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]+)?"),
     "plus": re.compile(r"\+[0-9].*"),
     "area": re.compile(r"\([0-9]{2,4}\)"),
@@ -126,25 +125,28 @@ def _digits_class(n: int) -> str:
 
 
 #: Feature names, the index of each is its row in the weights. "" is the padding, of weight zero.
-FEATURES = ["", "bias", *sorted(_SHAPES), *sorted(f"cue-{k}" for k in KINDS), *sorted(f"any-cue-{k}" for k in KINDS), *(_digits_class(n) for n in (0, 1, 3, 4, 5, 7, 8, 10, 12, 14, 99)), "letters", "first", "long"]
+FEATURES = ["", "bias", "hidden-mail", *sorted(_SHAPES), *sorted(f"cue-{k}" for k in KINDS), *sorted(f"any-cue-{k}" for k in KINDS), *(_digits_class(n) for n in (0, 1, 3, 4, 5, 7, 8, 10, 12, 14, 99)), "letters", "first", "long"]
 _PLACE = {f: i for i, f in enumerate(FEATURES)}
 _ANY = {_PLACE[f"cue-{k}"]: _PLACE[f"any-cue-{k}"] for k in KINDS}
-SLOTS = 12
+SLOTS = len(_SHAPES) + len(KINDS) + 5  # as many features as a token can have
+_AT, _DOT = re.compile(r"\[at\]|\(at\)|@"), re.compile(r"\[dot\]|\(dot\)|\.")
 VALUE_TOKENS = 4  # neighbouring tokens that one value may be written in
 
 
 def features(token: str, before: str) -> list[int]:
     """Places of the features of a token; before: what stands ahead of it, its last words count as cues."""
-    word = token[:400].strip(_TRIM)
+    word = token.strip(_TRIM)
     found = ["bias", _digits_class(sum(c in "0123456789" for c in token))]
     found += [n for n, p in _SHAPES.items() if p.fullmatch(word)]
-    cues = {_CUE[w] for w in (x.strip(_TRIM + "()").lower() for x in before.split()[-2:]) if w in _CUE}
+    if (at := _AT.search(word)) and _DOT.search(word, at.end()):
+        found.append("hidden-mail")
+    cues = {_CUE[w] for w in (x.strip(_TRIM + "()").lower() for x in before.rsplit(None, 2)[-2:]) if w in _CUE}
     found += sorted(cues)
     if any(c.isalpha() for c in word):
         found.append("letters")
     if len(token) > 40:
         found.append("long")
-    return [_PLACE[f] for f in found[:SLOTS]]
+    return [_PLACE[f] for f in found]
 
 
 def repeated_values(found: list[str], joined: list[bool]) -> list[list[int]]:
@@ -198,7 +200,7 @@ class Graph:
         joined: list[bool] = []  # to the token before
         for i, (s, e) in enumerate(spans):
             here = len(self.unary)
-            self.unary.append(features(text[s:e], text[max(end, s - 40) : s]))
+            self.unary.append(features(text[s:e], text[end:s]))
             while k < len(base) and base[k][2] <= s:
                 k += 1
             label = -1
