@@ -26,7 +26,8 @@ from ridgeline.llm.common import narrow
 KINDS = ("email", "ip", "card", "phone")
 SETTLED = 1e-3  # change of a document's messages at which they stop, whatever its neighbours in a batch do
 ROUNDS = 1000  # at most, for a document whose messages never settle
-SURE = 0.95  # least marginal of every token of an added span, for a repeated value that of its hub or of one token
+SURE = 0.95  # least marginal of a repeated value's hub or of one of its tokens: repeats alone are no evidence
+ALONE = 0.7  # and of every token of an added span that isn't repeated
 CHAIN, SKIP = 0, 1
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -279,9 +280,9 @@ def _sample(rng: np.random.Generator, words: list[str]) -> tuple[str, list[tuple
         "email": pick(f"{word()}.{word()}{num(2)}@{word()}{pick('.com', '.org', '.example.com')}", f"{word()}{pick('[at]', '(at)')}{word()}{pick('[dot]', '(dot)', '.')}{pick('com', 'org')}"),
         "ip": ".".join(str(x) for x in rng.integers(0, 256, 4)),
         "card": pick(" ".join(card), "-".join(card)),
-        "phone": pick(f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"+{num(1)} {num(3)} {num(3)} {num(4)}", f"({num(3)}) {num(3)}.{num(4)}"),
+        "phone": pick(f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"+{num(1)} {num(3)} {num(3)} {num(4)}", f"({num(3)}) {num(3)}.{num(4)}", num(10)),
     }
-    other = lambda: pick(num(1), num(2), num(3), num(4), num(6), f"{num(4)}-{num(2)}-{num(2)}", f"${num(3)}.{num(2)}", f"v{num(1)}.{num(2)}.{num(1)}", f"{num(2)}%", f"#{num(5)}", num(9), num(12), num(16), f"{word()}{num(3)}", f"{num(1)},{num(3)}", f"@{word()}", f"{num(3)}-{num(4)}", f"{num(20)}{word()}")
+    other = lambda: pick(num(1), num(2), num(3), num(4), num(6), f"{num(4)}-{num(2)}-{num(2)}", f"${num(3)}.{num(2)}", f"v{num(1)}.{num(2)}.{num(1)}", f"{num(2)}%", f"#{num(5)}", num(9), num(10), num(10), num(12), num(16), f"{word()}{num(3)}", f"{num(1)},{num(3)}", f"@{word()}", f"{num(3)}-{num(4)}", f"{num(20)}{word()}")
     text, spans = "", []
     repeated = pick(*mine)
     for _ in range(12):
@@ -359,7 +360,10 @@ def find(texts: list[str], weights: np.ndarray, links: np.ndarray) -> list[tuple
         where.append(spans)
         bases.append(base)
     belief = graph.marginals(weights, links)[0] if graph.unary else np.zeros((0, len(KINDS) + 1))
-    label = np.where(belief.max(axis=1, initial=0) >= SURE, belief.argmax(axis=1) if len(belief) else 0, 0)
+    least = np.full(len(belief), ALONE)
+    for hub, of in graph.hubs:
+        least[[hub, *of]] = SURE
+    label = np.where(belief.max(axis=1, initial=0) >= least, belief.argmax(axis=1) if len(belief) else 0, 0)
     for hub, of in graph.hubs:  # a value is one kind everywhere: its hub's if that is sure, else that of its surest token
         if kind := label[hub] or label[max(of, key=lambda i: belief[i, 1:].max())]:
             label[of] = kind

@@ -20,6 +20,12 @@ def test_one_cue_reaches_every_repeat(value, repeats):
     assert found([*CLEAN, text, "card 4821 9934 1023 7765"], value)[2] == ["phone"] * (repeats + 1)
 
 
+@pytest.mark.parametrize("repeats", [0, 1, 5, 30])
+def test_bare_digits_after_a_cue(repeats):
+    assert found(["word phone: 5551234567 then " + (FILLER + "5551234567 ") * repeats], "5551234567") == [["phone"] * (repeats + 1)]
+    assert found(["they ordered 5551234567 of these " + (FILLER + "5551234567 ") * repeats], "5551234567") == [[]]
+
+
 def test_repeats_alone_are_no_evidence():
     assert found([(FILLER + "2125550199 ") * 50], "2125550199") == [[]]
 
