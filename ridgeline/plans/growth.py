@@ -163,10 +163,10 @@ def j26(spark, sf):
 OFFSETS = (3, 6, 12, 36, 60)
 
 
-@query("j33_trades_vs_base", f"with o as (select unnest([3, 6, 12, 36, 60]) as back), d as (select complex_id, type_id, order_id, line_no, month, amount, back, strftime(strptime(month || '01', '%Y%m%d') - to_months(cast(back as int)), '%Y%m') as base_month from deals, o where month between '200001' and '200002') select d.complex_id, d.type_id, order_id, line_no, amount, cast(back as int) as back, base_month, m.month as found_month, m.price as base_price, round(amount / m.price - 1, 6) as change from d asof left join monthly m on d.complex_id = m.complex_id and d.type_id = m.type_id and d.base_month >= m.month")
+@query("j33_trades_vs_base", f"with o as (select unnest([3, 6, 12, 36, 60]) as back), d as (select complex_id, type_id, order_id, line_no, month, amount, back, strftime(strptime(month || '01', '%Y%m%d') - to_months(cast(back as int)), '%Y%m') as base_month from deals, o) select d.complex_id, d.type_id, order_id, line_no, amount, cast(back as int) as back, base_month, m.month as found_month, m.price as base_price, round(amount / m.price - 1, 6) as change from d asof left join monthly m on d.complex_id = m.complex_id and d.type_id = m.type_id and d.base_month >= m.month")
 def j33(spark, sf):
     deals = b.deals(spark, sf)
-    rows = deals.where(F.col("month").between("200001", "200002")).select(*prices.TYPE, "order_id", "line_no", "month", "amount", F.explode(F.array(*map(F.lit, OFFSETS))).alias("back"))
+    rows = deals.select(*prices.TYPE, "order_id", "line_no", "month", "amount", F.explode(F.array(*map(F.lit, OFFSETS))).alias("back"))
     rows = rows.withColumn("base_month", months.add(F.col("month"), -F.col("back"))).drop("month")
     found = prices.asof_many(rows, prices.monthly(deals), prices.TYPE, "base_month", ["price"])
     return found.select(*prices.TYPE, "order_id", "line_no", "amount", "back", "base_month", F.col("found.month").alias("found_month"), F.col("found.price").alias("base_price"), F.round(numbers.growth(F.col("found.price"), F.col("amount")), 6).alias("change"))
