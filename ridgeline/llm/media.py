@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.llm import webp
 from ridgeline.llm.common import narrow
+from ridgeline.llm.webp_encode import encode
 
 ROWS = 128  # images held at once when encoding
 UNIT = 192  # bytes of payload, 64 pixels of 3 samples: a row of an image
@@ -27,7 +28,7 @@ def payload(text: str) -> tuple[bytes, int]:
 def store(data: bytes) -> bytes:
     """Lossless WebP files one after another, each of at most 16384 rows of 64 pixels."""
     pixels = np.frombuffer(data, np.uint8).reshape(-1, 64, 3)
-    return b"".join(webp.encode(pixels[at : at + webp.SIDE]) for at in range(0, len(pixels), webp.SIDE))
+    return b"".join(encode(pixels[at : at + webp.SIDE]) for at in range(0, len(pixels), webp.SIDE))
 
 
 def load(media: bytes) -> np.ndarray:
@@ -44,7 +45,11 @@ def features(pixels: np.ndarray) -> str:
     flat = pixels.reshape(-1, 3).astype(np.float64)
     mean, deviation = np.rint(flat.mean(0) * 1000).astype(int), np.rint(flat.std(0) * 1000).astype(int)
     light = flat.sum(1)
-    cells = np.array([c.mean() for c in np.array_split(light, 16)]) if len(light) >= 16 else np.resize(light, 16)
+    if len(light) >= 16:
+        sizes = np.full(16, len(light) // 16) + (np.arange(16) < len(light) % 16)
+        cells = np.add.reduceat(light, np.cumsum(sizes) - sizes) / sizes
+    else:
+        cells = np.resize(light, 16)
     mask = int(sum(1 << i for i in np.nonzero(cells > cells.mean())[0]))
     return f"h{len(pixels)};m{','.join(map(str, mean))};s{','.join(map(str, deviation))};a{mask:04x}"
 

@@ -1,14 +1,15 @@
-"""Lossless WebP: a decoder for the whole format and a small encoder. Helpers without Spark.
+"""Lossless WebP: a decoder for the whole format. Helpers without Spark.
 
 The decoder reads prefix codes, back-references, the colour cache and entropy images, then inverts the predictor,
-cross-colour, subtract-green and palette transforms. Where every prefix code of an image has one length, pixels lie
-at a fixed stride of bits, and they are read as arrays; any other stream is read symbol by symbol. The encoder
-writes such fixed-length codes over the values that occur.
+cross-colour, subtract-green and palette transforms. Codes are tables, looked up as arrays at every bit of a stretch of
+the stream; what is left to do one by one is to step from pixel to pixel and to copy. Images with several groups of
+codes are read symbol by symbol.
 """
 
 from __future__ import annotations
 
 import struct
+from functools import cache as memo
 
 import numpy as np
 
@@ -23,7 +24,10 @@ NEAR = (
     (4, 6), (-4, 6), (6, 4), (-6, 4), (2, 7), (-2, 7), (7, 2), (-7, 2), (3, 7), (-3, 7), (7, 3), (-7, 3), (5, 6), (-5, 6), (6, 5), (-6, 5), (8, 0), (4, 7), (-4, 7), (7, 4),
     (-7, 4), (8, 1), (8, 2), (6, 6), (-6, 6), (8, 3), (5, 7), (-5, 7), (7, 5), (-7, 5), (8, 4), (6, 7), (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7),
 )
+REPEATS = {16: (3, 2), 17: (3, 3), 18: (11, 7)}  # least repeats and extra bits
 CACHE_FACTOR = 0x1E35A7BD
+STRETCH = 1 << 18  # bits of a stream that are looked up at a time
+LITERAL = 4 * 15  # bits of the longest literal
 
 
 class WebPError(ValueError):
@@ -45,37 +49,38 @@ class Bits:
         return out
 
 
+@memo
+def turned(wide: int) -> np.ndarray:
+    """All numbers of `wide` bits with their bits in the other order."""
+    k = np.arange(1 << wide)
+    return sum(((k >> i & 1) << (wide - 1 - i) for i in range(wide)), np.zeros(1 << wide, np.int64))
+
+
 class Code:
-    """A canonical prefix code. fixed: the length that all its symbols share, or None."""
+    """A canonical prefix code: for each value of the next `wide` bits the symbol, and the length of its code."""
 
     def __init__(self, lengths: dict[int, int]) -> None:
-        self.fixed = None
         if not lengths:
             raise WebPError("a prefix code without symbols")
         if len(lengths) == 1:
-            self.fixed, self.symbols = 0, np.array([*lengths])
+            self.wide, self.symbols, self.lengths = 0, np.array([*lengths], np.int32), np.zeros(1, np.int32)
             return
-        if sum(1 << (15 - n) for n in lengths.values()) != 1 << 15:
+        symbols, n = np.fromiter(lengths.keys(), np.int32, len(lengths)), np.fromiter(lengths.values(), np.int32, len(lengths))
+        if int((1 << (15 - n)).sum()) != 1 << 15:
             raise WebPError("a prefix code that isn't complete")
-        self.table, code, last = {}, 0, 0
-        for symbol, n in sorted(lengths.items(), key=lambda x: (x[1], x[0])):
-            code <<= n - last
-            self.table[n, int(f"{code:0{n}b}"[::-1], 2)] = symbol
-            code, last = code + 1, n
-        if len({*lengths.values()}) == 1:
-            self.fixed = last
-            self.symbols = np.array([self.table[last, i] for i in range(1 << last)])
+        order = np.lexsort((symbols, n))
+        symbols, n = symbols[order], n[order]
+        self.wide = int(n[-1])
+        times, places = 1 << (self.wide - n), turned(self.wide)
+        self.symbols, self.lengths = np.repeat(symbols, times)[places], np.repeat(n, times)[places]
 
     def read(self, bits: Bits) -> int:
-        if self.fixed is not None:
-            return int(self.symbols[bits.read(self.fixed)])
-        value = n = 0
-        while n < 15:
-            value |= bits.read(1) << n
-            n += 1
-            if (n, value) in self.table:
-                return self.table[n, value]
-        raise WebPError("no such prefix code")
+        byte = bits.at >> 3
+        value = int.from_bytes(bits.data[byte : byte + 3], "little") >> (bits.at & 7) & ((1 << self.wide) - 1)
+        bits.at += int(self.lengths[value])
+        if bits.at > bits.end:
+            raise WebPError("the stream ends early")
+        return int(self.symbols[value])
 
 
 def _read_code(bits: Bits, alphabet: int) -> Code:
@@ -90,48 +95,156 @@ def _read_code(bits: Bits, alphabet: int) -> Code:
     left = alphabet
     if bits.read(1):
         left = 2 + bits.read(2 + 2 * bits.read(3))
+    symbols, sizes, mask = of_lengths.symbols.tolist(), of_lengths.lengths.tolist(), (1 << of_lengths.wide) - 1
     out: dict[int, int] = {}
-    at, previous = 0, 8
+    data, place, at, previous = bits.data, bits.at, 0, 8
     while at < alphabet and left:
         left -= 1
-        n = of_lengths.read(bits)
+        byte = place >> 3
+        word = int.from_bytes(data[byte : byte + 4], "little") >> (place & 7)
+        n, size = symbols[word & mask], sizes[word & mask]
+        place += size
         if n < 16:
             if n:
                 out[at] = previous = n
             at += 1
             continue
-        repeat = {16: (3, 2), 17: (3, 3), 18: (11, 7)}[n]
-        count = repeat[0] + bits.read(repeat[1])
+        least, extra = REPEATS[n]
+        count = least + (word >> size & ((1 << extra) - 1))
+        place += extra
         if at + count > alphabet:
             raise WebPError("code lengths beyond the alphabet")
         if n == 16:
             out.update(dict.fromkeys(range(at, at + count), previous))
         at += count
+    if place > bits.end:
+        raise WebPError("the stream ends early")
+    bits.at = place
     return Code(out)
 
 
-def _prefixed(bits: Bits, symbol: int) -> int:
+def _prefixed(word: int, symbol: int) -> tuple[int, int]:
+    """A length or distance code whose extra bits are the lowest of word, and how many these are."""
     if symbol < 4:
-        return symbol + 1
+        return symbol + 1, 0
     extra = (symbol - 2) >> 1
-    return ((2 + (symbol & 1)) << extra) + bits.read(extra) + 1
+    return ((2 + (symbol & 1)) << extra) + (word & ((1 << extra) - 1)) + 1, extra
+
+
+def _read_prefixed(bits: Bits, symbol: int) -> int:
+    value, extra = _prefixed(0, symbol)
+    return value + bits.read(extra)
+
+
+class Stretch:
+    """Literals and places of the cache that start at any bit of a stretch of a stream: where each ends, and its colour."""
+
+    def __init__(self, bits: Bits, codes: list[Code]) -> None:
+        first = bits.at >> 3
+        self.base, self.size = first << 3, min(STRETCH, bits.end - (first << 3))
+        raw = np.frombuffer(bits.data[first : first + (self.size + LITERAL >> 3) + 4] + b"\0" * 16, np.uint8).astype(np.int32)
+        window = ((raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16)[:, None] >> np.arange(8, dtype=np.int32)).ravel()[: self.size + LITERAL + 8]
+        at = np.arange(self.size, dtype=np.int32)
+        self.places = []
+        for i, code in enumerate(codes):
+            value = window & ((1 << code.wide) - 1)
+            if i == 0:
+                self.green = code.symbols[value[: self.size]]
+            self.places.append((at, code.symbols, value))
+            if code.wide:
+                at = at + code.lengths[value[at]]
+        self.next = np.full(self.size + LITERAL + 8, -1, np.int32)  # -1: a back-reference, or beyond the stretch
+        own = self.places[1][0]  # where the green code ends
+        self.next[: self.size] = np.where(self.green < 256, at, np.where(self.green < 280, -1, own))
+
+    def colours(self, starts: list[int]) -> np.ndarray:
+        """Alpha, red, green, blue of the literals at these places, as one number each."""
+        places, out = np.array(starts, np.int64), np.zeros(len(starts), np.uint32)
+        for (at, symbols, value), shift in zip(self.places, (8, 16, 0, 24), strict=True):
+            found = symbols[value[at[places]]] if len(symbols) > 1 else symbols
+            out |= found.astype(np.uint32) << np.uint32(shift)
+        return out
 
 
-def _strided(bits: Bits, codes: list[Code], n: int) -> np.ndarray:
-    """n pixels of literals whose codes have fixed lengths."""
-    stride = sum(c.fixed for c in codes)
-    if bits.at + n * stride > bits.end:
+def _grouped(bits: Bits, codes: list[Code], n: int, width: int, cache_bits: int) -> list[int]:
+    """n pixels, as alpha, red, green, blue, of an image with one group of codes.
+
+    First the places of all symbols are found, then the colours of literals are looked up at once, then copies are made
+    in order.
+    """
+    parts, hits, events, at, literals = [], [], [], 0, 0  # an event: pixels before it other than copies, length, distance
+    far, far_sizes, far_mask = codes[4].symbols.tolist(), codes[4].lengths.tolist(), (1 << codes[4].wide) - 1
+    while at < n:
+        stretch = Stretch(bits, codes[:4])
+        here, starts, steps = bits.at - stretch.base, [], memoryview(stretch.next)
+        left, size, add = n - at, stretch.size, starts.append
+        if here >= size:
+            raise WebPError("the stream ends early")
+        while True:
+            known = len(starts)
+            for _ in range(left):
+                if (after := steps[here]) < 0:
+                    break
+                add(here)
+                here = after
+            left -= len(starts) - known
+            if not left or here >= size:
+                break
+            symbol = int(stretch.green[here]) - 256
+            here = int(stretch.places[1][0][here])
+            byte = stretch.base + here >> 3
+            word = int.from_bytes(bits.data[byte : byte + 8], "little") >> (here & 7)  # at least 57 bits, more than all take
+            length, used = _prefixed(word, symbol)
+            value = word >> used & far_mask
+            used += far_sizes[value]
+            code, more = _prefixed(word >> used, far[value])
+            here += used + more
+            distance = code - 120 if code > 120 else max(1, NEAR[code - 1][0] + NEAR[code - 1][1] * width)
+            if distance > n - left or length > left:
+                raise WebPError("a back-reference outside the image")
+            events.append((literals + len(starts), length, distance))
+            left -= length
+        bits.at, at = stretch.base + here, n - left
+        parts.append(stretch.colours(starts))
+        if cache_bits:
+            green = stretch.green[starts]
+            of = np.nonzero(green >= 280)[0]
+            hits += zip((literals + of).tolist(), (green[of] - 280).tolist(), strict=True)
+        literals += len(starts)
+    if bits.at > bits.end:
         raise WebPError("the stream ends early")
-    first, last = bits.at >> 3, (bits.at + n * stride + 7) >> 3
-    raw = np.frombuffer(bits.data[first:last] + b"\0\0\0", np.uint8).astype(np.uint32)
-    out, off = np.zeros((n, 4), np.uint8), (bits.at & 7) + np.arange(n) * stride
-    for code, channel in zip(codes, (1, 0, 2, 3), strict=True):  # green, red, blue, alpha
-        at = off >> 3
-        value = (raw[at] | raw[at + 1] << 8 | raw[at + 2] << 16) >> (off & 7).astype(np.uint32) & ((1 << code.fixed) - 1)
-        out[:, channel] = code.symbols[value]
-        off = off + code.fixed
-    bits.at += n * stride
-    return out
+    found = np.concatenate(parts)
+    if not events and not hits:
+        return found
+    slots = ((found * np.uint32(CACHE_FACTOR)) >> np.uint32(32 - cache_bits)).tolist() if hits else []
+    found, out, done = found.tolist(), [], 0
+    if not hits:
+        for before, length, distance in events:
+            out += found[done:before]
+            out += _copied(out, length, distance)
+            done = before
+        return out + found[done:]
+    cache, placed, cached = dict.fromkeys(range(1 << cache_bits), 0), [], 0  # placed: the slots of out
+    for before, length, what in sorted([*events, *((i, 0, slot) for i, slot in hits)], key=lambda e: (e[0], e[1] == 0)):
+        out += found[done:before]
+        placed += slots[done:before]
+        done = before
+        if length:
+            out += _copied(out, length, what)
+            placed += _copied(placed, length, what)
+        else:
+            cache.update(zip(placed[cached:], out[cached:], strict=True))
+            cached = len(out)
+            out.append(cache[what])
+            placed.append((CACHE_FACTOR * out[-1] & 0xFFFFFFFF) >> (32 - cache_bits))
+            done += 1
+    return out + found[done:]
+
+
+def _copied(of: list[int], length: int, distance: int) -> list[int]:
+    """What a back-reference repeats; it may reach into itself."""
+    run = of[len(of) - distance : len(of) - distance + length]
+    return (run * -(-length // distance))[:length] if len(run) < length else run
 
 
 def _image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
@@ -149,18 +262,18 @@ def _image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         groups = int(groups_of.max()) + 1
     codes = [[_read_code(bits, n) for n in (280 + len(cache), 256, 256, 256, 40)] for _ in range(groups)]
     n = width * height
-    if groups_of is None and not cache and all(c.fixed is not None for c in codes[0][:4]) and codes[0][0].symbols.max() < 256:
-        return _strided(bits, codes[0][:4], n)
+    if groups_of is None:
+        return _bytes_of(_grouped(bits, codes[0], n, width, cache_bits))
     out, at = [0] * n, 0  # as alpha, red, green, blue
     while at < n:
-        group = codes[0] if groups_of is None else codes[groups_of[(at // width >> block) * across + (at % width >> block)]]
+        group = codes[groups_of[(at // width >> block) * across + (at % width >> block)]]
         symbol = group[0].read(bits)
         if symbol < 256:
             red, blue, alpha = (group[i].read(bits) for i in (1, 2, 3))
             run = [alpha << 24 | red << 16 | symbol << 8 | blue]
         elif symbol < 280:
-            length = _prefixed(bits, symbol - 256)
-            code = _prefixed(bits, group[4].read(bits))
+            length = _read_prefixed(bits, symbol - 256)
+            code = _read_prefixed(bits, group[4].read(bits))
             distance = code - 120 if code > 120 else max(1, NEAR[code - 1][0] + NEAR[code - 1][1] * width)
             if distance > at or at + length > n:
                 raise WebPError("a back-reference outside the image")
@@ -173,7 +286,11 @@ def _image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         if cache:
             for colour in run:
                 cache[(CACHE_FACTOR * colour & 0xFFFFFFFF) >> (32 - cache_bits)] = colour
-    return np.array(out, np.uint32).view(np.uint8).reshape(n, 4)[:, [2, 1, 0, 3]]
+    return _bytes_of(out)
+
+
+def _bytes_of(argb: list[int] | np.ndarray) -> np.ndarray:
+    return np.asarray(argb, np.uint32).view(np.uint8).reshape(-1, 4)[:, [2, 1, 0, 3]]
 
 
 def _mean(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -213,6 +330,16 @@ def predictions(pixels: np.ndarray, width: int, x: int, y: int, mode: int) -> np
 
 
 def _unpredict(rest: np.ndarray, width: int, height: int, block: int, modes: np.ndarray) -> np.ndarray:
+    used = {*(modes[:, 1] & 15).tolist()}
+    if used in ({1}, {2}):  # sums along rows or columns
+        out = rest.reshape(height, width, 4).copy()
+        out[0, 0] += np.array([0, 0, 0, 255], np.uint8)
+        out[0] = np.cumsum(out[0], axis=0, dtype=np.uint8)
+        if used == {2}:
+            return np.cumsum(out, axis=0, dtype=np.uint8).reshape(-1, 4)
+        out[:, 0] = np.cumsum(out[:, 0], axis=0, dtype=np.uint8)
+        out[1:] = np.cumsum(out[1:], axis=1, dtype=np.uint8)
+        return out.reshape(-1, 4)
     out, across = rest.astype(int), (width + (1 << block) - 1) >> block
     for y in range(height):
         for x in range(width):
@@ -295,48 +422,3 @@ def put_simple(out: list[int], *symbols: int) -> None:
     put(out, 1 | (len(symbols) - 1) << 1 | 1 << 2, 3)
     for s in symbols:
         put(out, s, 8)
-
-
-def _put_fixed(out: list[int], values: np.ndarray) -> tuple[np.ndarray, int]:
-    """Writes a code of one length over the values that occur (and as many more as fill it up); codes by value, length."""
-    used = np.zeros(256, bool)
-    used[values] = True
-    n = int(used.sum())
-    length = (n - 1).bit_length()
-    used[np.nonzero(~used)[0][: (1 << length) - n]] = True
-    symbols = np.nonzero(used)[0]
-    if length <= 1:
-        put_simple(out, *map(int, symbols))
-    else:
-        last = int(symbols[-1]) + 1
-        put(out, 0, 1)
-        put(out, 8, 4)  # 12 code length codes, up to that of length 8
-        for s in LENGTH_ORDER[:12]:
-            put(out, int(s == length or (s == 0 and last > len(symbols))), 3)
-        put(out, 1 | 3 << 1, 4)
-        put(out, last - 2, 8)
-        if last > len(symbols):
-            out.extend(map(int, used[:last]))  # 0 has the code 0, the length the code 1
-    codes = np.zeros(256, np.uint32)
-    k = np.arange(len(symbols), dtype=np.uint32)
-    codes[symbols] = sum(((k >> i & 1) << (length - 1 - i) for i in range(length)), np.zeros(len(symbols), np.uint32))
-    return codes, length
-
-
-def encode(rgb: np.ndarray) -> bytes:
-    """A lossless WebP file of rgb (height, width, 3) uint8."""
-    height, width, _ = rgb.shape
-    flat = rgb.reshape(-1, 3)
-    head: list[int] = []
-    put(head, 0x2F, 8)
-    put(head, width - 1 | (height - 1) << 14, 32)  # no alpha, version 0
-    put(head, 0, 3)  # no transform, no colour cache, no entropy image
-    word, stride = np.zeros(len(flat), np.uint32), 0
-    for channel in (1, 0, 2):
-        codes, length = _put_fixed(head, flat[:, channel])
-        word |= codes[flat[:, channel]] << np.uint32(stride)
-        stride += length
-    put_simple(head, 255)
-    put_simple(head, 0)
-    body = np.unpackbits(word.view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :stride].ravel()
-    return container(np.packbits(np.concatenate([np.array(head, np.uint8), body]), bitorder="little").tobytes())
