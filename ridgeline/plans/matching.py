@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions import geo, months, numbers, text
-from ridgeline.operators import entity, ranks
+from ridgeline.operators import entity, grid, ranks
 from ridgeline.plans.registry import more, query
 from ridgeline.sources import bindings as b
 
@@ -86,6 +86,15 @@ def j18(spark, sf):
     return entity.near_pairs(b.complexes(spark, sf), ["sigungu_key"], 3000)
 
 
+@query("j18_grid_components", "e as (select a.complex_id as a, b.complex_id as b from complexes a join complexes b on a.sigungu_key = b.sigungu_key and a.complex_id <> b.complex_id where 2 * 6371000 * asin(least(1.0, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2)))) <= 800), r as (select complex_id as node, complex_id as reach from complexes union select r.node, e.b from r join e on r.reach = e.a) select node as complex_id, min(reach) as root, cast(count(*) as bigint) as size from r group by 1".replace("e as", "with e as", 1))
+def j18_components(spark, sf):
+    """Groups of complexes of one district, each within 800 m of another: by links of cells, not by all pairs."""
+    c = b.complexes(spark, sf)
+    roots = entity.components(grid.near_links(c, ["sigungu_key"], 800, "complex_id"))
+    whole = c.select("complex_id").join(roots.withColumnRenamed("node", "complex_id"), "complex_id", "left").withColumn("root", F.coalesce("root", "complex_id"))
+    return whole.join(whole.groupBy("root").agg(F.count("*").alias("size")), "root").select("complex_id", "root", "size")
+
+
 @query("j19_same_address", "select min(p_partkey) over (partition by p_name, p_brand, p_size) as a, p_partkey as b from part qualify a < b", base=False)
 def j19(spark, sf):
     return entity.group_edges(b.table(spark, sf, "part"), [F.col("p_name"), F.col("p_brand"), F.col("p_size")], "p_partkey")
@@ -101,7 +110,7 @@ def a23(spark, sf):
     """Groups of one address or within 35 m in a neighbourhood. The survivor was traded last, or built last; another one
     is hidden if its last trade is two years older, or one year older and it was built ten years before."""
     a = b.apartments(spark, sf).where("lat is not null").withColumn("dong_key", F.when(F.col("legal_code") != "", F.left("legal_code", F.lit(8))).otherwise(F.concat(F.lit("region "), F.col("region").cast("string"))))
-    near = entity.near_pairs(a, ["dong_key"], 35, "apt_id").unionByName(entity.group_edges(a, [F.col("dong_key"), text.squeezed(F.col("address"))], "apt_id"))
+    near = grid.near_links(a, ["dong_key"], 35, "apt_id").unionByName(entity.group_edges(a, [F.col("dong_key"), text.squeezed(F.col("address"))], "apt_id"))
     roots = entity.components(near).withColumnRenamed("node", "apt_id")
     d = b.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("apt_id")).agg(F.max(months.of(F.col("o_orderdate"))).alias("last_month"), F.count("*").alias("n"))
     rows = roots.join(a.select("apt_id", "name", (F.lit(1960) + F.col("apt_id") * 7 % 50).cast("int").alias("built")), "apt_id").join(d, "apt_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions import geo, places, text
-from ridgeline.operators import entity, ranks
+from ridgeline.operators import entity, matching, matching, ranks
 from ridgeline.plans.growth import bound_items
 from ridgeline.plans.registry import more, query
 from ridgeline.sources import bindings as b
@@ -158,12 +160,14 @@ WANTED = "wanted as (select s_suppkey as complex_id, cast(s_nationkey as int) as
 CANDIDATES = f"{WANTED}, both_ as (select w.complex_id, a.apt_id, a.name, a.households, w.jibun <> '' and contains(regexp_replace(a.address, '\\s+', '', 'g'), w.dong || w.jibun) as jibun_same, regexp_replace(lower(a.name), '[^0-9a-z가-힣]', '', 'g') as akey, w.key from wanted w join apts a on a.region = w.region and a.dong = w.dong and a.lat is not null), sim as (select *, akey = key as exact, len(list_intersect({SIMILAR.format(x='akey')}, {SIMILAR.format(x='key')})) / len(list_distinct(list_concat({SIMILAR.format(x='akey')}, {SIMILAR.format(x='key')}))) as sim from both_), scored as (select *, case when jibun_same and exact then 'jibun_exact_name' when jibun_same then 'jibun_similarity' when exact then 'exact_name' else 'name_similarity' end as method, case when jibun_same and exact then 1.0 when jibun_same then 0.92 + least(sim, 1) * 0.05 when exact then 0.88 else sim end as score from sim where (jibun_same and sim >= 0.45) or exact or sim >= 0.74), best as (select complex_id, apt_id, method, round(score, 4) as score from scored qualify row_number() over (partition by complex_id order by round(score, 9) desc, jibun_same desc, exact desc, households desc, name) = 1)"
 
 
-def scored_matches(complexes: DataFrame, apartments: DataFrame) -> DataFrame:
-    """Candidates of one region and neighbourhood with their evidence: the same number in the address, the same name key,
-    and the similarity of name keys; those strong enough, with method and score."""
-    a = apartments.where("lat is not null").select("region", "dong", "apt_id", "name", "households", text.squeezed(F.col("address")).alias("address"), text.name_key(F.col("name")).alias("akey"))
-    both = complexes.join(a, ["region", "dong"])
-    jibun = (F.col("jibun") != "") & F.contains("address", places.address_key(F.col("dong"), F.col("jibun")))
+def scored_matches(complexes: DataFrame, apartments: DataFrame, scope: Sequence[str] = ("region", "dong")) -> DataFrame:
+    """Candidates of one scope with their evidence: the same number in the address, the same name key, and the similarity
+    of name keys; those strong enough, with method and score."""
+    a = apartments.where("lat is not null").select(*scope, "apt_id", "name", "households", text.squeezed(F.col("address")).alias("address"), text.name_key(F.col("name")).alias("akey"), F.col("dong").alias("adong"))
+    c = complexes.withColumn("address_key", F.when(F.col("jibun") != "", places.address_key(F.col("dong"), F.col("jibun"))).otherwise(""))
+    pairs = matching.candidates(c, a, scope, 0.74)
+    both = pairs.join(c, "complex_id").join(a.drop(*scope).dropDuplicates(["apt_id"]), "apt_id")
+    jibun = (F.col("address_key") != "") & F.contains("address", F.col("address_key"))
     both = both.withColumns({"same": jibun, "exact": F.col("akey") == F.col("key"), "sim": text.similarity(F.col("akey"), F.col("key"))})
     same, exact, sim = F.col("same"), F.col("exact"), F.col("sim")
     method = F.when(same & exact, "jibun_exact_name").when(same, "jibun_similarity").when(exact, "exact_name").otherwise("name_similarity")
@@ -200,7 +204,38 @@ def j6(spark, sf):
     """Equal region, and the address holds the complex's address key."""
     a = b.apartments(spark, sf).select("region", "apt_id", text.squeezed(F.col("address")).alias("held"))
     w = wanted(spark, sf).where("dong <> ''").select("complex_id", "region", places.address_key(F.col("dong"), F.col("jibun")).alias("key"))
-    return w.join(a, "region").where(F.contains("held", F.col("key"))).select("complex_id", "apt_id")
+    return matching.contained_pairs(w, a, ["region"], "complex_id", "key", "apt_id", "held").select("complex_id", "apt_id")
+
+
+CODED = "coded as (select w.*, ['11', '26', '41', '45', '50', '99'][complex_id % 6 + 1] || case when complex_id % 5 = 0 then '' else lpad(cast(region as varchar), 3, '0') end as lawd from wanted w)"
+CODED_PAIRS = f"{CANDIDATES.split(', both_ as')[0]}, {CODED}, both_ as (select w.complex_id, a.apt_id, a.name, a.households, w.jibun <> '' and contains(regexp_replace(a.address, '\\s+', '', 'g'), w.dong || w.jibun) as jibun_same, regexp_replace(lower(a.name), '[^0-9a-z가-힣]', '', 'g') as akey, w.key from coded w join apts a on starts_with(a.legal_code, w.lawd) and (a.dong = w.dong or contains(a.address, w.dong)) and a.lat is not null), sim as{CANDIDATES.split(', sim as', 1)[1]}"
+
+
+def coded(spark, sf) -> DataFrame:
+    """Complexes with the head of a legal code: of a district, or of a province alone."""
+    k = F.col("complex_id")
+    head = F.get(F.array(*map(F.lit, b.CODES)), (k % 6).cast("int"))
+    return wanted(spark, sf).withColumn("lawd", F.concat(head, F.when(k % 5 == 0, "").otherwise(F.lpad(F.col("region").cast("string"), 3, "0"))))
+
+
+def coded_matches(complexes: DataFrame, apartments: DataFrame) -> DataFrame:
+    """Evidence between a complex and the apartments whose legal code begins with its code and whose neighbourhood is its
+    own or stands in their address; a complex without a neighbourhood takes all of the code.
+
+    Apartments are indexed under each length of code that complexes have, so heads of any length are equal keys.
+    """
+    lengths = [r[0] for r in complexes.select(F.length("lawd")).distinct().collect()]  # ten digits: ten lengths at most
+    heads = F.array_distinct(F.transform(F.array(*map(F.lit, sorted(lengths))), lambda n: F.left("legal_code", n))) if lengths else F.array().cast("array<string>")
+    a = apartments.withColumn("lawd", F.explode(heads)).where("length(lawd) > 0")
+    found = scored_matches(complexes, a.withColumn("spaced", F.col("address")), ["lawd"])
+    where = apartments.select("apt_id", F.col("address").alias("spaced"))
+    return found.join(where, "apt_id").where((F.col("adong") == F.col("dong")) | F.contains("spaced", F.col("dong")))
+
+
+@query("j5_code_candidates", more("apts", f"with {CODED_PAIRS} select complex_id, apt_id, method, round(score, 4) as score from scored"), base=False)
+def j5_codes(spark, sf):
+    found = coded_matches(coded(spark, sf), b.apartments(spark, sf))
+    return found.select("complex_id", "apt_id", "method", F.round("score", 4).alias("score"))
 
 
 @query("j30_delete_using", "select p_partkey, p_brand from part where p_brand not in (select 'Brand#' || n_nationkey from nation where n_regionkey = 1)", base=False)
