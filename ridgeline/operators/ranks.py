@@ -71,3 +71,18 @@ def page(df: DataFrame, by: Sequence[Column], page: int, size: int) -> DataFrame
     start = (page - 1) * size
     rows = df.orderBy(*by).limit(start + size)
     return rows.withColumn("rank", F.row_number().over(Window.orderBy(*by)).cast("int")).where(F.col("rank") > start)
+
+
+def group_rank(df: DataFrame, keys: Sequence[str], by: Sequence[Column], out: str) -> DataFrame:
+    """df with its 1-based rank in each group, however large a group is: sorted by group and order in ranges; a group's
+    rows in earlier ranges are counted by one row for each group and range. Null keys are a group."""
+    from ridgeline.operators.entity import shared_table
+
+    placed = shared_table(df.orderBy(*keys, *by).withColumn("_at", F.monotonically_increasing_id()), "ranked").withColumn("_part", F.shiftright("_at", 33))
+    counts = placed.groupBy("_part", *keys).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col("_part").alias("_p"), *(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    same = F.col("_part") == F.col("_p")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return placed.join(starts, same).withColumn(out, (F.col("_at") - F.col("_first") + F.col("_start") + 1).cast("int")).select(*df.columns, out)

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions import months, numbers
-from ridgeline.operators import entity, prices, ranks, snapshots
-from ridgeline.plans.growth import END, REP, START, bound_items, bound_monthly, ends, representatives
+from ridgeline.operators import bands, entity, prices, ranks, snapshots
+from ridgeline.plans.growth import END, REP, START, TODAY, bound_items, bound_monthly, ends, representatives
 from ridgeline.plans.registry import more, query
 from ridgeline.sources import bindings as b
 from ridgeline.sources import trades
@@ -456,3 +456,57 @@ def with_marks(events: DataFrame, marks: DataFrame) -> DataFrame:
     """Events whose visitor is marked are internal, whatever they were stored as."""
     m = marks.select("visitor_id", F.lit(True).alias("_marked"))
     return events.join(m, "visitor_id", "left").withColumn("internal", F.coalesce("_marked", F.lit(False)) | F.coalesce("internal", F.lit(False))).drop("_marked")
+
+
+# All snapshots in one job
+
+ALL_BANDS = f"""with per as (select * from (values (3, '200003', 1, 1), (6, '199912', 2, 2), (12, '199906', 3, 3), (36, '199706', 6, 3), (60, '199506', 12, 3)) t(period, start_month, gap_s, gap_e)),
+newest as (select complex_id, type_id, max(month) as month, round(avg(amount)) as price, round(avg(pyeong)) as pyeong from deals where deal_date between date '{TODAY}' - 30 and date '{TODAY}' group by 1, 2),
+at_end as (select complex_id, type_id, max(month) as month, arg_max(price, month) as price, arg_max(pyeong, month) as pyeong from monthly where month <= '{END}' group by 1, 2),
+at_start as (select complex_id, type_id, period, start_month, gap_s, gap_e, max(month) as month, arg_max(price, month) as start_price, arg_max(pyeong, month) as start_pyeong from monthly join per on month <= start_month group by 1, 2, 3, 4, 5, 6),
+lagging as (select s.*, coalesce(n.price, e.price) as end_price, coalesce(n.pyeong, e.pyeong) as end_pyeong, coalesce(n.month, e.month) as end_month, s.type_id * 40 - 15 as m2 from at_start s join at_end e using (complex_id, type_id) left join newest n using (complex_id, type_id)),
+fresh as (select *, m2 / 3.305785 as size from lagging where (cast(start_month[1:4] as int) - cast(month[1:4] as int)) * 12 + cast(start_month[5:6] as int) - cast(month[5:6] as int) between 0 and gap_s
+  and ({END[:4]} - cast(end_month[1:4] as int)) * 12 + {int(END[4:])} - cast(end_month[5:6] as int) between 0 and gap_e and start_price <> 0 and start_pyeong <> 0 and end_price <> 0 and end_pyeong <> 0),
+sized as (select *, unnest(['all', case when size <= 10 then 'under10' when size >= 60 then '60plus' else cast(cast(floor(size / 10) * 10 as int) as varchar) end]) as area_band, end_price - start_price as growth_amount, (end_price - start_price) / start_price as growth_rate from fresh),
+best as (select * from sized qualify row_number() over (partition by complex_id, period, area_band order by growth_rate desc, growth_amount desc, end_price desc, m2) = 1),
+kinds as (select * from (values ('start', 0), ('start', 100), ('end', 0), ('end', 100)) t(basis, min_households)),
+every as (select best.*, name, sido_key, sigungu_key, basis, min_households, case when basis = 'end' then end_price else start_price end as price from best join complexes using (complex_id), kinds where coalesce(households, 0) >= min_households),
+ranked as (select *, case when price / 10000 < 1 then 0 when price / 10000 < 10 then floor(price / 10000) else floor(price / 100000) * 10 end as band_key from every)"""
+
+
+def all_snapshots(spark, sf, root: str) -> str:
+    """Every snapshot of the deals as they stand at END, stored under root; types are of 25, 65, 105, 145 or 185 m2."""
+    deals = b.deals(spark, sf).withColumn("m2", F.col("type_id") * 40 - 15)
+    items = bands.rankings(bands.summaries(deals, END, TODAY), b.complexes(spark, sf).select("complex_id", "name", "households", "sido_key", "sigungu_key"))
+    return bands.save_all(spark, root, items, END, starts=[months.shift(END, -p) for p in bands.PERIODS])
+
+
+@query("a21_all_snapshots", f"{ALL_BANDS} select w.start_month, area_band, basis, cast(min_households as int) as min_households, case when count(complex_id) = 0 then 'skipped' else 'active' end as status, cast(count(distinct band_key) as bigint) as bands, cast(count(complex_id) as bigint) as items from (select start_month, basis, min_households, unnest(['all', 'under10', '10', '20', '30', '40', '50', '60plus']) as area_band from per, kinds) w left join ranked r using (start_month, area_band, basis, min_households) group by 1, 2, 3, 4")
+def a21_all(spark, sf):
+    """Periods x size bands x bases x household limits from one read of the deals: 160 snapshots active at once."""
+    root = f"{shared(spark)}/all-{uuid.uuid4().hex}"
+    all_snapshots(spark, sf, root)
+    return snapshots.headers(spark, root).select("start_month", "area_band", "basis", "min_households", "status", F.col("band_count").alias("bands"), F.col("item_count").alias("items"))
+
+
+@query("a21_ranked_items", f"{ALL_BANDS} select start_month, area_band, basis, cast(min_households as int) as min_households, cast(band_key as int) as band_key, complex_id, type_id, round(growth_rate, 6) as growth_rate, cast(row_number() over (partition by start_month, area_band, basis, min_households, band_key order by growth_rate desc, growth_amount desc, end_pyeong desc, name, complex_id) as int) as rank from ranked")
+def a21_items(spark, sf):
+    """What is stored of all snapshots, by the full order."""
+    path = all_snapshots(spark, sf, f"{shared(spark)}/items-{uuid.uuid4().hex}")
+    rows = spark.read.parquet(f"{path}/items")
+    return rows.select(F.col("start_month").cast("string").alias("start_month"), "area_band", "basis", "min_households", "band_key", "complex_id", "type_id", F.round("growth_rate", 6).alias("growth_rate"), "rank")
+
+
+@query("a21_stored_bands", f"{ALL_BANDS}, first as (select start_month, area_band, basis, min_households, band_key, name from ranked qualify row_number() over (partition by start_month, area_band, basis, min_households, band_key order by growth_rate desc, growth_amount desc, end_pyeong desc, name, complex_id) = 1) select start_month, area_band, basis, cast(min_households as int) as min_households, cast(band_key as int) as band_key, cast(count(*) as bigint) as complexes, cast(floor(avg(start_price) + 0.5) as int) as start_price, cast(floor(avg(end_price) + 0.5) as int) as end_price, round((avg(end_pyeong) - avg(start_pyeong)) / avg(start_pyeong), 6) as growth_rate, any_value(first.name) as top_name from ranked join first using (start_month, area_band, basis, min_households, band_key) group by 1, 2, 3, 4, 5")
+def a21_bands(spark, sf):
+    path = all_snapshots(spark, sf, f"{shared(spark)}/bands-{uuid.uuid4().hex}")
+    rows = spark.read.parquet(f"{path}/bands")
+    return rows.select(F.col("start_month").cast("string").alias("start_month"), "area_band", "basis", "min_households", "band_key", "complexes", "start_price", "end_price", F.round("growth_rate", 6).alias("growth_rate"), "top_name")
+
+
+@query("a21_contract", f"{ALL_BANDS}, asked as (select period, start_month, s from per, (values (null), (2)) t(s)) select cast(a.period as int) as months, cast(s as int) as sido, cast(count(complex_id) as bigint) as total, least(count(complex_id), 10) as rows, count(distinct case when s is null then sido_key else sigungu_key end) as options, concat_ws(',', case when count(complex_id) = 0 then 'empty_rows' end, case when count(complex_id) = 0 then 'empty_region_options' end) as issues from asked a left join (select * from ranked where area_band = 'all' and basis = 'start' and min_households = 100) r on r.start_month = a.start_month and (s is null or sido_key = s) group by 1, 2")
+def a21_contract(spark, sf):
+    """Each period's national page and a province's must come from an active snapshot and hold rows and options."""
+    root = f"{shared(spark)}/contract-{uuid.uuid4().hex}"
+    all_snapshots(spark, sf, root)
+    return bands.contract(spark, root, END, 2)
