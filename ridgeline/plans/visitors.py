@@ -35,6 +35,27 @@ def t1(spark, sf):
     return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started_at", "last_seen_at")})
 
 
+PATHS = "pathed as (select *, '/' || coalesce(cast(k as varchar), '') as path, event_name = 'purchase' as is_admin from ev), g as (select *, case when ts - lag(ts) over w <= interval 30 minute then 0 else 1 end as new from pathed window w as (partition by visitor_id order by ts, event_id)), s as (select *, sum(new) over (partition by visitor_id order by ts, event_id) as n from g)"
+
+
+@query("t2_session_state", f"with {PATHS} select visitor_id, min(ts) as started_at, max(ts) as last_seen_at, cast(count(*) as bigint) as events, cast(count(*) filter (event_name = 'view') as bigint) as views, arg_min(path, (ts, event_id)) as entry_path, arg_max(path, (ts, event_id)) as exit_path, bool_or(is_admin) as is_admin from s group by visitor_id, n")
+def t2(spark, sf):
+    """The batch form of the sessions that streaming/states.py keeps: entry and exit path, an admin flag that stays."""
+    from ridgeline.streaming.states import sessions_of
+
+    e = b.events(spark, sf).withColumns({"path": F.concat(F.lit("/"), F.coalesce(F.col("k").cast("string"), F.lit(""))), "is_admin": F.col("event_name") == "purchase"})
+    return sessions_of(e).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started_at", "last_seen_at")})
+
+
+@query("t3_visitor_state", f"with {PATHS} select visitor_id, min(ts) as first_seen_at, max(ts) as last_seen_at, cast(count(*) as bigint) as events, cast(count(*) filter (event_name = 'view') as bigint) as views, arg_max(event_name, (ts, event_id)) as last_event, arg_max(path, (ts, event_id)) as last_path, arg_max(is_admin, (ts, event_id)) as is_admin, bool_or(is_admin) as was_admin from pathed group by 1")
+def t3(spark, sf):
+    """The batch form of the visitors that streaming/states.py keeps, with their last values."""
+    from ridgeline.streaming.states import visitors_of
+
+    e = b.events(spark, sf).withColumns({"path": F.concat(F.lit("/"), F.coalesce(F.col("k").cast("string"), F.lit(""))), "is_admin": F.col("event_name") == "purchase"})
+    return visitors_of(e).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_seen_at", "last_seen_at")})
+
+
 def visitors(events: DataFrame) -> DataFrame:
     at = F.struct("ts", "event_id")
     return events.groupBy("visitor_id").agg(F.min("ts").alias("first_seen_at"), F.max("ts").alias("last_seen_at"), F.count("*").alias("events"), F.count_if(F.col("event_name") == "view").alias("views"), F.max_by("event_name", at).alias("last_event"), F.max_by("k", at).alias("last_k"), F.bool_or(F.col("event_name") == "purchase").alias("bought"))
@@ -87,8 +108,7 @@ def j23(spark, sf):
 
 @query("t6_throttle", "with recursive f as (select event_name, min(ts) as ts from ev where event_name in ('error', 'purchase') group by 1 union all select f.event_name, (select min(e.ts) from ev e where e.event_name = f.event_name and e.ts >= f.ts + interval 6 hour) from f where f.ts is not null) select event_name, ts from f where ts is not null".replace("with recursive", "with"))
 def t6(spark, sf):
-    """Alerts: per key the first, then each first one at least six hours after the last alert; state folds over the
-    key's times in order. Keys are alert kinds, times are cut to what one kind fires."""
+    """Alerts: per key the first, then each first one at least six hours after the last alert."""
     e = b.events(spark, sf).where(F.col("event_name").isin("error", "purchase"))
     from ridgeline.streaming.visitors import throttled
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ridgeline.operators.entity import shared_table
 from ridgeline.plans.visitors import GAP, sessions
 
 LATE = "1 day"  # watermark: later events no longer change a session
@@ -65,26 +67,56 @@ def throttle_stream(events: DataFrame, key: str, seconds: int) -> DataFrame:
     return events.select(key, "ts").groupBy(key).applyInPandasWithState(run, f"{key} string, ts timestamp", "last long", "append", GroupStateTimeout.NoTimeout)
 
 
-def throttled(events: DataFrame, key: str, seconds: int) -> DataFrame:
-    """The batch form: a key's times, sorted by Spark, stream past in order, and only the last alert is held.
+def throttled(events: DataFrame, key: str, seconds: int, gaps: int = 16) -> DataFrame:
+    """The batch form of the throttle: per key the first event, then each first one at least `seconds` after the last that
+    passed. Times are cut into blocks of `gaps` times the wait, so no task holds a key.
 
-    A key is one sorted stream, so keys are kinds of alert; its rows spill, they are never held together.
+    What passes in a block depends on the event by which the chain enters it: one of those in the block's first wait, or
+    the first after. Each block tells for all of these the last that would pass, hence the entry of the next block; these
+    steps are doubled until they span all blocks, which gives each block's true entry, and the blocks list what passes.
+    Null keys and times are left out.
     """
     gap = seconds * 1_000_000
-    times = events.select(F.col(key).alias("k"), F.unix_micros("ts").alias("at")).distinct()
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of, last = None, 0
-        for b in batches:
-            keep = []
-            for i, (k, at) in enumerate(zip(b["k"], b["at"], strict=True)):
-                if k != of or at - last >= gap:
-                    of, last = k, at
-                    keep.append(i)
-            yield b.iloc[keep]
-
-    ordered = times.where("k is not null").repartition("k").sortWithinPartitions("k", "at")
-    return ordered.mapInPandas(fold, ordered.schema).select(F.col("k").alias(key), F.timestamp_micros("at").alias("ts"))
+    times = events.select(F.col(key).alias("k"), F.unix_micros("ts").alias("at")).dropna().distinct()
+    times = shared_table(times.withColumn("block", F.floor(F.col("at") / (gap * gaps))), "times")
+    kind = times.schema["k"].dataType.simpleString()
+
+    def entries(of: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        at = np.sort(rows["at"].to_numpy())
+        follows = np.searchsorted(at, at + gap)
+        last = np.arange(len(at))
+        for i in range(len(at) - 1, -1, -1):
+            if follows[i] < len(at):
+                last[i] = last[follows[i]]
+        n = min(len(at), int(np.searchsorted(at, of[1] * gap * gaps + gap)) + 1)
+        return pd.DataFrame({"k": of[0], "block": of[1], "at": at[:n], "last": at[last[:n]]})
+
+    def passing(of: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        at, out = np.sort(rows["at"].to_numpy()), []
+        i = int(np.searchsorted(at, rows["entry"].iloc[0]))
+        while i < len(at):
+            out.append(at[i])
+            i = int(np.searchsorted(at, at[i] + gap))
+        return pd.DataFrame({"k": of[0], "at": out})
+
+    found = shared_table(times.groupBy("k", "block").applyInPandas(entries, f"k {kind}, block long, at long, last long"), "entries")
+    order = Window.partitionBy("k").orderBy("block")  # a row for each block
+    firsts = found.groupBy("k", "block").agg(F.min("at").alias("first"))
+    ahead = firsts.select("k", "block", F.lead("block").over(order).alias("to"), F.lead("first", 2).over(order).alias("else")).where("to is not null")
+    asked = found.join(ahead, ["k", "block"]).select("k", F.col("to").alias("block"), (F.col("last") + gap).alias("x"), F.col("at").alias("source"), "else", F.lit(1).alias("side"))
+    given = found.select("k", "block", F.col("at").alias("x"), F.lit(0).alias("side"))
+    after = Window.partitionBy("k", "block").orderBy(F.col("x").desc(), "side").rowsBetween(Window.unboundedPreceding, 0)
+    both = asked.unionByName(given, allowMissingColumns=True).withColumn("next", F.last(F.when(F.col("side") == 0, F.col("x")), True).over(after))
+    steps = [shared_table(both.where("side = 1").select("k", F.col("source").alias("at"), F.coalesce("next", "else").alias("next")).where("next is not null"), "steps")]
+    while steps[-1].limit(1).count():
+        on = steps[-1].select("k", F.col("at").alias("next"), F.col("next").alias("then"))
+        steps.append(shared_table(steps[-1].join(on, ["k", "next"]).select("k", "at", F.col("then").alias("next")), "steps"))
+    chain = times.groupBy("k").agg(F.min("at").alias("at"))
+    for step in reversed(steps[:-1]):
+        chain = shared_table(chain.unionByName(chain.join(step, ["k", "at"]).select("k", F.col("next").alias("at"))), "chain")
+    entered = chain.select("k", F.floor(F.col("at") / (gap * gaps)).alias("block"), F.col("at").alias("entry"))
+    alerts = times.join(entered, ["k", "block"]).groupBy("k", "block").applyInPandas(passing, f"k {kind}, at long")
+    return alerts.select(F.col("k").alias(key), F.timestamp_micros("at").alias("ts"))
 
 
 def merge_batches(events: DataFrame, path: str, keys: list[str], checkpoint: str, parts: int = 64):

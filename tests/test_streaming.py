@@ -1,6 +1,7 @@
 """Streams over files against their batch forms."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -70,3 +71,39 @@ def test_new_visitor_is_new_once(spark, tmp_path):
         new = v.new_visitors(source(spark, tmp_path)).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp")
         new.outputMode("append").trigger(availableNow=True).start().awaitTermination(120)
         assert spark.read.parquet(f"{tmp_path}/out").count() == 1
+
+
+@pytest.mark.parametrize(("span", "n", "gaps"), [(3_000, 400, 2), (200_000, 300, 16), (50_000, 2_000, 3), (10, 50, 16)])
+def test_throttle_in_blocks_equals_the_fold(spark, span, n, gaps):
+    rng, t0 = random.Random(span), dt.datetime(2026, 1, 1)
+    rows = [(rng.choice(["a", "b"]) if i % 7 else "c", t0 + dt.timedelta(seconds=rng.randrange(span) + (span * 9 if rng.random() < 0.1 else 0))) for i in range(n)] + [("d", t0), ("d", t0), (None, t0), ("a", None)]
+    want = set()
+    for k in "abcd":
+        last = None
+        for t in sorted({t for x, t in rows if x == k and t}):
+            if last is None or (t - last).total_seconds() >= 100:
+                want.add((k, t))
+                last = t
+    got = [tuple(r) for r in v.throttled(spark.createDataFrame(rows, "name string, ts timestamp"), "name", 100, gaps).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_throttle_of_one_key_is_dealt_out(spark):
+    rows = spark.range(200_000).select(F.lit("k").alias("name"), F.timestamp_micros(F.col("id") * 7_000_000).alias("ts"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        plan = v.throttled(rows, "name", 3600).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(plan) == 8 and sum(r["count"] for r in plan) == 200_000 * 7 // 3605 + 1  # every 515th event passes
+
+
+def test_rolling_counts(spark, tmp_path):
+    t0 = dt.datetime(2026, 1, 1)
+    rows = [(i, t0 + dt.timedelta(minutes=m), 1, name, 0) for i, (m, name) in enumerate([(0, "view"), (5, "view"), (9, "error"), (15, "view"), (75, "view"), (60 * 48, "view")])]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/in/p0")
+    stream = v.rolling_counts(source(spark, tmp_path))
+    got = {(r["window"]["start"], r["event_name"]): r["n"] for r in ran(stream, "append", tmp_path, "rolling").collect()}
+    batch = v.rolling_counts(spark.read.parquet(f"{tmp_path}/in/*")).where(F.col("window.end") <= F.lit(t0 + dt.timedelta(days=1)))
+    assert got == {(r["window"]["start"], r["event_name"]): r["n"] for r in batch.collect()}
+    assert got[(t0, "view")] == 3 and got[(t0 - dt.timedelta(minutes=50), "view")] == 2 and got[(t0, "error")] == 1
