@@ -67,3 +67,22 @@ def interpolate(prices: DataFrame, keys: Sequence[str], month: str, column: str)
     found = prices.groupBy(*keys).agg(F.max_by(row, F.when(F.col("month") <= month, F.col("month"))).alias("a"), F.min_by(row, F.when(F.col("month") >= month, F.col("month"))).alias("b"))
     a, b = F.when(F.col("a.at") <= t, F.col("a")), F.when(F.col("b.at") >= t, F.col("b"))
     return found.select(*keys, F.when(a["at"] == b["at"], a["v"].cast("double")).otherwise(a["v"] + (b["v"] - a["v"]) * (t - a["at"]) / (b["at"] - a["at"])).alias(column))
+
+
+def order_stats(counts: DataFrame, keys: Sequence[str], value: str, n: str = "n") -> DataFrame:
+    """keys, total, median, trimmed of values with their counts: each (keys, value) stands once.
+
+    Running counts tell which values hold the middle places, and how many of each remain without a tenth (rounded down)
+    at each end. Only distinct values are sorted, and none are held together. Null values don't count.
+    """
+    w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy(*keys)
+    run = counts.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), F.col(n).alias("_n"), F.sum(n).over(w).alias("_to"), F.sum(n).over(whole).alias("_all"))
+    before, cut = F.col("_to") - F.col("_n"), F.floor(F.col("_all") / 10)
+    holds = lambda place: F.max(F.when((before < place) & (F.col("_to") >= place), F.col("_v")))
+    left = F.greatest(F.least(F.col("_to"), F.col("_all") - cut) - F.greatest(before, cut), F.lit(0))
+    return run.groupBy(*keys).agg(
+        F.sum("_n").alias("total"),
+        ((holds(F.floor((F.col("_all") + 1) / 2)) + holds(F.floor(F.col("_all") / 2) + 1)) / 2).alias("median"),
+        (F.sum(left * F.col("_v")) / F.sum(left)).alias("trimmed"),
+    )

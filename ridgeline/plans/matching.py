@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions import geo, months, numbers, text
 from ridgeline.operators import entity, grid, ranks
+from ridgeline.operators.prices import order_stats
 from ridgeline.plans.registry import more, query
 from ridgeline.sources import bindings as b
 
@@ -189,45 +191,76 @@ class Formula:
     method: str  # average, median, trimmed, weighted
 
 
-def _formulas() -> tuple[Formula, ...]:
-    """The formulas that are compared, by window of months and by area."""
-    plain = {"same_month": (0, "median average trimmed"), "trailing_3m": (2, "median average weighted trimmed"), "trailing_6m": (5, "median average weighted trimmed"), "trailing_12m": (11, "median weighted trimmed")}
-    wide = {"wide_area_3m": (2, "median"), "wide_area_6m": (5, "median weighted"), "wide_area_12m": (11, "weighted")}
-    return tuple(Formula(f"{n}_{m}", back, area, m) for of, area in ((plain, 1.2), (wide, 3.0)) for n, (back, ms) in of.items() for m in ms.split())
+#: The formulas that are compared.
+FORMULAS = (
+    Formula("same_month_median", 0, 1.2, "median"),
+    Formula("same_month_average", 0, 1.2, "average"),
+    Formula("same_month_trimmed", 0, 1.2, "trimmed"),
+    Formula("trailing_3m_median", 2, 1.2, "median"),
+    Formula("trailing_3m_average", 2, 1.2, "average"),
+    Formula("trailing_3m_weighted", 2, 1.2, "weighted"),
+    Formula("trailing_3m_trimmed", 2, 1.2, "trimmed"),
+    Formula("trailing_6m_median", 5, 1.2, "median"),
+    Formula("trailing_6m_average", 5, 1.2, "average"),
+    Formula("trailing_6m_weighted", 5, 1.2, "weighted"),
+    Formula("trailing_6m_trimmed", 5, 1.2, "trimmed"),
+    Formula("trailing_12m_median", 11, 1.2, "median"),
+    Formula("trailing_12m_weighted", 11, 1.2, "weighted"),
+    Formula("trailing_12m_trimmed", 11, 1.2, "trimmed"),
+    Formula("wide_area_3m_median", 2, 3.0, "median"),
+    Formula("wide_area_6m_median", 5, 3.0, "median"),
+    Formula("wide_area_6m_weighted", 5, 3.0, "weighted"),
+    Formula("wide_area_12m_weighted", 11, 3.0, "weighted"),
+)
+TOLERANCES = sorted({f.tolerance for f in FORMULAS})
 
 
-FORMULAS = _formulas()
+def within(f: Formula) -> Column:
+    return (F.col("lag") <= f.back) & (F.col("off") <= TOLERANCES.index(f.tolerance))
 
 
-def within(f: Formula) -> Column:
-    return F.col("lag").between(0, f.back) & (F.col("off") <= f.tolerance)
+def histogram(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, lag, off (the narrowest tolerance that holds, as its place among TOLERANCES), pyeong, n: pairs as counts."""
+    off = F.coalesce(*(F.when(F.col("off") <= t, i) for i, t in enumerate(TOLERANCES)))
+    return pairs.where(F.col("lag") >= 0).groupBy(*keys, "lag", off.alias("off"), "pyeong").agg(F.count("*").alias("n"))
 
 
 def trimmed_means(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """keys, mean: without a tenth (rounded down) of the values at each end; below 4 values nothing goes."""
-    w = Window.partitionBy(*keys)
-    n, rn = F.count("*").over(w), F.row_number().over(w.orderBy(value))
-    cut = rows.select(*keys, value, n.alias("_n"), rn.alias("_rn")).withColumn("_cut", F.floor(F.col("_n") / 10))
-    return cut.where("_rn > _cut and _rn <= _n - _cut").groupBy(*keys).agg(F.avg(value).alias("mean"))
+    """keys, mean: without a tenth (rounded down) of the values at each end."""
+    return order_stats(rows.groupBy(*keys, value).agg(F.count("*").alias("n")), keys, value).select(*keys, F.col("trimmed").alias("mean"))
 
 
 def predictions(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """pairs: keys, lag (months the deal is before the quote), off (area difference), pyeong. One row per key and formula:
-    the averages are conditional aggregates over one join of the widest window, the trimmed ones rank their values."""
+    """keys, formula, predicted, deals. pairs: keys, lag (months the deal is before the quote), off (area difference),
+    pyeong; they are computed once and written as counts."""
+    return predicted(entity.shared_table(histogram(pairs, keys), "pairs"), keys)
+
+
+def predicted(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, formula, predicted, deals of the counts of histogram(): averages are sums of value times count, medians and
+    trimmed means come from running counts of the values of each window."""
+
     def value(f: Formula) -> Column:
-        x = F.when(within(f), F.col("pyeong").cast("double"))
-        if f.method == "average":
-            return F.avg(x)
-        if f.method == "median":
-            return F.median(x)
-        w = F.when(within(f), 1 / (F.col("lag") + 1))
-        return F.sum(x * w) / F.sum(w)
+        n = F.when(within(f), F.col("n"))
+        if f.method == "weighted":
+            n = n / (F.col("lag") + 1)
+        return F.struct(F.lit(f.name).alias("formula"), (F.sum(n * F.col("pyeong")) / F.sum(n)).alias("predicted"), F.sum(F.when(within(f), F.col("n"))).alias("deals"))
+
+    sums = counts.groupBy(*keys).agg(F.array(*(value(f) for f in FORMULAS if f.method in ("average", "weighted"))).alias("every"))
+    ordered: dict[tuple[int, float], list[Formula]] = {}
+    for f in FORMULAS:
+        if f.method in ("median", "trimmed"):
+            ordered.setdefault((f.back, f.tolerance), []).append(f)
+    windows = list(ordered.values())
+    each = F.explode(F.array_compact(F.array(*(F.when(within(of[0]), F.lit(i)) for i, of in enumerate(windows)))))
+    stats = order_stats(counts.select(*keys, "pyeong", "n", each.alias("window")).groupBy(*keys, "window", "pyeong").agg(F.sum("n").alias("n")), [*keys, "window"], "pyeong")
+    named = lambda f: F.struct(F.lit(f.name).alias("formula"), F.col(f.method).alias("predicted"), F.col("total").alias("deals"))
+    shown = F.coalesce(*(F.when(F.col("window") == i, F.array(*map(named, of))) for i, of in enumerate(windows)))
+    found = sums.select(*keys, F.explode("every").alias("p")).unionByName(stats.select(*keys, F.explode(shown).alias("p")))
+    return found.select(*keys, "p.*").where("predicted > 0")
 
-    plain = [f for f in FORMULAS if f.method != "trimmed"]
-    wide = pairs.groupBy(*keys).agg(*(value(f).alias(f.name) for f in plain)).unpivot(keys, [f.name for f in plain], "formula", "predicted")
-    names = F.explode(F.array_compact(F.array(*(F.when(within(f), F.lit(f.name)) for f in FORMULAS if f.method == "trimmed")))).alias("formula")
-    trimmed = trimmed_means(pairs.select(*keys, "pyeong", names), [*keys, "formula"], "pyeong").withColumnRenamed("mean", "predicted")
-    return wide.unionByName(trimmed).where("predicted > 0")
+
+QUOTE = ["complex_id", "type_id", "quote_month", "quote"]
 
 
 def kb_quotes(spark, sf) -> DataFrame:
@@ -241,17 +274,29 @@ def match_key(region: Column, dong: Column, name: Column) -> Column:
 
 
 def quote_pairs(spark, sf) -> DataFrame:
-    """Quotes with the deals of their complex in the twelve months up to theirs, at most 3 m2 off. Both sides meet on the
-    key of region, neighbourhood and name and on the month, so pairs grow with the data."""
-    q = kb_quotes(spark, sf).withColumns({"key": match_key(F.col("region"), F.col("dong"), F.col("name")), "area": F.col("type_id") * 10 - 5.0})
-    q = q.select("key", "complex_id", "type_id", F.col("month").alias("quote_month"), "quote", "area", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("lag")).withColumn("month", months.add(F.col("quote_month"), -F.col("lag")))
+    """Quotes with the deals of their complex in the twelve months up to theirs, at most 3 m2 off."""
+    q = kb_quotes(spark, sf).withColumns({"key": match_key(F.col("region"), F.col("dong"), F.col("name")), "area": F.col("type_id") * 10 - 5.0}).select("key", *QUOTE[:2], F.col("month").alias("quote_month"), "quote", "area")
     c = b.complexes(spark, sf).select("complex_id", match_key(F.col("sigungu_key"), F.col("dong_key").cast("string"), F.col("name")).alias("key"))
     d = b.deals(spark, sf).select("complex_id", "month", "m2", "pyeong").join(c, "complex_id").drop("complex_id").where("pyeong > 0")
-    return q.join(d, ["key", "month"]).withColumn("off", F.abs(F.col("m2") - F.col("area"))).where("off <= 3.0").select("complex_id", "type_id", "quote_month", "quote", "lag", "off", "pyeong")
+    return near_deals(q, d).select(*QUOTE, "lag", "off", "pyeong")
+
+
+def near_deals(quotes: DataFrame, deals: DataFrame, most: int = 11, off: float = 3.0) -> DataFrame:
+    """quotes (key, quote_month, area and more) with the deals (key, month, m2, pyeong) at most `most` months before and at
+    most `off` from their area, as lag and off.
+
+    A range join by two bins: months in years, where a quote stands in its own and the one before; areas in bins of twice
+    the tolerance, where a deal stands in the one or two that it reaches. So pairs meet once, and few meet in vain.
+    """
+    span, wide = most + 1, 2 * off
+    at, reach = months.index(F.col("quote_month")), F.array(*(F.floor((F.col("m2") + x) / wide) for x in (-off, off)))
+    q = quotes.withColumn("_q", at).withColumns({"_year": F.explode(F.array_distinct(F.array(F.floor((F.col("_q") - most) / span), F.floor(F.col("_q") / span)))), "_bin": F.floor(F.col("area") / wide)})
+    d = deals.select("key", "m2", "pyeong", months.index(F.col("month")).alias("_d")).withColumns({"_year": F.floor(F.col("_d") / span), "_bin": F.explode(F.array_distinct(reach))})
+    met = q.join(d, ["key", "_year", "_bin"]).withColumns({"lag": (F.col("_q") - F.col("_d")).cast("int"), "off": F.abs(F.col("m2") - F.col("area"))})
+    return met.where((F.col("lag").between(0, most)) & (F.col("off") <= off)).drop("_q", "_d", "_year", "_bin")
 
 
 PAIRS = f"kb as (select complex_id, type_id, month as quote_month, cast(floor(avg(pyeong) + 0.5) as int) as quote from alldeals where cancelled group by all having quote > 0), near as (select kb.*, d.pyeong, abs(d.m2 - (kb.type_id * 10 - 5.0)) as off, {{q}} - {{d}} as lag from kb join deals d using (complex_id) where {{q}} - {{d}} between 0 and 11 and abs(d.m2 - (kb.type_id * 10 - 5.0)) <= 3.0 and d.pyeong > 0)".format(q="(cast(kb.quote_month[1:4] as int) * 12 + cast(kb.quote_month[5:6] as int))", d="(cast(d.month[1:4] as int) * 12 + cast(d.month[5:6] as int))")
-QUOTE = ["complex_id", "type_id", "quote_month", "quote"]
 
 
 def _formula_sql(f: Formula) -> str:
@@ -282,32 +327,62 @@ def x2(spark, sf):
 
 
 def split_month(rows: DataFrame) -> DataFrame:
-    """One row: the place among quotes, in order of month, complex and type, below which they train: 70 %, one at least."""
+    """One row: the place among quotes, in order of month, name and label, below which they train: 70 %, one at least."""
     return rows.agg(F.greatest(F.lit(1), F.floor(F.count("*") * 0.7)).cast("int").alias("cut"))
 
 
-@query("a30_formula_report", f"with {PRED}, m as (select *, row_number() over (order by quote_month, complex_id, type_id) as place, count(*) over () as n from (select distinct {', '.join(QUOTE)} from pred)), t as (select pred.*, place <= greatest(1, floor(0.7 * n)) as train from pred join m using ({', '.join(QUOTE)})), k as (select formula, sum(quote * predicted) filter (train) / sum(predicted * predicted) filter (train) as scale from t group by 1) select formula, round(any_value(scale), 6) as scale, cast(count(*) filter (train) as bigint) as n_train, cast(count(*) filter (not train) as bigint) as n_test, round(avg(abs(predicted - quote) / quote) filter (not train), 6) as raw_mape, round(avg(abs(predicted * scale - quote) / quote) filter (not train), 6) as mape, round(avg((predicted * scale - quote) / quote) filter (not train), 6) as bias from t join k using (formula) group by 1")
-def a30(spark, sf):
-    """The first 70 % of the matched quotes, by month, train a scale for each formula; the rest test it."""
-    rows = entity.shared_table(bound_predictions(spark, sf), "predictions")
-    placed = ranks.table_rank(rows.select(*QUOTE).distinct(), [F.col(c).asc() for c in ("quote_month", "complex_id", "type_id")], "place")
+def tested(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """(predictions with name, label and whether they train, scale of each formula)."""
+    named = b.complexes(spark, sf).select("complex_id", "name")
+    rows = entity.shared_table(bound_predictions(spark, sf).withColumn("label", F.concat(F.lit("전용 "), F.col("type_id").cast("string"))).join(named, "complex_id"), "predictions")
+    place = ["quote_month", "name", "label", "complex_id", "type_id"]
+    placed = ranks.table_rank(rows.select(*place, "quote").distinct(), [F.col(c).asc() for c in place], "place")
     split = placed.crossJoin(F.broadcast(split_month(placed))).select(*QUOTE, (F.col("place") <= F.col("cut")).alias("train"))  # one row
     rows = rows.join(split, QUOTE)
     q, p = F.col("quote"), F.col("predicted")
-    scale = rows.where("train").groupBy("formula").agg((F.sum(q * p) / F.sum(p * p)).alias("scale"))
+    fit = F.sum(F.when(F.col("train"), q * p)) / F.nullif(F.sum(F.when(F.col("train"), p * p)), F.lit(0.0))
+    return rows, rows.groupBy("formula").agg(F.coalesce(fit, F.lit(1.0)).alias("scale"))  # a row for each formula
+
+
+def report(rows: DataFrame, scale: DataFrame) -> DataFrame:
+    q, p = F.col("quote"), F.col("predicted")
     test = F.when(~F.col("train"), F.lit(1))
     off = (p * F.col("scale") - q) / q
-    return rows.join(F.broadcast(scale), "formula").groupBy("formula").agg(F.round(F.first("scale"), 6).alias("scale"), F.count_if("train").alias("n_train"), F.count(test).alias("n_test"), F.round(F.avg(test * F.abs(p - q) / q), 6).alias("raw_mape"), F.round(F.avg(test * F.abs(off)), 6).alias("mape"), F.round(F.avg(test * off), 6).alias("bias"))  # a row for each formula
+    return rows.join(F.broadcast(scale), "formula").groupBy("formula").agg(F.round(F.first("scale"), 6).alias("scale"), F.count_if("train").alias("n_train"), F.count(test).alias("n_test"), F.round(F.avg(test * F.abs(p - q) / q), 6).alias("raw_mape"), F.round(F.avg(test * F.abs(off)), 6).alias("mape"), F.round(F.avg(test * off), 6).alias("bias"))
+
+
+LAB = f"""with {PRED}, m as (select *, row_number() over (order by quote_month, s_name, type_id, complex_id) as place, count(*) over () as n from (select distinct {', '.join(QUOTE)} from pred) join supplier on s_suppkey = complex_id), t as (select pred.*, s_name as name, place <= greatest(1, floor(0.7 * n)) as train from pred join m using ({', '.join(QUOTE)})),
+k as (select formula, coalesce(sum(quote * predicted) filter (train) / nullif(sum(predicted * predicted) filter (train), 0), 1) as scale from t group by 1)"""
+
+
+@query("a30_formula_report", f"{LAB} select formula, round(any_value(scale), 6) as scale, cast(count(*) filter (train) as bigint) as n_train, cast(count(*) filter (not train) as bigint) as n_test, round(avg(abs(predicted - quote) / quote) filter (not train), 6) as raw_mape, round(avg(abs(predicted * scale - quote) / quote) filter (not train), 6) as mape, round(avg((predicted * scale - quote) / quote) filter (not train), 6) as bias from t join k using (formula) group by 1")
+def a30(spark, sf):
+    """The first 70 % of the matched quotes, by month, name and label, train a scale for each formula; the rest test it."""
+    rows, scale = tested(spark, sf)
+    return report(rows, scale)
+
+
+@query("a30_examples", f"{LAB}, top as (select formula, scale from t join k using (formula) group by 1, 2 order by round(avg(abs(predicted * scale - quote) / quote) filter (not train), 9) nulls last, formula limit 1), x as (select complex_id, type_id, quote_month, quote, formula, name, predicted * scale as fitted, round((predicted * scale - quote) / quote, 9) as off from t join top using (formula)) select formula, name, '전용 ' || type_id as label, quote_month, quote, cast(floor(fitted + 0.5) as int) as predicted, round(off, 6) as error_rate from x order by abs(off), quote_month, name, type_id limit 80")
+def a30_examples(spark, sf):
+    """The 80 quotes that the best formula meets most closely; the best has the least error on the test rows."""
+    rows, scale = tested(spark, sf)
+    fit = rows.join(F.broadcast(scale), "formula").withColumn("fitted", F.col("predicted") * F.col("scale")).withColumn("off", F.round((F.col("fitted") - F.col("quote")) / F.col("quote"), 9))
+    mape = F.round(F.avg(F.when(~F.col("train"), F.abs(F.col("fitted") - F.col("quote")) / F.col("quote"))), 9)
+    top = fit.groupBy("formula").agg(mape.alias("mape")).orderBy(F.col("mape").asc_nulls_last(), "formula").limit(1).select("formula")
+    first = fit.join(F.broadcast(top), "formula").orderBy(F.abs("off"), "quote_month", "name", "type_id").limit(80)
+    return first.select("formula", "name", "label", "quote_month", "quote", numbers.js_round(F.col("fitted")).cast("int").alias("predicted"), F.round("off", 6).alias("error_rate"))
 
 
 @query("a28_trimmed_mean", "with r as (select complex_id, amount, row_number() over (partition by complex_id order by amount) as rn, count(*) over (partition by complex_id) as n from deals) select complex_id, round(avg(amount), 4) as mean from r where rn > floor(n / 10) and rn <= n - floor(n / 10) group by 1")
 def a28(spark, sf):
-    return trimmed_means(b.deals(spark, sf), ["complex_id"], "amount").select("complex_id", F.round("mean", 4).alias("mean"))
+    counts = b.deals(spark, sf).groupBy("complex_id", "amount").agg(F.count("*").alias("n"))
+    return order_stats(counts, ["complex_id"], "amount").select("complex_id", F.round("trimmed", 4).alias("mean"))
 
 
 @query("a27_median", "select complex_id, type_id, median(amount) as median from deals group by 1, 2")
 def a27(spark, sf):
-    return b.deals(spark, sf).groupBy("complex_id", "type_id").agg(F.median("amount").alias("median"))
+    counts = b.deals(spark, sf).groupBy("complex_id", "type_id", "amount").agg(F.count("*").alias("n"))
+    return order_stats(counts, ["complex_id", "type_id"], "amount").select("complex_id", "type_id", "median")
 
 
 # Keyed changes of tables
