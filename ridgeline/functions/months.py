@@ -30,7 +30,7 @@ def span(start: Column, end: Column) -> Column:
 
 
 def of(date: Column) -> Column:
-    return F.date_format(date, "yyyyMM")
+    return F.lpad((F.year(date) * 100 + F.month(date)).cast("string"), 6, "0")  # no formatter for each row
 
 
 def shift(month: str, n: int) -> str:

@@ -266,7 +266,7 @@ QUOTE = ["complex_id", "type_id", "quote_month", "quote"]
 def kb_quotes(spark, sf) -> DataFrame:
     """Cancelled line items as quotes: per complex, area type and month a price per pyeong; types are 10 m2 apart."""
     d = b.deals(spark, sf, cancelled=True).where("cancelled").groupBy("complex_id", "type_id", "month").agg(F.floor(F.avg("pyeong") + 0.5).cast("int").alias("quote"))
-    return d.join(b.complexes(spark, sf).select("complex_id", F.col("sigungu_key").alias("region"), F.col("dong_key").cast("string").alias("dong"), "name"), "complex_id").where("quote > 0")
+    return d.where("quote > 0")
 
 
 def match_key(region: Column, dong: Column, name: Column) -> Column:
@@ -275,8 +275,8 @@ def match_key(region: Column, dong: Column, name: Column) -> Column:
 
 def quote_pairs(spark, sf) -> DataFrame:
     """Quotes with the deals of their complex in the twelve months up to theirs, at most 3 m2 off."""
-    q = kb_quotes(spark, sf).withColumns({"key": match_key(F.col("region"), F.col("dong"), F.col("name")), "area": F.col("type_id") * 10 - 5.0}).select("key", *QUOTE[:2], F.col("month").alias("quote_month"), "quote", "area")
-    c = b.complexes(spark, sf).select("complex_id", match_key(F.col("sigungu_key"), F.col("dong_key").cast("string"), F.col("name")).alias("key"))
+    c = entity.shared_table(b.complexes(spark, sf).select("complex_id", match_key(F.col("sigungu_key"), F.col("dong_key").cast("string"), F.col("name")).alias("key")), "keys")
+    q = kb_quotes(spark, sf).join(c, "complex_id").select("key", *QUOTE[:2], F.col("month").alias("quote_month"), "quote", (F.col("type_id") * 10 - 5.0).alias("area"))
     d = b.deals(spark, sf).select("complex_id", "month", "m2", "pyeong").join(c, "complex_id").drop("complex_id").where("pyeong > 0")
     return near_deals(q, d).select(*QUOTE, "lag", "off", "pyeong")
 

@@ -9,32 +9,53 @@ from ridgeline.functions.numbers import js_round, pyeong_price
 
 #: The names a field goes by, the first that isn't empty counts.
 FIELDS = {
-    "amount": ("dealAmount", "거래금액"), "m2": ("excluUseAr", "전용면적"), "year": ("dealYear", "년"), "month": ("dealMonth", "월"), "day": ("dealDay", "일"), "name": ("aptNm", "아파트"),
-    "block": ("aptDong", "aptDongNm", "동"), "dong": ("umdNm", "법정동"), "jibun": ("jibun", "지번"), "floor": ("floor", "층"), "registered": ("rgstDate", "등기일자"), "cancel_type": ("cdealType", "해제여부"),
-}
+    "sgg_code": ("sggCd", "지역코드"),
+    "deal_year": ("dealYear", "년"),
+    "month_of_year": ("dealMonth", "월"),
+    "day": ("dealDay", "일"),
+    "name": ("aptNm", "아파트"),
+    "block": ("aptDong", "aptDongNm", "동"),
+    "dong": ("umdNm", "법정동"),
+    "jibun": ("jibun", "지번"),
+    "floor": ("floor", "층"),
+    "build_year": ("buildYear", "건축년도"),
+    "m2": ("excluUseAr", "전용면적"),
+    "amount": ("dealAmount", "거래금액"),
+    "cancel_type": ("cdealType", "해제여부"),
+    "cancel_day": ("cdealDay", "해제사유발생일"),
+    "registered": ("rgstDate", "등기일자"),
+    "dealing_type": ("dealingGbn", "거래유형"),
+    "agent": ("estateAgentSggNm", "중개사소재지"),
+    "buyer": ("buyerGbn", "매수자"),
+    "seller": ("slerGbn", "매도자"),
+}
+WHOLE = ("deal_year", "month_of_year", "day", "floor", "build_year", "amount")
 GOOD = ("00", "000")
 
+#: A response as the XML parser reads it; items are maps, so tags that no field goes by are kept.
+RESPONSE = "resultCode string, resultMsg string, header struct<resultCode: string, resultMsg: string>, body struct<items: struct<item: array<map<string, string>>>, totalCount: string>, items struct<item: array<map<string, string>>>, _bad string"
 
-def tag(xml: Column, name: str) -> Column:
-    """The text of the first element of a name, entities decoded; empty if there is none."""
-    found = F.regexp_extract(xml, f"(?s)<{name}>(.*?)</{name}>", 1)
-    for code, char in (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"), ("&quot;", '"'), ("&apos;", "'")):
-        found = F.replace(found, F.lit(code), F.lit(char))
-    return F.trim(found)
 
+def parse_pages(responses: DataFrame, xml: str = "xml") -> DataFrame:
+    """The other columns, total_count (null if none is told) and items array<map<string, string>>, parsed once.
 
-def parse_trades(responses: DataFrame, xml: str = "xml") -> DataFrame:
-    """One row per item of each response: the other columns and item map<string, string>.
-
-    A response with a result code that isn't good raises, and so does one that isn't a response.
+    A response with a result code that isn't good raises, and so does one that isn't a response. One without items has
+    an empty array.
     """
-    code, source = tag(F.col(xml), "resultCode"), F.col(xml)
-    bad = F.when(~code.isin("", *GOOD), F.raise_error(F.concat_ws(" ", F.lit("result"), code, tag(source, "resultMsg"))))
-    bad = F.coalesce(bad, F.when(~F.contains(source, F.lit("<response")), F.raise_error(F.concat(F.lit("no response: "), F.left(source, F.lit(200))))))
-    items = F.regexp_extract_all(source, F.lit("(?s)<item>(.*?)</item>"), 1)
-    rows = responses.where(bad.isNull()).select(*(c for c in responses.columns if c != xml), F.explode(items).alias("_item"))
-    names = sorted({n for of in FIELDS.values() for n in of})
-    return rows.withColumn("item", F.create_map(*(x for n in names for x in (F.lit(n), F.nullif(tag(F.col("_item"), n), F.lit(""))))) ).drop("_item")
+    rows = responses.withColumn("_r", F.from_xml(F.col(xml), RESPONSE, {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}))
+    code = F.trim(F.coalesce("_r.header.resultCode", "_r.resultCode", F.lit("")))
+    told = F.raise_error(F.concat_ws(" ", F.lit("result"), code, F.coalesce("_r.header.resultMsg", "_r.resultMsg")))
+    other = F.raise_error(F.concat(F.lit("no response: "), F.coalesce(F.left(F.col(xml), F.lit(200)), F.lit("null"))))
+    bad = F.when(F.col("_r").isNull() | F.col("_r._bad").isNotNull() | ~F.contains(F.col(xml), F.lit("<response")), other).when(~code.isin("", *GOOD), told)
+    items = F.coalesce("_r.body.items.item", "_r.items.item", F.array().cast("array<map<string, string>>"))
+    # No filter: it would be pushed below the parser's column and parse everything again.
+    return rows.select(*(c for c in responses.columns if c != xml), number(F.col("_r.body.totalCount")).cast("long").alias("total_count"), F.when(bad.isNull(), items).alias("items"))
+
+
+def parse_trades(responses: DataFrame, xml: str = "xml") -> DataFrame:
+    """One row per item of each response: the other columns and item map<string, string>; see parse_pages()."""
+    pages = parse_pages(responses, xml)
+    return pages.select(*(c for c in pages.columns if c not in ("total_count", "items")), F.explode_outer("items").alias("item")).where("item is not null")
 
 
 def number(x: Column) -> Column:
@@ -42,11 +63,16 @@ def number(x: Column) -> Column:
 
 
 def normalise(items: DataFrame, source: str = "trades") -> DataFrame:
-    """item maps as deals: fields by any of their names, numbers with commas, price per pyeong, and an id that is the
-    SHA-1 of what tells a deal. items: lawd, deal_month, item."""
-    pick = lambda k: F.coalesce(*(F.col("item")[n] for n in FIELDS[k]), F.lit(""))
-    whole = lambda k: number(pick(k)).cast("long")
-    out = items.select("lawd", "deal_month", *(whole(k).alias(k) for k in ("amount", "day", "floor")), number(pick("m2")).alias("m2"), *(pick(k).alias(k) for k in ("name", "block", "dong", "jibun", "registered", "cancel_type")))
+    """item maps as deals: fields by any of their names, numbers with commas, price per pyeong, the whole item as JSON, and
+    an id that is the SHA-1 of what tells a deal. items: lawd, deal_month, item. A deal without a district code has its
+    response's."""
+
+    def pick(k: str) -> Column:
+        found = F.coalesce(*(F.nullif(F.trim(F.col("item")[n]), F.lit("")) for n in FIELDS[k]), F.lit(""))
+        return number(found).cast("long") if k in WHOLE else number(found) if k == "m2" else found
+
+    out = items.select("lawd", "deal_month", *(pick(k).alias(k) for k in FIELDS), F.to_json("item").alias("raw"))
+    out = out.withColumn("sgg_code", F.when(F.col("sgg_code") == "", F.col("lawd").cast("string")).otherwise(F.col("sgg_code")))
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     shown = F.when(F.col("m2") == F.floor("m2"), F.floor("m2").cast("string")).otherwise(text("m2"))
     key = F.concat_ws("|", F.lit(source), "lawd", "deal_month", text("day"), "name", "block", "dong", "jibun", text("floor"), F.coalesce(shown, F.lit("")), text("amount"), "registered")
