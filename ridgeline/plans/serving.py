@@ -530,3 +530,37 @@ def a21_contract(spark, sf):
     root = f"{shared(spark)}/contract-{uuid.uuid4().hex}"
     all_snapshots(spark, sf, root)
     return bands.contract(spark, root, END, 2)
+
+
+# The back-fill
+
+FETCHED = "src as (select cast(n_nationkey as varchar) as code, strftime(l_shipdate, '%Y%m') as month, cast(floor(l_extendedprice) as bigint) as amount, l_linenumber from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey), tasks as (select cast(n_nationkey as varchar) as code, strftime(m, '%Y%m') as month, row_number() over (order by strftime(m, '%Y%m'), cast(n_nationkey as varchar)) as place from nation cross join (select unnest(generate_series(date '1997-01-01', date '1997-12-01', interval 1 month)) as m))"
+
+
+def recorded(spark, sf) -> DataFrame:
+    """Line items as recorded answers, one for each nation and month."""
+    places = b.complexes(spark, sf).select(F.col("complex_id").alias("l_suppkey"), F.col("sigungu_key").cast("string").alias("code"))
+    item = F.create_map(F.lit("dealAmount"), F.floor("l_extendedprice").cast("string"), F.lit("line"), F.col("l_linenumber").cast("string"))
+    rows = b.table(spark, sf, "lineitem").join(places, "l_suppkey").withColumn("month", months.of(F.col("l_shipdate")))
+    return rows.groupBy("code", "month").agg(F.collect_list(item).alias("items")).withColumn("total_count", F.size("items").cast("long"))
+
+
+@query("t8_backfill", f"with {FETCHED} select t.code, t.month, case when place > 220 then 'pending' when t.code = '7' then 'failed' else 'completed' end as status, cast(coalesce(case when place <= 220 and t.code <> '7' then count(amount) filter (l_linenumber <> 3) end, 0) as bigint) as saved, cast(coalesce(case when place <= 220 and t.code <> '7' then sum(amount) filter (l_linenumber <> 3) end, 0) as bigint) as amount from tasks t left join src using (code, month) group by t.code, t.month, place")
+def t8(spark, sf):
+    """Two runs with a limit of 110 tasks each: the second goes on where the first stopped; one code's fetches fail, and
+    the second run doesn't get to try them again."""
+    from ridgeline.operators import backfill
+
+    root = f"{shared(spark)}/backfill-{uuid.uuid4().hex}"
+    tasks = backfill.plan(b.table(spark, sf, "nation").select(F.col("n_nationkey").alias("code")), [months.shift("199701", i) for i in range(12)])
+    answers = entity.shared_table(recorded(spark, sf), "answers")
+
+    def fetch(claimed: DataFrame) -> DataFrame:
+        found = claimed.join(answers, ["code", "month"], "left").withColumn("items", F.coalesce("items", F.array().cast("array<map<string, string>>")))
+        return found.withColumn("error", F.when(F.col("code") == "7", "timeout"))
+
+    backfill.run(spark, root, tasks, fetch, 110, keep=lambda items: items.where("item['line'] <> '3'"))
+    backfill.run(spark, root, tasks.join(backfill.ledger(spark, root).where("status = 'failed'").select("code", "month"), ["code", "month"], "left_anti"), fetch, 110, keep=lambda items: items.where("item['line'] <> '3'"))
+    deals = backfill.stored(spark, root).groupBy("code", "month").agg(F.sum(F.col("item")["dealAmount"].cast("long")).alias("amount"))
+    states = tasks.join(backfill.ledger(spark, root), ["code", "month"], "left").join(deals, ["code", "month"], "left")
+    return states.select("code", "month", F.coalesce("status", F.lit("pending")).alias("status"), F.coalesce("saved", F.lit(0)).alias("saved"), F.coalesce("amount", F.lit(0)).alias("amount"))

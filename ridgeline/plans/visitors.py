@@ -115,6 +115,41 @@ def t6(spark, sf):
     return throttled(e, "event_name", 6 * 3600).select("event_name", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
+# Metadata of events
+
+def described(spark, sf) -> DataFrame:
+    """Events with metadata made of their number k: nested objects, lists and texts, some beyond the bounds."""
+    k = F.coalesce("k", F.lit(0))
+    deep = F.concat(F.lit('{"a":{"b":['), k.cast("string"), F.lit(',true,null],"n":'), k.cast("string"), F.lit(".5}}"))
+    words = F.array_join(F.transform(F.sequence(F.lit(0), k % 30), lambda i: F.concat(F.lit('"'), i.cast("string"), F.repeat(F.lit("w"), k * 3), F.lit('"'))), ",")
+    text = F.concat(F.lit('{"deep":'), deep, F.lit(',"name":"'), F.repeat(F.lit("n"), k * 10), F.lit('","words":['), words, F.lit("]}"))
+    shown = F.when(k % 13 == 0, F.lit("[1, 2]")).when(k % 17 == 0, F.lit("no json")).otherwise(text)
+    return b.events(spark, sf).select("event_id", "visitor_id", k.alias("k"), shown.alias("metadata"))
+
+
+BOUNDED = """with m as (select event_id, visitor_id, coalesce(k, 0) as k from ev), w as (select *, array_to_string(list_transform(range(0, least(k % 30 + 1, 20)), lambda i: '"' || left(i || repeat('w', k * 3), 500) || '"'), ',') as words from m),
+j as (select *, '{"deep":{"a":{"b":[' || k || ',true,null],"n":' || k || '.5}},"name":"' || left(repeat('n', k * 10), 500) || '","words":[' || words || ']}' as text from w),
+s as (select event_id, visitor_id, k, case when k % 13 = 0 or k % 17 = 0 then '{}' when length(text) > 4000 then '{"truncated":true}' else text end as metadata from j)"""
+
+
+@query("f22_metadata", f"{BOUNDED} select event_id, cast(length(metadata) as int) as size, sha256(metadata) as digest, metadata = '{{{{}}}}' as bare from s".replace("{{}}", "{}"))
+def f22(spark, sf):
+    """Metadata within its bounds: 500 characters a text, 20 items a list, 4000 characters in all."""
+    from ridgeline.functions.metadata import metadata
+
+    rows = described(spark, sf).select("event_id", metadata(F.col("metadata")).alias("metadata"))
+    return rows.select("event_id", F.length("metadata").alias("size"), F.sha2("metadata", 256).alias("digest"), (F.col("metadata") == "{}").alias("bare"))
+
+
+@query("f14_json_paths", "with m as (select visitor_id, coalesce(k, 0) as k from ev), o as (select * from m where k % 13 <> 0 and k % 17 <> 0), e as (select visitor_id, k, unnest(range(0, k % 30 + 1)) as i from o) select visitor_id, cast(count(*) as bigint) as items, cast(max(i) as int) as last, cast(sum(length(i || repeat('w', k * 3))) as bigint) as chars, cast(max(k) as int) as b0, max(k + 0.5)::double as n from e group by 1")
+def f14(spark, sf):
+    """Values by path and a list exploded with its places, out of JSON read once as VARIANT."""
+    v = described(spark, sf).withColumn("v", F.try_parse_json("metadata"))
+    rows = v.lateralJoin(spark.tvf.variant_explode(F.try_variant_get(F.col("v").outer(), "$.words", "variant")))
+    word = F.try_variant_get("value", "$", "string")
+    return rows.groupBy("visitor_id").agg(F.count("*").alias("items"), F.max("pos").alias("last"), F.sum(F.length(word)).alias("chars"), F.max(F.try_variant_get("v", "$.deep.a.b[0]", "int")).alias("b0"), F.max(F.try_variant_get("v", "$.deep.a.n", "double")).alias("n"))
+
+
 # Health
 
 
