@@ -564,3 +564,19 @@ def t8(spark, sf):
     deals = backfill.stored(spark, root).groupBy("code", "month").agg(F.sum(F.col("item")["dealAmount"].cast("long")).alias("amount"))
     states = tasks.join(backfill.ledger(spark, root), ["code", "month"], "left").join(deals, ["code", "month"], "left")
     return states.select("code", "month", F.coalesce("status", F.lit("pending")).alias("status"), F.coalesce("saved", F.lit(0)).alias("saved"), F.coalesce("amount", F.lit(0)).alias("amount"))
+
+
+# Sitemaps
+
+@query("s34_sitemap_xml", "select complex_id, '/apartments/trade:' || complex_id || '?n=' || min(name) || '&r=<' || any_value(sido_name) || '>' as path, case when complex_id % 5 > 0 then strftime(date '2000-06-15' - cast(complex_id % 5 as int), '%Y-%m-%d') end as lastmod, cast('0.7' as varchar) as priority from items group by complex_id")
+def s34(spark, sf):
+    """Addresses of all ranked complexes written as sitemaps and read back from the XML that the index names."""
+    from ridgeline.sources import files
+
+    files.register(spark)
+    day = F.when(F.col("complex_id") % 5 > 0, F.date_format(F.date_sub(F.lit("2000-06-15").cast("date"), (F.col("complex_id") % 5).cast("int")), "yyyy-MM-dd"))
+    rows = bound_items(spark, sf).select(F.concat(F.lit("/apartments/trade:"), F.col("complex_id").cast("string"), F.lit("?n="), "name", F.lit("&r=<"), "sido_name", F.lit(">")).alias("path"), day.alias("lastmod"), F.lit("0.7").alias("priority"))
+    root = f"{shared(spark)}/sitemap-{uuid.uuid4().hex}"
+    rows.write.format("sitemap").option("base", "https://example.org").mode("append").save(root)
+    read = spark.read.format("xml").option("rowTag", "url").schema("loc string, lastmod string, priority string").load(files.sitemap_files(spark, root))
+    return read.select(F.regexp_extract("loc", r"trade:(\d+)", 1).cast("long").alias("complex_id"), F.replace("loc", F.lit("https://example.org"), F.lit("")).alias("path"), "lastmod", "priority")
