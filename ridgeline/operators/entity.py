@@ -8,6 +8,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from ridgeline.functions import geo
 from ridgeline.operators.ranks import first_by
@@ -93,9 +94,15 @@ def best_match(pairs: DataFrame, key: str, by: Sequence[Column]) -> DataFrame:
     return first_by(pairs, [key], by)
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """old with rows of new in place of those with the same keys, one row a key; new columns are null in old rows."""
-    new = new.dropDuplicates(list(keys))
+def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[Column] = ()) -> DataFrame:
+    """old with rows of new in place of those with the same keys, one row a key; new columns are null in old rows.
+
+    Of rows of new that repeat a key the last by `order` is kept; without an order, the greatest by all their columns,
+    so that a run done again gives the same.
+    """
+    rows = F.struct(*new.columns)
+    last = F.struct(*(c.alias(f"_{i}") for i, c in enumerate(order)), *(c for c in new.columns if not isinstance(new.schema[c].dataType, MapType)))
+    new = new.groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).agg(F.max_by(rows, last).alias("_r")).select("_r.*")
     return old.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(new, allowMissingColumns=True)
 
 

@@ -116,14 +116,14 @@ def cached(spark: SparkSession, path: str, key: str, build, hours: float = 24) -
     return spark.read.parquet(at).drop("refreshed_at")
 
 
-def log_run(df: DataFrame, path: str) -> None:
-    """Appends a run's rows with their time."""
-    df.withColumn("created_at", F.current_timestamp()).write.mode("append").parquet(path)
+def log_run(df: DataFrame, path: str, at: str | None = None) -> None:
+    """Appends a run's rows with their time: column `at`, or now."""
+    df.withColumn("created_at", F.col(at) if at else F.current_timestamp()).write.mode("append").parquet(path)
 
 
-def last_runs(spark: SparkSession, path: str, n: int) -> DataFrame:
-    """The newest n rows, 1 to 50."""
-    return spark.read.parquet(path).orderBy(F.col("created_at").desc()).limit(max(1, min(n, 50)))
+def last_runs(spark: SparkSession, path: str, n: int, then: Sequence[Column] = ()) -> DataFrame:
+    """The newest n rows, 1 to 50; `then` orders rows of one time."""
+    return spark.read.parquet(path).orderBy(F.col("created_at").desc(), *then).limit(max(1, min(n, 50)))
 
 
 def stale(updated_at: Column, now: Column, hours: int = 36) -> Column:

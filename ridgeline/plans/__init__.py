@@ -3,7 +3,7 @@
 
 def all_queries():
     """(queries, SQL) of every module of plans."""
-    from ridgeline.plans import growth, health, matching, places, serving, visitors  # noqa: F401
+    from ridgeline.plans import details, growth, health, matching, places, serving, visitors  # noqa: F401
     from ridgeline.plans.registry import QUERIES, SQL
 
     return QUERIES, SQL
