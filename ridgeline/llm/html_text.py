@@ -38,10 +38,11 @@ NAMES = frozenset(
     "share sharing social widget toolbar pagination pager search skip tags copyright legal disclaimer".split()
 )
 MAIN = frozenset("article content main post entry story maincontent".split())
+#: Words that say nothing by themselves: inside an article a name of several words is noise only if the rest is of these.
+NEUTRAL = MAIN | frozenset("area bar block body bottom box btn button buttons container footer group header inline inner item items left link links list outer panel region right row section site slot text title top unit widget wrap wrapper zone".split())
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
-#: What follows a tag's name up to its >; quotes that are closed may hold one. Possessive, so it never goes back.
-_REST = re.compile(r"(?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+")
+_STOP = re.compile("[\"'>]")
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _PARTS = re.compile(r"[^a-z0-9]+")
 _ENDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "td": ("tr", "table"), "th": ("tr", "table"), "tr": ("table",), "option": ("select",)}
@@ -61,7 +62,8 @@ def parse(source: str) -> Node:
     root = Node("#root")
     stack, raw = [root], None
     open_tags: dict[str, int] = {}
-    at, end = 0, len(source)
+    ends: dict[int, int] = {}
+    at, end, plain_end = 0, len(source), -1
 
     def say(text: str) -> None:
         if text:
@@ -91,10 +93,12 @@ def parse(source: str) -> Node:
             at = start + 1
             continue
         name, after = m[0], m.end()
-        stop = _REST.match(source, after).end()
-        if stop >= end or source[stop] != ">":  # a quote that is never closed: the tag ends at the next >
-            stop = source.find(">", after)
-            stop = end if stop < 0 else stop
+        stop = _tag_end(source, after, ends)
+        if stop < 0:  # a quote that is never closed: the tag ends at the next >
+            if plain_end < after:  # where it is past the tag before, it is this one's too
+                plain_end = source.find(">", after)
+                plain_end = end if plain_end < 0 else plain_end
+            stop = plain_end
         rest, at = source[after:stop], stop + 1
         name = name.lower()
         if closing:
@@ -124,6 +128,29 @@ def parse(source: str) -> Node:
     return root
 
 
+def _tag_end(source: str, at: int, ends: dict[int, int]) -> int:
+    """The next > outside quotes from a place outside them, or -1. ends: what is known of places behind closing quotes, so
+    that tags which run into each other go over a quote once, not each of them to the end of the page."""
+    passed = []
+    while True:
+        m = _STOP.search(source, at)
+        if m is None or m[0] == ">":
+            found = m.start() if m else -1
+            break
+        close = source.find(m[0], m.end())
+        if close < 0:
+            found = -1
+            break
+        at = close + 1
+        if at in ends:
+            found = ends[at]
+            break
+        passed.append(at)
+    for place in passed:
+        ends[place] = found
+    return found
+
+
 def _count(open_tags: dict[str, int], node: Node, n: int) -> None:
     open_tags[node.tag] = open_tags.get(node.tag, 0) + n
 
@@ -147,10 +174,19 @@ def named_noise(node: Node, in_article: bool) -> bool:
         return True
     a = node.attributes
     if not a or node.tag in ("html", "body", "main", "article"):
-        return node.tag == "article" and bool(NAMES & {"comment", "comments", "reply"} & set(_PARTS.split(f"{a.get('class', '')} {a.get('id', '')}".lower())))
+        return node.tag == "article" and any(_noise(n, True) and {"comment", "comments", "reply"} & set(_PARTS.split(n)) for n in f"{a.get('class', '')} {a.get('id', '')}".lower().split())
     if a.get("role", "").lower() in ROLES or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower():
         return True
-    return any(part in NAMES for name in f"{a.get('class', '')} {a.get('id', '')}".lower().split() for part in (*_PARTS.split(name), _PARTS.sub("", name)))
+    return any(_noise(name, in_article) for name in f"{a.get('class', '')} {a.get('id', '')}".lower().split())
+
+
+def _noise(name: str, in_article: bool) -> bool:
+    """Whether a class or an id names noise: as a whole, or by a word of it. Inside an article one word isn't enough
+    ("legal-analysis", "share-price"); the others must be noise too or say nothing ("share-buttons")."""
+    if _PARTS.sub("", name) in NAMES:
+        return True
+    parts = [p for p in _PARTS.split(name) if p]
+    return any(p in NAMES for p in parts) and (not in_article or all(p in NAMES or p in NEUTRAL or p.isdigit() for p in parts))
 
 
 def blocks(node: Node, cut: frozenset[int], in_article: bool = False) -> list[str]:

@@ -32,6 +32,19 @@ def test_broken_markup():
         assert time.process_time() - began < 20
 
 
+def test_tags_that_run_into_each_other_take_linear_time():
+    for bad in ('<a ">" ' * 150_000, "<a '>' " * 150_000, """<a ">'" '""" * 100_000, '<a b="' * 150_000, '<a x=">" y ' * 100_000 + "'", "<a 'x' <b " * 100_000):
+        began = time.process_time()
+        parse(bad)
+        assert time.process_time() - began < 12
+
+
+def test_article_text_stays_under_names_that_only_hold_a_noise_word():
+    page = '<article class="comment-free"><div class="legal-analysis"><p>law</p></div><p class="share-price">price</p><p id="ad-astra">stars</p><div class="share-buttons">go</div><div class="post-comments">c</div><div class="ad-banner">a</div><div class="side-bar ad">b</div><div class="comment_12">d</div></article>'
+    assert main_text(page, NONE) == "law\nprice\nstars"
+    assert main_text('<div class="share-price">x</div><p>y</p>', NONE) == "y"
+
+
 def pages(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string")
 
