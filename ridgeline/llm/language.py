@@ -3,7 +3,8 @@
 Subwords are 3 to 5 bytes of lower-cased text inside a word or touching its ends. A document's vector is the mean of its
 subwords' embeddings. As the softmax layer is linear, prediction uses the product of both, one row per hash bucket.
 The model is trained on the driver on a bounded sample of labelled rows; a temperature fitted on part of that sample
-calibrates the scores, and documents below a calibrated score can be rejected.
+calibrates the scores. Documents can be rejected by two bounds taken from that part: the best score, and the share of
+subwords that no training text has, which tells an unlearned language or junk from a short text.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from ridgeline.llm.common import narrow
 
 BUCKETS = 1 << 15
+FINE = 22  # bits of a subword's hash
 DIMENSIONS = 16
 SIZES = (3, 4, 5)
 PART = 1 << 18  # bytes whose subwords are hashed at once
@@ -33,7 +35,11 @@ _LETTER = regex.compile(r"\p{L}").search
 
 
 def subwords(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(document, bucket) of all subwords of all texts, in parts; documents ascend within a part."""
+    """(document, hash of FINE bits) of all subwords of all texts, in parts; documents ascend within a part.
+
+    The leading bits of a hash are its bucket of the embeddings (see bucket_of), all of it its place in the filter of
+    subwords that training has seen, which is so much larger that few others fall on the same place.
+    """
     raw = [b" " + t.lower().encode("utf-8", "surrogatepass").translate(_WORDS) + b" " for t in texts]
     lengths = np.fromiter(map(len, raw), np.int64, len(raw))
     data, ends = np.frombuffer(b"".join(raw), np.uint8), np.cumsum(lengths)
@@ -55,7 +61,11 @@ def subwords(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
                     inner |= space[k : k + n]
             ok = np.nonzero(~inner)[0]
             h = h[ok] * np.uint32(0x9E3779B1)
-            yield doc[ok], (h >> np.uint32(17)).astype(np.int64)
+            yield doc[ok], (h >> np.uint32(32 - FINE)).astype(np.int64)
+
+
+def bucket_of(fine: np.ndarray) -> np.ndarray:
+    return fine >> (FINE - BUCKETS.bit_length() + 1)
 
 
 @dataclass
@@ -64,20 +74,34 @@ class Model:
     rows: np.ndarray  # (BUCKETS, languages): embeddings times the linear layer
     bias: np.ndarray
     temperature: float = 1.0
-    reject_below: float = 0.0
+    reject_below: float = 0.0  # by the best language's score
+    unseen: np.ndarray | None = None  # (2 ** FINE,): whether no training text has a subword of this hash
+    reject_unseen: float = 1.0  # by the share of such subwords
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """(texts, languages): calibrated probabilities."""
         return softmax(self.logits(texts) / self.temperature)
 
     def logits(self, texts: list[str]) -> np.ndarray:
-        total, count = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
-        for doc, bucket in subwords(texts):
+        return self._means(texts)[0]
+
+    def judged(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(scores, rejected): calibrated probabilities, and whether the best is too low or too many subwords are unknown."""
+        logits, unseen = self._means(texts)
+        scores = softmax(logits / self.temperature)
+        return scores, (scores.max(axis=1) < self.reject_below) | (unseen > self.reject_unseen)
+
+    def _means(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(logits, share of unseen subwords) of each text."""
+        total, new, count = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts)), np.zeros(len(texts))
+        for doc, fine in subwords(texts):
             if len(doc):
                 heads = np.nonzero(np.append(True, doc[1:] != doc[:-1]))[0]
-                total[doc[heads]] += np.add.reduceat(self.rows[bucket], heads, axis=0)
+                total[doc[heads]] += np.add.reduceat(self.rows[bucket_of(fine)], heads, axis=0)
+                if self.unseen is not None:
+                    new[doc[heads]] += np.add.reduceat(self.unseen[fine].astype(np.float64), heads)
                 count[doc[heads]] += np.diff(np.append(heads, len(doc)))
-        return total / np.maximum(count, 1)[:, None] + self.bias
+        return total / np.maximum(count, 1)[:, None] + self.bias, new / np.maximum(count, 1)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -93,13 +117,16 @@ def train(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 1.
     order = rng.permutation(len(texts))
     cut = max(1, len(texts) * 4 // 5)
     found: list[tuple[np.ndarray, np.ndarray]] = []  # each document's buckets and how often it has them
+    trained, unseen = set(order[:cut].tolist()), np.ones(1 << FINE, bool)
     for at in range(0, len(texts), 16):
         part = texts[at : at + 16]
         bags: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in part]
-        for doc, bucket in subwords(part):
+        for doc, fine in subwords(part):
             heads = np.nonzero(np.append(True, doc[1:] != doc[:-1]))[0][: len(doc)]
-            for d, mine in zip(doc[heads], np.split(bucket, heads[1:]), strict=True) if len(doc) else ():
-                bags[d].append(mine)
+            for d, mine in zip(doc[heads], np.split(fine, heads[1:]), strict=True) if len(doc) else ():
+                bags[d].append(bucket_of(mine))
+                if at + d in trained:
+                    unseen[mine] = False
         for bag in bags:
             buckets, counts = np.unique(np.concatenate(bag), return_counts=True)
             found.append((buckets.astype(np.int32), counts.astype(np.float32)))
@@ -126,8 +153,11 @@ def train(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 1.
     logits, truth = np.concatenate([model.logits([texts[k] for k in rest[at : at + 64]]) for at in range(0, len(rest), 64)]), y[rest]
     tries = np.geomspace(0.05, 20, 60)
     model.temperature = float(min(tries, key=lambda t: -np.log(softmax(logits / t)[np.arange(len(rest)), truth] + 1e-12).mean()))
-    top = np.sort(softmax(logits / model.temperature).max(axis=1))
-    model.reject_below = float(min(0.5, top[int(0.002 * len(top))] * 0.9))  # keeps at least 99.8 of 100 labelled documents
+    # Both bounds leave room beyond 99.9 of 100 of the labelled documents that the weights weren't trained on.
+    model.reject_below = float(np.quantile(softmax(logits / model.temperature).max(axis=1), 0.001, method="lower") * 0.7)
+    model.unseen = unseen
+    share = np.concatenate([model._means([texts[k] for k in rest[at : at + 64]])[1] for at in range(0, len(rest), 64)])
+    model.reject_unseen = float(min(1.0, np.quantile(share, 0.999, method="higher") * 1.25 + 0.1))
     return model
 
 
@@ -159,12 +189,13 @@ def language_of(text: Column, model: Model | None) -> Column:
     def language(text: pd.Series) -> pd.DataFrame:
         m = sent.value
         known = np.array([t is not None and _LETTER(t) is not None for t in text], bool) if m else np.zeros(len(text), bool)
-        names, score = np.full(len(text), UNKNOWN, object), np.zeros(len(text))
+        names, score, rejected = np.full(len(text), UNKNOWN, object), np.zeros(len(text)), np.ones(len(text), bool)
         if known.any():
-            p = m.scores(text[known].tolist())
+            p, refused = m.judged(text[known].tolist())
             best = p.argmax(axis=1)
             names[known], score[known] = np.array(m.languages, object)[best], p[np.arange(len(p)), best]
-        return pd.DataFrame({"lang_pred": names, "score": score, "rejected": ~known | (score < (m.reject_below if m else 1))})
+            rejected[known] = refused
+        return pd.DataFrame({"lang_pred": names, "score": score, "rejected": rejected})
 
     return language(text)
 
