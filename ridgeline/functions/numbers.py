@@ -63,6 +63,12 @@ def pyeong_price(amount: Column, m2: Column) -> Column:
     return js_round(amount / (m2 / M2_PER_PYEONG))
 
 
+def quote_pyeong(mid: Column, supply: Column, exclusive: Column) -> Column:
+    """Price per pyeong of a quote: by the supplied area where it is known, else by the exclusive one; null without either."""
+    size = F.coalesce(F.nullif(supply, F.lit(0.0)), F.nullif(exclusive, F.lit(0.0)))
+    return F.when((mid != 0) & size.isNotNull(), js_round(mid / size))
+
+
 def zoom_level(zoom: float) -> str:
     return next((level for least, level in ((16, "apartment"), (13, "dong"), (11, "sigungu")) if zoom >= least), "sido")
 

@@ -114,3 +114,15 @@ def insert_new(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame
 def replace_part(old: DataFrame, incoming: DataFrame, part: Column) -> DataFrame:
     """old without the rows of a part (a condition), with all of incoming, which may be empty."""
     return old.where(~F.coalesce(part, F.lit(False))).unionByName(incoming, allowMissingColumns=True)
+
+
+def merge_region(old: Sequence[DataFrame], incoming: Sequence[DataFrame], part: Column, keys: Sequence[str]) -> list[DataFrame]:
+    """Tables that hang on each other (the first has the region, each next one the key of the one before) with all rows of a
+    region, and all that hang on them, replaced by the incoming ones; rows that hang on nothing stay."""
+    gone = old[0].where(F.coalesce(part, F.lit(False)))
+    out = [replace_part(old[0], incoming[0], part)]
+    for table, new, key in zip(old[1:], incoming[1:], keys, strict=True):
+        away = gone.select(key).distinct()
+        gone = table.join(away, key, "left_semi")
+        out.append(table.join(away, key, "left_anti").select(*table.columns).unionByName(new, allowMissingColumns=True))
+    return out

@@ -139,6 +139,20 @@ def s15(spark, sf):
     return entity.upsert(old, new, ["c_custkey"], order=[F.col("o_orderdate"), F.col("o_orderkey")]).select("c_custkey", "c_name", "amount")
 
 
+@query("s7_merge_cascade", "with c as (select c_custkey, c_nationkey from customer), o as (select o_orderkey, o_custkey from orders), l as (select l_orderkey, l_extendedprice from lineitem), gone as (select c_custkey from c where c_nationkey = 3), mo as (select o_orderkey from o where o_custkey in (select * from gone)) select 'apartments' as part, cast(count(*) as bigint) as n, 0::double as amount from c where c_nationkey <> 3 or c_custkey % 2 = 0 union all select 'types', count(*), 0 from (select o_orderkey from o where o_custkey not in (select * from gone) union all select o_orderkey from o join c on o_custkey = c_custkey where c_nationkey = 3 and c_custkey % 2 = 0) union all select 'prices', count(*), round(sum(p), 2) from (select l_extendedprice as p from l where l_orderkey not in (select * from mo) union all select 1.0 from l join o on l_orderkey = o_orderkey join c on o_custkey = c_custkey where c_nationkey = 3 and c_custkey % 2 = 0)", base=False)
+def s7(spark, sf):
+    """A region comes in anew: half of its customers with their orders, and their lines at a price of one."""
+    t = lambda n, *c: b.table(spark, sf, n).select(*c)
+    old = (t("customer", "c_custkey", "c_nationkey"), t("orders", "o_orderkey", F.col("o_custkey").alias("c_custkey")), t("lineitem", F.col("l_orderkey").alias("o_orderkey"), "l_extendedprice"))
+    new = [old[0].where("c_nationkey = 3 and c_custkey % 2 = 0")]
+    new.append(old[1].join(new[0].select("c_custkey"), "c_custkey", "left_semi").select("o_orderkey", "c_custkey"))
+    new.append(old[2].join(new[1].select("o_orderkey"), "o_orderkey", "left_semi").withColumn("l_extendedprice", F.lit(1.0)))
+    a, ty, p = entity.merge_region(old, new, F.col("c_nationkey") == 3, ("c_custkey", "o_orderkey"))
+    count = lambda df, name, amount: df.agg(F.lit(name).alias("part"), F.count("*").alias("n"), amount.alias("amount"))
+    none = F.lit(0.0)
+    return count(a, "apartments", none).unionByName(count(ty, "types", none)).unionByName(count(p, "prices", F.round(F.sum("l_extendedprice"), 2)))
+
+
 # Labels, overviews, status
 
 AGENTS = ("Mozilla/5.0 (iPhone; CPU iPhone OS 17_2 like Mac OS X) Version/17.2 Mobile Safari/604.1", "Mozilla/5.0 (Windows NT 10.0) Chrome/120.0 Safari/537.36 Edg/120.1", "Mozilla/5.0 (Linux; Android 14; SM-X) SamsungBrowser/23.0 Chrome/115 Mobile", "Mozilla/5.0 (Macintosh; Intel Mac OS X 10_15_7) Gecko Firefox/121.0", "")
