@@ -247,3 +247,44 @@ def region_tiles(points: DataFrame, region: str, size: float) -> DataFrame:
     off = F.abs(F.col("s") + (F.col("row") + 0.5) * size - (F.col("s") + F.col("n")) / 2) + F.abs(F.col("w") + (F.col("col") + 0.5) * size - (F.col("w") + F.col("e")) / 2)
     place = F.row_number().over(Window.partitionBy(region).orderBy(F.round(off, 9), "row", "col")).cast("int")
     return cells.select(region, "row", "col", F.round(F.col("s") + F.col("row") * size, 6).alias("south"), F.round(F.col("w") + F.col("col") * size, 6).alias("west"), place.alias("place"))
+
+
+@query("p34_status_overview", "with " + more("heads jobs queue", "select 'counts' as part, 'complexes' as key, cast(count(*) as bigint) as n, null::varchar as first, null::varchar as last from complexes union all select 'counts', 'types', count(*), null, null from (select distinct complex_id, type_id from monthly) union all select 'counts', 'prices', count(*), min(month), max(month) from monthly union all select 'months', month, count(*), null, null from monthly group by month union all select 'jobs', status, count(*), strftime(min(created_at), '%Y-%m-%d'), strftime(max(created_at), '%Y-%m-%d') from jobs group by status union all select 'queue', status, count(*), strftime(min(updated_at), '%Y-%m-%d'), strftime(max(updated_at), '%Y-%m-%d') from queue group by status union all select 'snapshots', status, count(*), min(end_month), max(end_month) from heads group by status").removeprefix("with "))
+def p34_status(spark, sf):
+    """What is stored and how far collection is, as rows of a part and a key: counts and months of prices, jobs, their
+    queue, and snapshots by status. Prices are read once and counted by type and month first."""
+    m = entity.shared_table(bound_monthly(spark, sf).groupBy("complex_id", "type_id", "month").agg(F.count("*").alias("n")), "months")
+    day = lambda f, c: F.date_format(f(c), "yyyy-MM-dd")
+    none = F.lit(None).cast("string")
+
+    def rows(df: DataFrame, part: str, key: Column, first: Column = none, last: Column = none, n: Column | None = None) -> DataFrame:
+        return df.groupBy(key.alias("key")).agg((F.count("*") if n is None else n).alias("n"), first.alias("first"), last.alias("last")).select(F.lit(part).alias("part"), "key", "n", "first", "last")
+
+    found = [
+        rows(b.complexes(spark, sf), "counts", F.lit("complexes")),
+        rows(m.select("complex_id", "type_id").distinct(), "counts", F.lit("types")),
+        rows(m, "counts", F.lit("prices"), F.min("month"), F.max("month"), F.sum("n")),
+        rows(m, "months", F.col("month"), n=F.sum("n")),
+        rows(b.jobs(spark, sf), "jobs", F.col("status"), day(F.min, "created_at"), day(F.max, "created_at")),
+        rows(b.queue(spark, sf), "queue", F.col("status"), day(F.min, "updated_at"), day(F.max, "updated_at")),
+        rows(b.headers(spark, sf), "snapshots", F.col("status"), F.min("end_month"), F.max("end_month")),
+    ]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+@query("s16_collected", "with inc as (select l_suppkey as apt_id, l_suppkey || ':' || l_linenumber as type_id, l_linenumber * 10.0 as m2, strftime(l_shipdate, '%Y%m') as month, arg_max(cast(floor(l_extendedprice) as bigint), (l_shipdate, l_orderkey, l_partkey, l_extendedprice)) as price from lineitem where l_suppkey % 2 = 0 group by 1, 2, 3, 4), old_t as (select c_custkey as apt_id, c_custkey || ':1' as type_id, 59.0 as m2 from customer), t as (select distinct apt_id, type_id, m2 from inc), new_t as (select * from t union all select * from old_t where type_id not in (select type_id from t)), a as (select s_suppkey as apt_id from supplier where s_suppkey % 2 = 0 union select c_custkey from customer) select 'apartments' as part, cast(count(*) as bigint) as n, 0::double as total from a union all select 'types', count(*), sum(m2)::double from new_t union all select 'prices', count(*), sum(price)::double from inc", base=False)
+def s16(spark, sf):
+    """Collected apartments, types and monthly prices take the place of those with their ids, each table by its own key."""
+    li = b.table(spark, sf, "lineitem").where("l_suppkey % 2 = 0")
+    c = b.table(spark, sf, "customer").select(F.col("c_custkey").alias("apt_id"))
+    type_id = lambda x, n: F.concat_ws(":", x.cast("string"), n.cast("string"))
+    quotes = li.select(F.col("l_suppkey").alias("apt_id"), type_id(F.col("l_suppkey"), F.col("l_linenumber")).alias("type_id"), (F.col("l_linenumber") * 10.0).alias("m2"), months.of(F.col("l_shipdate")).alias("month"), F.floor("l_extendedprice").cast("long").alias("price"), F.struct("l_shipdate", "l_orderkey", "l_partkey", "l_extendedprice").alias("at"))
+    apartments = entity.upsert(c, b.table(spark, sf, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("apt_id")), ["apt_id"])
+    types = entity.upsert(c.select("apt_id", type_id(F.col("apt_id"), F.lit(1)).alias("type_id"), F.lit(59.0).alias("m2")), quotes.select("apt_id", "type_id", "m2"), ["type_id"])
+    old = quotes.select("type_id", "month", "price").where("false")
+    stored = entity.upsert(old, quotes.select("type_id", "month", "price", "at"), ["type_id", "month"], order=[F.col("at")])
+    count = lambda df, name, total: df.agg(F.lit(name).alias("part"), F.count("*").alias("n"), total.cast("double").alias("total"))
+    return count(apartments, "apartments", F.lit(0.0)).unionByName(count(types, "types", F.sum("m2"))).unionByName(count(stored, "prices", F.sum("price")))
