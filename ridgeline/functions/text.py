@@ -91,6 +91,10 @@ def user_agent(ua: Column) -> Column:
     )
 
 
+#: Hosts of the machine itself, and how addresses of local networks begin.
+LOCAL_HOSTS, LOCAL_NETWORKS = ("localhost", "127.0.0.1", "::1"), ("192.168.", "10.")
+
+
 def host_of(host: Column) -> Column:
     """A host without scheme, path and port."""
     h = F.split_part(F.regexp_replace(F.lower(F.trim(F.coalesce(host, F.lit("")))), "^https?://", ""), F.lit("/"), F.lit(1))
@@ -101,7 +105,7 @@ def host_of(host: Column) -> Column:
 def environment(host: Column, production: tuple[str, ...] = (), development: tuple[str, ...] = ()) -> Column:
     """The environment of a host: named ones, else local addresses, else unknown."""
     h = host_of(host)
-    local = h.isin("localhost", "127.0.0.1", "::1") | F.startswith(h, F.lit("192.168.")) | F.startswith(h, F.lit("10."))
+    local = reduce(lambda x, net: x | F.startswith(h, F.lit(net)), LOCAL_NETWORKS, h.isin(*LOCAL_HOSTS))
     return F.when(h.isin(*development), "development").when(h.isin(*production), "production").when(local, "local").otherwise("unknown")
 
 

@@ -227,7 +227,7 @@ def coded_matches(complexes: DataFrame, apartments: DataFrame) -> DataFrame:
     lengths = [r[0] for r in complexes.select(F.length("lawd")).distinct().collect()]  # ten digits: ten lengths at most
     heads = F.array_distinct(F.transform(F.array(*map(F.lit, sorted(lengths))), lambda n: F.left("legal_code", n))) if lengths else F.array().cast("array<string>")
     a = apartments.withColumn("lawd", F.explode(heads)).where("length(lawd) > 0")
-    found = scored_matches(complexes, a.withColumn("spaced", F.col("address")), ["lawd"])
+    found = scored_matches(complexes, a, ["lawd"])
     where = apartments.select("apt_id", F.col("address").alias("spaced"))
     return found.join(where, "apt_id").where((F.col("adong") == F.col("dong")) | F.contains("spaced", F.col("dong")))
 
