@@ -82,10 +82,10 @@ def decode_media(df: DataFrame, media_col: str = "media") -> DataFrame:
     return df.withColumn("pixels", pixels(media_col))
 
 
-def media_digest(df: DataFrame) -> DataFrame:
+def media_digest(df: DataFrame, padded_tail: bool = False) -> DataFrame:
     """What op2 reports of encode_media's rows: hashes of the payload decoded from the stored form and of that, and features.
 
-    Each image is decoded, digested and let go before the next.
+    tail_crc32 is of the last 16 bytes of the text, or with padded_tail of the payload as it was read back. Each image is decoded, digested and let go before the next.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -94,7 +94,7 @@ def media_digest(df: DataFrame) -> DataFrame:
             for n, media in zip(b["n_bytes"], b["media"], strict=True):
                 pixels = load(media)
                 data = pixels.tobytes()
-                tail = data[max(0, n - 16) : n]
+                tail = data[-16:] if padded_tail else data[max(0, n - 16) : n]
                 out.append((n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), features(pixels)))
             frame = pd.DataFrame(out, columns=["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
             frame.insert(0, "doc_id", b["doc_id"].to_numpy())

@@ -21,7 +21,7 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ridgeline.llm.media import encode_media, media_digest
 
-    return media_digest(encode_media(documents(spark, sf_dir)))
+    return media_digest(encode_media(documents(spark, sf_dir)), padded_tail=True)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

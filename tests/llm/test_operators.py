@@ -17,7 +17,7 @@ from ridgeline.llm.line_dedup import dedup_lines
 from ridgeline.llm.media import decode_media, encode_media, media_digest, payload
 from ridgeline.llm.packing import pack, shortest_pack_first, slots
 from ridgeline.llm.pii import KINDS, base_spans, find, find_personal_data, mask, tokens, train
-from ridgeline.llm.queries import tokenizer_file
+from ridgeline.llm.queries import QUERIES, tokenizer_file
 from ridgeline.llm.repeats import remove_repeats
 from ridgeline.llm.simhash import drop_near_duplicates, fingerprint, near_duplicates
 
@@ -50,6 +50,16 @@ def test_media_round_trip(corpus):
         assert r["tail_crc32"] == zlib.crc32(data[max(0, n - 16) : n])
 
 
+def test_op2_tail_is_of_the_payload_read_back(corpus, tmp_path):
+    corpus.write.parquet(str(tmp_path / "documents.parquet"))
+    texts, found = texts_of(corpus), plain(QUERIES["op2_media_columns"](corpus.sparkSession, str(tmp_path)))
+    assert len(found) == len(texts)
+    for r in found:
+        raw = (texts[r["doc_id"]] or "").encode()
+        data = raw + b" " * (-len(raw) % 192 if raw else 192)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]))
+
+
 def test_decode_media(corpus):
     texts = texts_of(corpus)
     for r in decode_media(encode_media(corpus)).collect():
