@@ -27,7 +27,7 @@ def items(monthly: DataFrame, complexes: DataFrame, start: str = START, end: str
     """Complexes with growth as the ratio of mean prices per pyeong over their types."""
     means = ends(monthly, start, end).where("start_pyeong is not null").groupBy("complex_id").agg(F.avg("start_pyeong").alias("s"), F.avg("end_pyeong").alias("e"), F.count("*").cast("int").alias("types"))
     found = means.join(complexes, "complex_id")
-    return found.select(*complexes.columns, "types", numbers.js_round(F.col("s")).cast("int").alias("start_pyeong"), numbers.js_round(F.col("e")).cast("int").alias("end_pyeong"), F.round(numbers.growth(F.col("s"), F.col("e")), 6).alias("growth_rate"), numbers.js_round(F.col("e") - F.col("s")).cast("int").alias("growth_amount"))
+    return found.select(*complexes.columns, "types", numbers.js_round(F.col("s")).cast("int").alias("start_pyeong"), numbers.js_round(F.col("e")).cast("int").alias("end_pyeong"), numbers.rounded(numbers.growth(F.col("s"), F.col("e")), 6).alias("growth_rate"), numbers.js_round(F.col("e") - F.col("s")).cast("int").alias("growth_amount"))
 
 
 def bound_items(spark: SparkSession, sf: str) -> DataFrame:
@@ -169,7 +169,7 @@ def j33(spark, sf):
     rows = deals.select(*prices.TYPE, "order_id", "line_no", "month", "amount", F.explode(F.array(*map(F.lit, OFFSETS))).alias("back"))
     rows = rows.withColumn("base_month", months.add(F.col("month"), -F.col("back"))).drop("month")
     found = prices.asof_many(rows, prices.monthly(deals), prices.TYPE, "base_month", ["price"])
-    return found.select(*prices.TYPE, "order_id", "line_no", "amount", "back", "base_month", F.col("found.month").alias("found_month"), F.col("found.price").alias("base_price"), F.round(numbers.growth(F.col("found.price"), F.col("amount")), 6).alias("change"))
+    return found.select(*prices.TYPE, "order_id", "line_no", "amount", "back", "base_month", F.col("found.month").alias("found_month"), F.col("found.price").alias("base_price"), numbers.rounded(numbers.growth(F.col("found.price"), F.col("amount")), 6).alias("change"))
 
 
 @query("j34_nearest_area", "select complex_id, arg_min(m2, (abs(m2 - 24.8), order_id, line_no)) as m2 from deals where abs(m2 - 24.8) <= 0.35 group by 1")
@@ -225,14 +225,14 @@ def a17(spark, sf):
 @query("a18_neighborhood_rank", "with n as (select dong_key, cast(count(*) as bigint) as areas, avg(start_pyeong) as s, avg(end_pyeong) as e from ends join complexes using (complex_id) where start_pyeong is not null group by 1) select dong_key, areas, round(e / s - 1, 6) as growth_rate, cast(row_number() over (order by round(e / s - 1, 6) desc nulls last, dong_key) as int) as rank from n")
 def a18(spark, sf):
     e = ends(bound_monthly(spark, sf)).where("start_pyeong is not null").join(b.complexes(spark, sf).select("complex_id", "dong_key"), "complex_id")
-    n = e.groupBy("dong_key").agg(F.count("*").alias("areas"), F.round(numbers.growth(F.avg("start_pyeong"), F.avg("end_pyeong")), 6).alias("growth_rate"))
+    n = e.groupBy("dong_key").agg(F.count("*").alias("areas"), numbers.rounded(numbers.growth(F.avg("start_pyeong"), F.avg("end_pyeong")), 6).alias("growth_rate"))
     return ranks.table_rank(n, [F.col("growth_rate").desc_nulls_last(), F.col("dong_key").asc()], "rank")
 
 
 @query("a19_index_chart", "with m as (select dong_key, month, avg(pyeong) as p from monthly join complexes using (complex_id) where month between '199801' and '199812' group by 1, 2) select dong_key, month, round(100 * p / first_value(p) over (partition by dong_key order by month), 1) as index from m")
 def a19(spark, sf):
     m = bound_monthly(spark, sf).where(F.col("month").between("199801", "199812")).join(b.complexes(spark, sf).select("complex_id", "dong_key"), "complex_id").groupBy("dong_key", "month").agg(F.avg("pyeong").alias("p"))
-    return m.select("dong_key", "month", F.round(100 * F.col("p") / F.first(F.when(F.col("p") > 0, F.col("p")), True).over(Window.partitionBy("dong_key").orderBy("month").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), 1).alias("index"))
+    return m.select("dong_key", "month", numbers.rounded(100 * F.col("p") / F.first(F.when(F.col("p") > 0, F.col("p")), True).over(Window.partitionBy("dong_key").orderBy("month").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), 1).alias("index"))
 
 
 REP = "rep as (select complex_id, type_id, start_price, end_price, start_pyeong, end_pyeong, round(end_price / start_price - 1, 6) as growth_rate, end_price - start_price as growth_amount from ends where start_price is not null qualify row_number() over (partition by complex_id order by round(end_price / start_price - 1, 6) desc nulls last, end_price - start_price desc, end_price desc, type_id) = 1), " + f"banded as (select *, {BAND.format(x='end_price')} as band_key from rep)"
@@ -240,14 +240,14 @@ REP = "rep as (select complex_id, type_id, start_price, end_price, start_pyeong,
 
 def representatives(spark, sf):
     """Per complex the type whose sale price grew most, in the band of its end price."""
-    e = ends(bound_monthly(spark, sf)).where("start_price is not null").withColumns({"growth_rate": F.round(numbers.growth(F.col("start_price"), F.col("end_price")), 6), "growth_amount": F.col("end_price") - F.col("start_price")})
+    e = ends(bound_monthly(spark, sf)).where("start_price is not null").withColumns({"growth_rate": numbers.rounded(numbers.growth(F.col("start_price"), F.col("end_price")), 6), "growth_amount": F.col("end_price") - F.col("start_price")})
     rep = ranks.first_by(e, ["complex_id"], [F.col("growth_rate").desc_nulls_last(), F.col("growth_amount").desc(), F.col("end_price").desc(), F.col("type_id")])
     return rep.withColumn("band_key", numbers.band_key(F.col("end_price")))
 
 
 @query("a21_price_bands", f"with {REP} select band_key, cast(count(*) as bigint) as complexes, cast(round(avg(start_price)) as int) as start_price, cast(round(avg(end_price)) as int) as end_price, round(avg(end_pyeong) / avg(start_pyeong) - 1, 6) as growth_rate, max(growth_rate) as top_growth, arg_max(complex_id, (growth_rate, -complex_id)) as top_complex from banded group by 1")
 def a21(spark, sf):
-    return representatives(spark, sf).groupBy("band_key").agg(F.count("*").alias("complexes"), prices.mean_int("start_price").alias("start_price"), prices.mean_int("end_price").alias("end_price"), F.round(numbers.growth(F.avg("start_pyeong"), F.avg("end_pyeong")), 6).alias("growth_rate"), F.max("growth_rate").alias("top_growth"), F.max_by("complex_id", F.struct("growth_rate", -F.col("complex_id"))).alias("top_complex"))
+    return representatives(spark, sf).groupBy("band_key").agg(F.count("*").alias("complexes"), prices.mean_int("start_price").alias("start_price"), prices.mean_int("end_price").alias("end_price"), numbers.rounded(numbers.growth(F.avg("start_pyeong"), F.avg("end_pyeong")), 6).alias("growth_rate"), F.max("growth_rate").alias("top_growth"), F.max_by("complex_id", F.struct("growth_rate", -F.col("complex_id"))).alias("top_complex"))
 
 
 @query("a24_region_rollup", "select case grouping_id(sido_key, sigungu_key, dong_key) when 3 then 'sido' when 1 then 'sigungu' else 'dong' end as level, sido_key, sigungu_key, dong_key, round(avg(lat), 6) as lat, round(avg(lng), 6) as lng, round(avg(growth_rate), 6) as growth_rate, cast(floor(avg(growth_amount) + 0.5) as int) as growth_amount, cast(count(distinct complex_id) as bigint) as complexes, cast(sum(types) as bigint) as types from items group by grouping sets ((sido_key), (sido_key, sigungu_key), (sido_key, sigungu_key, dong_key))")
@@ -311,7 +311,7 @@ def w15(spark, sf):
 @query("w16_rank_percent", "select complex_id, round(row_number() over (order by growth_rate desc nulls last, complex_id) / count(*) over () * 100, 6) as percent from items")
 def w16(spark, sf):
     r = ranks.scope_ranks(bound_items(spark, sf), {"all": []}, best())
-    return r.select("complex_id", F.round(F.col("all_rank") / F.col("all_total") * 100, 6).alias("percent"))
+    return r.select("complex_id", numbers.rounded(F.col("all_rank") / F.col("all_total") * 100, 6).alias("percent"))
 
 
 @query("w18_default_type", "select complex_id, arg_max(type_id, (n, type_id)) as type_id from (select complex_id, type_id, count(*) as n from deals group by 1, 2) group by 1")

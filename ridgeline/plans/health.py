@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.functions import months
+from ridgeline.functions import months, numbers
 from ridgeline.operators import bands, entity, snapshots
 from ridgeline.plans.growth import END, TODAY
 from ridgeline.plans.registry import query
@@ -96,7 +96,7 @@ def recent_deals(c: Context) -> DataFrame:
 def complex_coverage(c: Context) -> DataFrame:
     n = c.complexes.agg(F.count("*").alias("n"), F.count_if(F.col("lat").isNotNull() & F.col("lng").isNotNull()).alias("placed"), F.count_if(F.col("households") > 0).alias("counted"))
     a, h = F.try_divide("placed", "n"), F.try_divide("counted", "n")
-    return n.select(worst(F.col("n") == 0, (a < COORDINATES) | (h < HOUSEHOLDS)).alias("status"), F.struct("n", F.round(a, 6).alias("coordinates"), F.round(h, 6).alias("households")).alias("metrics"))
+    return n.select(worst(F.col("n") == 0, (a < COORDINATES) | (h < HOUSEHOLDS)).alias("status"), F.struct("n", numbers.rounded(a, 6).alias("coordinates"), numbers.rounded(h, 6).alias("households")).alias("metrics"))
 
 
 def _stale(c: Context, at: str = "updated_at") -> Column:

@@ -56,7 +56,7 @@ def bands_of(rows: DataFrame) -> DataFrame:
     best = F.struct(F.col("growth_rate").isNotNull(), "growth_rate", "growth_amount", "end_pyeong", -F.col("complex_id"))
     return rows.groupBy("band_key").agg(
         F.count("*").alias("complexes"), *(F.round(F.avg(c)).cast("int").alias(c) for c in ("start_price", "end_price", "start_pyeong", "end_pyeong")),
-        F.round(e - s).cast("int").alias("growth_amount"), F.round(F.when(s != 0, (e - s) / s), 6).alias("growth_rate"), F.max("growth_rate").alias("top_growth"), F.max_by("name", best).alias("top_name"),
+        F.round(e - s).cast("int").alias("growth_amount"), numbers.rounded(F.when(s != 0, (e - s) / s), 6).alias("growth_rate"), F.max("growth_rate").alias("top_growth"), F.max_by("name", best).alias("top_name"),
     )
 
 
@@ -408,7 +408,7 @@ def a20(spark, sf):
     t = m.groupBy("complex_id", "type_id").agg(pick(late, ("price", "pyeong"), F.min).alias("s"), pick(early, ("price", "pyeong"), F.max).alias("e")).where("s.month <= e.month")
     c = t.groupBy("complex_id").agg(*(F.avg(f"{x}.{y}").alias(f"{x}_{y}") for x in "se" for y in ("price", "pyeong")))
     g = c.withColumn("band_key", numbers.band_key(F.col("e_price")))
-    return g.groupBy("band_key").agg(F.count("*").alias("complexes"), numbers.js_round(F.avg("s_price")).alias("start_price"), numbers.js_round(F.avg("e_price")).alias("end_price"), F.round(numbers.growth(F.avg("s_pyeong"), F.avg("e_pyeong")), 6).alias("growth_rate"))
+    return g.groupBy("band_key").agg(F.count("*").alias("complexes"), numbers.js_round(F.avg("s_price")).alias("start_price"), numbers.js_round(F.avg("e_price")).alias("end_price"), numbers.rounded(numbers.growth(F.avg("s_pyeong"), F.avg("e_pyeong")), 6).alias("growth_rate"))
 
 
 @query("a39_deal_counts", "select m.complex_id, m.type_id, cast(coalesce(nullif(case when m.type_id = 1 then t.n else 0 end, 0), m.n) as bigint) as deals from (select complex_id, type_id, sum(deals) as n from monthly group by 1, 2) m join (select complex_id, count(*) as n from deals group by 1) t using (complex_id)")
@@ -514,14 +514,14 @@ def a21_items(spark, sf):
     """What is stored of all snapshots, by the full order."""
     path = all_snapshots(spark, sf, f"{shared(spark)}/items-{uuid.uuid4().hex}")
     rows = spark.read.parquet(f"{path}/items")
-    return rows.select(F.col("start_month").cast("string").alias("start_month"), "area_band", "basis", "min_households", "band_key", "complex_id", "type_id", F.round("growth_rate", 6).alias("growth_rate"), "rank")
+    return rows.select(F.col("start_month").cast("string").alias("start_month"), "area_band", "basis", "min_households", "band_key", "complex_id", "type_id", numbers.rounded("growth_rate", 6).alias("growth_rate"), "rank")
 
 
 @query("a21_stored_bands", f"{ALL_BANDS}, first as (select start_month, area_band, basis, min_households, band_key, name from ranked qualify row_number() over (partition by start_month, area_band, basis, min_households, band_key order by growth_rate desc, growth_amount desc, end_pyeong desc, name, complex_id) = 1) select start_month, area_band, basis, cast(min_households as int) as min_households, cast(band_key as int) as band_key, cast(count(*) as bigint) as complexes, cast(floor(avg(start_price) + 0.5) as int) as start_price, cast(floor(avg(end_price) + 0.5) as int) as end_price, round((avg(end_pyeong) - avg(start_pyeong)) / avg(start_pyeong), 6) as growth_rate, any_value(first.name) as top_name from ranked join first using (start_month, area_band, basis, min_households, band_key) group by 1, 2, 3, 4, 5")
 def a21_bands(spark, sf):
     path = all_snapshots(spark, sf, f"{shared(spark)}/bands-{uuid.uuid4().hex}")
     rows = spark.read.parquet(f"{path}/bands")
-    return rows.select(F.col("start_month").cast("string").alias("start_month"), "area_band", "basis", "min_households", "band_key", "complexes", "start_price", "end_price", F.round("growth_rate", 6).alias("growth_rate"), "top_name")
+    return rows.select(F.col("start_month").cast("string").alias("start_month"), "area_band", "basis", "min_households", "band_key", "complexes", "start_price", "end_price", numbers.rounded("growth_rate", 6).alias("growth_rate"), "top_name")
 
 
 @query("a21_contract", f"{ALL_BANDS}, asked as (select period, start_month, s from per, (values (null), (2)) t(s)) select cast(a.period as int) as months, cast(s as int) as sido, cast(count(complex_id) as bigint) as total, least(count(complex_id), 10) as rows, count(distinct case when s is null then sido_key else sigungu_key end) as options, concat_ws(',', case when count(complex_id) = 0 then 'empty_rows' end, case when count(complex_id) = 0 then 'empty_region_options' end) as issues from asked a left join (select * from ranked where area_band = 'all' and basis = 'start' and min_households = 100) r on r.start_month = a.start_month and (s is null or sido_key = s) group by 1, 2")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.functions import months
+from ridgeline.functions import months, numbers
 from ridgeline.plans.growth import bound_items
 from ridgeline.plans.registry import query
 from ridgeline.sources import bindings as b
@@ -163,7 +163,7 @@ def a34(spark, sf):
 def a35(spark, sf):
     c = b.complexes(spark, sf).agg(F.count("*").alias("n"), F.count_if(F.col("lat") > 37.01).alias("a"), F.count_if(F.col("households") > 0).alias("h"))
     a, h = F.try_divide("a", "n"), F.try_divide("h", "n")
-    return c.select("n", F.round(a, 6).alias("coordinates"), F.round(h, 6).alias("households"), F.when(F.col("n") == 0, "fail").when((a < 0.8) | (h < 0.5), "warn").otherwise("pass").alias("status"))
+    return c.select("n", numbers.rounded(a, 6).alias("coordinates"), numbers.rounded(h, 6).alias("households"), F.when(F.col("n") == 0, "fail").when((a < 0.8) | (h < 0.5), "warn").otherwise("pass").alias("status"))
 
 
 @query("a36_run_summary", "select case when growth_rate < 0 then 'fail' when growth_rate < 0.05 then 'warn' else 'pass' end as status, cast(count(*) as bigint) as n, max(growth_amount) as most, cast(round(avg(growth_amount)) as int) as mean, arg_max(complex_id, (growth_amount, complex_id)) as slowest from items group by 1")

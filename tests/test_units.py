@@ -127,3 +127,12 @@ def test_filters_reach_the_scan(spark, metric):
     spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
     plan = b.deals(spark, "/root/testdata/sf0.001").where("complex_id = 7").select("amount")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "EqualTo(l_suppkey,7)" in plan and "l_tax" not in plan
+
+
+def test_percent_rounds_as_sql_does(spark):
+    import duckdb
+
+    rates = [0.0715, -0.6395, -0.6385, 0.0005, -0.0005, 0.1, 0.0, None, *(i / 10_000 for i in range(-9995, 10_000, 10))]
+    want = [duckdb.execute("select round(?::double * 100, 1)", [r]).fetchall()[0][0] if r is not None else None for r in rates]
+    assert column(spark, rates, "double", numbers.percent(F.col("x"))) == want
+    assert column(spark, [1e300, -1e308], "double", numbers.rounded("x", 9)) == [1e300, -1e308]
