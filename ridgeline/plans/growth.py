@@ -215,11 +215,21 @@ def a16(spark, sf):
     return bound_items(spark, sf).select("complex_id", "types", "start_pyeong", "end_pyeong", "growth_amount", "growth_rate")
 
 
+def mean_over_period(monthly: DataFrame, first: str, last: str) -> DataFrame:
+    """Complexes with the mean over their types of each type's mean price per pyeong, and their months.
+
+    A mean of means is a sum of fractions, so its last bits follow the order of the rows: it is rounded to nine digits before
+    it is rounded half up. So halves go up whatever the order, and nothing else comes that near to one.
+    """
+    m = monthly.where(F.col("month").between(first, last))
+    types = m.groupBy("complex_id", "type_id").agg(F.avg("pyeong").alias("p"), F.collect_set("month").alias("ms"))
+    mean = numbers.js_round(numbers.rounded(F.avg("p"), 9)).cast("int")
+    return types.groupBy("complex_id").agg(mean.alias("pyeong"), F.size(F.array_distinct(F.flatten(F.collect_list("ms")))).cast("long").alias("observed_months"))
+
+
 @query("a17_mean_over_period", "with t as (select complex_id, type_id, avg(pyeong) as p from monthly where month between '199701' and '199912' group by 1, 2) select t.complex_id, cast(floor(avg(p) + 0.5) as int) as pyeong, any_value(o.n) as observed_months from t join (select complex_id, cast(count(distinct month) as bigint) as n from monthly where month between '199701' and '199912' group by 1) o using (complex_id) group by 1")
 def a17(spark, sf):
-    m = bound_monthly(spark, sf).where(F.col("month").between("199701", "199912"))
-    types = m.groupBy("complex_id", "type_id").agg(F.avg("pyeong").alias("p"), F.collect_set("month").alias("ms"))
-    return types.groupBy("complex_id").agg(numbers.js_round(F.avg("p")).cast("int").alias("pyeong"), F.size(F.array_distinct(F.flatten(F.collect_list("ms")))).cast("long").alias("observed_months"))
+    return mean_over_period(bound_monthly(spark, sf), "199701", "199912")
 
 
 @query("a18_neighborhood_rank", "with n as (select dong_key, cast(count(*) as bigint) as areas, avg(start_pyeong) as s, avg(end_pyeong) as e from ends join complexes using (complex_id) where start_pyeong is not null group by 1) select dong_key, areas, round(e / s - 1, 6) as growth_rate, cast(row_number() over (order by round(e / s - 1, 6) desc nulls last, dong_key) as int) as rank from n")

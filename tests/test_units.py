@@ -136,3 +136,16 @@ def test_percent_rounds_as_sql_does(spark):
     want = [duckdb.execute("select round(?::double * 100, 1)", [r]).fetchall()[0][0] if r is not None else None for r in rates]
     assert column(spark, rates, "double", numbers.percent(F.col("x"))) == want
     assert column(spark, [1e300, -1e308], "double", numbers.rounded("x", 9)) == [1e300, -1e308]
+
+
+def test_half_of_a_mean_of_means_goes_up_in_any_order(spark):
+    from itertools import permutations
+
+    from ridgeline.plans.growth import mean_over_period
+
+    rows = []
+    for k, order in enumerate(permutations((107_470, 141_421, 273_928))):  # 2640.5 exactly, below it as a sum of doubles
+        for t, total in enumerate(order):
+            rows += [(k, t, f"{1990 + i // 12}{i % 12 + 1:02d}", total // 66 + (i < total % 66)) for i in range(66)]
+    found = mean_over_period(spark.createDataFrame(rows, "complex_id int, type_id int, month string, pyeong int"), "199001", "199912")
+    assert {tuple(r) for r in found.collect()} == {(k, 2641, 66) for k in range(6)}
