@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,40 +17,50 @@ DEEP_CHARS = 200
 
 
 def quoted(x: Column) -> Column:
-    """A text as JSON."""
-    inside = F.to_json(F.array(x))
-    return F.substring(inside, F.lit(2), F.length(inside) - 2)
+    """A text as JSON; only one with signs to escape takes the way over an array."""
+    escaped = lambda t: once(F.to_json(F.array(t)), lambda inside: F.substring(inside, F.lit(2), F.length(inside) - 2))
+    return once(x, lambda t: F.when(t.rlike(r'["\\\x00-\x1f]'), escaped(t)).otherwise(F.concat(F.lit('"'), t, F.lit('"'))))
 
 
 def kind(v: Column) -> Column:
     """OBJECT, ARRAY, STRING, BOOLEAN, VOID, or a number's type."""
-    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+    return F.substring_index(F.substring_index(F.schema_of_variant(v), "<", 1), "(", 1)
+
+
+def once(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x) with x computed a single time: Spark computes an expression inside a lambda again at every mention, which
+    multiplies with each level of nesting."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
 
+def _inside(v: Column, of: Column, keys: int, depth: int) -> Column:
+    """An object's keys in order, each cut (of keys that agree when cut the first counts), or an array's items.
 
-def _object(v: Column, keys: int, depth: int) -> Column:
-    """Keys in order, each cut; of keys that agree when cut the first counts."""
-    entries = F.slice(F.array_sort(F.transform(F.map_keys(v.cast("map<string, variant>")), lambda k: F.struct(k.alias("k")))), 1, keys)
-    held = v.cast("map<string, variant>")
-    shown = F.transform(entries, lambda e: F.concat(quoted(F.left(e["k"], F.lit(KEY_CHARS))), F.lit(":"), bounded(F.try_element_at(held, e["k"]), depth - 1)))
-    return F.concat(F.lit("{"), F.array_join(shown, ","), F.lit("}"))
+    Both are shown by one expression, so that its size grows with the depth and not with its power of two.
+    """
+    entry = lambda p, x: F.struct(p.alias("p"), x.alias("v"))
+    pairs = once(v.cast("map<string, variant>"), lambda held: F.transform(F.slice(F.array_sort(F.map_keys(held)), 1, keys), lambda k: entry(F.concat(quoted(F.left(k, F.lit(KEY_CHARS))), F.lit(":")), F.try_element_at(held, k))))
+    items = F.transform(F.slice(v.cast("array<variant>"), 1, ITEMS), lambda x: entry(F.lit(""), x))
+    shown = F.transform(F.when(of == "OBJECT", pairs).otherwise(items), lambda e: F.concat(e["p"], bounded(e["v"], depth - 1)))
+    return F.concat(F.when(of == "OBJECT", "{").otherwise("["), F.array_join(shown, ","), F.when(of == "OBJECT", "}").otherwise("]"))
 
 
 def bounded(v: Column, depth: int = DEPTH) -> Column:
     """A VARIANT as JSON text within the bounds; null is null, numbers and booleans stay, texts and lists are cut."""
-    of = kind(v)
-    plain = F.when(v.isNull() | F.is_variant_null(v), "null").when(of == "STRING", quoted(F.left(v.cast("string"), F.lit(CHARS))))
-    if depth == 0:
-        return plain.when(of.isin("OBJECT", "ARRAY"), quoted(F.left(F.to_json(v), F.lit(DEEP_CHARS)))).otherwise(F.to_json(v))
-    items = F.transform(F.slice(v.cast("array<variant>"), 1, ITEMS), lambda x: bounded(x, depth - 1))
-    return plain.when(of == "OBJECT", _object(v, INNER_KEYS, depth)).when(of == "ARRAY", F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))).otherwise(F.to_json(v))
+
+    def shown(of: Column) -> Column:
+        inside = of.isin("OBJECT", "ARRAY")
+        plain = F.when(v.isNull() | F.is_variant_null(v), "null").when(of == "STRING", quoted(F.left(v.cast("string"), F.lit(CHARS))))
+        return plain.when(inside, quoted(F.left(F.to_json(v), F.lit(DEEP_CHARS))) if depth == 0 else _inside(v, of, INNER_KEYS, depth)).otherwise(F.to_json(v))
+
+    return once(kind(v), shown)
 
 
 def metadata(json: Column) -> Column:
     """JSON text of an event's metadata within the bounds: '{}' for what is no object or no JSON, and
     '{"truncated":true}' where more than ALL_CHARS would remain."""
-    v = F.try_parse_json(json)
-    found = F.when(kind(v) == "OBJECT", _object(v, KEYS, DEPTH + 1)).otherwise("{}")
-    return F.when(F.length(found) > ALL_CHARS, '{"truncated":true}').otherwise(F.coalesce(found, F.lit("{}")))
+    found = once(F.try_parse_json(json), lambda v: once(kind(v), lambda of: F.when(of == "OBJECT", _inside(v, of, KEYS, DEPTH + 1)).otherwise("{}")))
+    return once(found, lambda x: F.when(F.length(x) > ALL_CHARS, '{"truncated":true}').otherwise(F.coalesce(x, F.lit("{}"))))
 
 
 def number(v: Column) -> Column:

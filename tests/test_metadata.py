@@ -57,3 +57,10 @@ def test_numbers(spark):
     cases = [("3", 3.0), ('"4.5"', 4.5), ('" "', 0.0), ("true", 1.0), ("false", 0.0), ("null", 0.0), ('"x"', None), ("[1]", None), (None, None), ('"Infinity"', None)]
     rows = spark.createDataFrame(cases, "x string, want double").select(m.number(F.try_parse_json("x")).alias("got"), "want").collect()
     assert [r["got"] for r in rows] == [r["want"] for r in rows]
+
+
+def test_json_is_parsed_once_and_the_bounds_grow_with_the_depth(spark):
+    plan = lambda c: spark.createDataFrame([("{}",)], "x string").select(c.alias("c"))._jdf.queryExecution().analyzed().toString()
+    assert plan(m.metadata(F.col("x"))).count("parse_json(") == 1
+    sizes = [len(plan(m.bounded(F.try_parse_json("x"), depth))) for depth in (1, 2, 3)]
+    assert sizes[2] - sizes[1] < 1.5 * (sizes[1] - sizes[0])
