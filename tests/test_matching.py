@@ -112,3 +112,15 @@ def test_points_without_place_or_key(spark):
     got = {tuple(r) for r in grid.near_links(frame(spark, points, "id long, k int, lat double, lng double"), ["k"], 35, "id").collect()}
     assert got == {(1, 6)}
     assert grid.near_links(frame(spark, points, "id long, k int, lat double, lng double").where("false"), ["k"], 35, "id").count() == 0
+
+
+def test_copies_meet_once_and_are_all_found(spark):
+    """Forty copies on both sides: one pair of values, all pairs of rows."""
+    ids = spark.range(40)
+    keys = ids.select("id", F.lit(1).alias("s"), F.lit("동1-1").alias("k"))
+    texts = ids.select(F.col("id").alias("t"), F.lit(1).alias("s"), F.lit("강남구동1-1").alias("h"))
+    assert matching.contained_texts(keys, texts, ["s"], "k", "h").count() == 1
+    assert matching.contained_pairs(keys, texts, ["s"], "id", "k", "t", "h").distinct().count() == 1600
+    rows = frame(spark, [(1, "a", None), (2, "a", None), (3, "b", "x"), (4, None, "x")], "id long, v string, w string")
+    once, members = matching.stand_ins(rows, "id", "rep")
+    assert {r["id"] for r in once.collect()} == {1, 3, 4} and {(r["id"], r["rep"]) for r in members.collect()} == {(1, 1), (2, 1), (3, 3), (4, 4)}
