@@ -149,3 +149,12 @@ def test_half_of_a_mean_of_means_goes_up_in_any_order(spark):
             rows += [(k, t, f"{1990 + i // 12}{i % 12 + 1:02d}", total // 66 + (i < total % 66)) for i in range(66)]
     found = mean_over_period(spark.createDataFrame(rows, "complex_id int, type_id int, month string, pyeong int"), "199001", "199912")
     assert {tuple(r) for r in found.collect()} == {(k, 2641, 66) for k in range(6)}
+
+
+def test_pairs_are_shuffled_by_their_keys_alone(spark):
+    import re
+
+    pairs = spark.createDataFrame([("q", 0, 1.0, 5), ("q", 2, 2.0, 7)], "q string, lag int, off double, pyeong int")
+    plan = predictions(pairs, ["q"])._jdf.queryExecution().executedPlan().toString()
+    found = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    assert found and all(re.fullmatch(r"q#\d+, \d+", x) for x in found), found
