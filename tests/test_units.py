@@ -158,3 +158,12 @@ def test_pairs_are_shuffled_by_their_keys_alone(spark):
     plan = predictions(pairs, ["q"])._jdf.queryExecution().executedPlan().toString()
     found = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
     assert found and all(re.fullmatch(r"q#\d+, \d+", x) for x in found), found
+
+
+def test_the_report_stores_one_row_a_quote(spark, monkeypatch):
+    from ridgeline.plans import matching as m
+
+    kept, store = {}, m.entity.shared_table
+    monkeypatch.setattr(m.entity, "shared_table", lambda df, name: kept.setdefault(name, store(df, name)))
+    rows, _ = m.tested(spark, "/root/testdata/sf0.001")
+    assert kept["predictions"].count() == kept["split"].count() == rows.select(*m.QUOTE).distinct().count() < rows.count()
