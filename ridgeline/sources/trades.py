@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,19 +61,24 @@ def parse_trades(responses: DataFrame, xml: str = "xml") -> DataFrame:
 
 
 def number(x: Column) -> Column:
-    return F.replace(F.trim(x), F.lit(","), F.lit("")).try_cast("double")
+    # An empty text would be an exception inside the cast, which is slow.
+    return F.nullif(F.replace(F.trim(x), F.lit(","), F.lit("")), F.lit("")).try_cast("double")
 
 
-def normalise(items: DataFrame, source: str = "trades") -> DataFrame:
+def normalise(items: DataFrame, source: str = "trades", keep: Sequence[str] = ()) -> DataFrame:
     """item maps as deals: fields by any of their names, numbers with commas, price per pyeong, the whole item as JSON, and
-    an id that is the SHA-1 of what tells a deal. items: lawd, deal_month, item. A deal without a district code has its
-    response's."""
+    an id that is the SHA-1 of what tells a deal. items: lawd, deal_month, item; its columns in `keep` stay. A deal without
+    a district code has its response's."""
+    # A map is searched from its start for every name, in so much generated code that the JVM doesn't compile it; its JSON
+    # is read once, the known tags into a struct.
+    known = ", ".join(f"`{n}` string" for of in FIELDS.values() for n in of)
+    read = items.select("lawd", "deal_month", *keep, F.to_json("item").alias("raw")).withColumn("_known", F.from_json("raw", known))
 
     def pick(k: str) -> Column:
-        found = F.coalesce(*(F.nullif(F.trim(F.col("item")[n]), F.lit("")) for n in FIELDS[k]), F.lit(""))
+        found = F.coalesce(*(F.nullif(F.trim(F.col("_known")[n]), F.lit("")) for n in FIELDS[k]), F.lit(""))
         return number(found).cast("long") if k in WHOLE else number(found) if k == "m2" else found
 
-    out = items.select("lawd", "deal_month", *(pick(k).alias(k) for k in FIELDS), F.to_json("item").alias("raw"))
+    out = read.select("lawd", "deal_month", *keep, *(pick(k).alias(k) for k in FIELDS), "raw")
     out = out.withColumn("sgg_code", F.when(F.col("sgg_code") == "", F.col("lawd").cast("string")).otherwise(F.col("sgg_code")))
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     shown = F.when(F.col("m2") == F.floor("m2"), F.floor("m2").cast("string")).otherwise(text("m2"))
