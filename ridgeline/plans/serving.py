@@ -198,15 +198,17 @@ def t10(spark, sf):
 
 
 def responses(spark, sf) -> DataFrame:
-    """Line items as XML responses, one for each order, with escaped names, commas in numbers, and either name of a tag."""
+    """Line items as XML responses, one for each order, with escaped names, commas in numbers, and either name of a tag;
+    `lines` are their line numbers in the order of the items."""
     name = F.concat(F.lit("A&amp;B &lt;"), F.col("l_partkey").cast("string"), F.lit("&gt; "))
     part = lambda t, v: F.concat(F.lit(f"<{t}>"), v, F.lit(f"</{t}>"))
     odd, kind = F.col("l_linenumber") % 2 == 1, F.concat(F.lit("t"), (F.col("l_suppkey") % 3).cast("string"))
     more = F.concat(part("buildYear", (F.col("l_suppkey") % 60 + 1960).cast("string")), part("cdealType", F.when(F.col("l_returnflag") == "R", "O").otherwise("")), F.when(odd, part("dealingGbn", kind)).otherwise(part("거래유형", kind)), part("buyerGbn", F.col("l_returnflag")), F.when(odd, F.concat(part("sggCd", F.col("l_suppkey").cast("string")), part("unknownTag", F.lit("x")))).otherwise(""))
     item = F.concat(F.lit("<item>"), part("dealAmount", F.format_number(F.floor("l_extendedprice"), 0)), part("excluUseAr", F.col("l_quantity").cast("int").cast("string")), part("dealDay", F.dayofmonth("l_shipdate").cast("string")), F.when(F.col("l_partkey") % 2 == 0, part("aptNm", name)).otherwise(part("아파트", name)), part("floor", F.when(F.col("l_linenumber") % 3 == 0, "").otherwise(F.col("l_linenumber").cast("string"))), more, F.lit("</item>"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", item.alias("x")))), lambda s: s["x"]), "")
+    in_order = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", item.alias("x"))))
+    body = F.array_join(F.transform(in_order, lambda s: s["x"]), "")
     xml = F.concat(F.lit("<response><header><resultCode>000</resultCode></header><body><items>"), body, F.lit("</items><totalCount>"), F.count("*").cast("string"), F.lit("</totalCount></body></response>"))
-    return b.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("lawd")).agg(xml.alias("xml"), F.min(months.of(F.col("l_shipdate"))).alias("deal_month"))
+    return b.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("lawd")).agg(xml.alias("xml"), F.min(months.of(F.col("l_shipdate"))).alias("deal_month"), F.transform(in_order, lambda s: s["l_linenumber"]).alias("lines"))
 
 
 RAW = "raw as (select l_orderkey as lawd, min(strftime(l_shipdate, '%Y%m')) over (partition by l_orderkey) as deal_month, cast(floor(l_extendedprice) as bigint) as amount, cast(l_quantity as int) as m2, day(l_shipdate) as day, 'A&B <' || l_partkey || '>' as name, case when l_linenumber % 3 = 0 then null else l_linenumber end as floor from lineitem)"
@@ -227,13 +229,11 @@ def s10(spark, sf):
 @query("s10_all_fields", "select l_orderkey as lawd, cast(l_linenumber as int) as line, case when l_linenumber % 2 = 1 then cast(l_suppkey as varchar) else cast(l_orderkey as varchar) end as sgg_code, l_suppkey % 60 + 1960 as build_year, case when l_returnflag = 'R' then 'O' else '' end as cancel_type, '' as cancel_day, 't' || (l_suppkey % 3) as dealing_type, '' as agent, l_returnflag as buyer, '' as seller, case when l_linenumber % 2 = 1 then 'x' end as unknown from lineitem", base=False)
 def s10_fields(spark, sf):
     """The fields of a deal that s10 doesn't show; tags without a field stay in the raw item."""
-    pages = trades.parse_pages(responses(spark, sf)).select("lawd", "deal_month", F.posexplode("items").alias("at", "item"))
-    lines = b.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("lawd"), F.struct("l_linenumber", "l_partkey").alias("o"))
-    order = lines.groupBy("lawd").agg(F.array_sort(F.collect_list("o")).alias("os")).select("lawd", F.posexplode("os").alias("at", "o"))
-    numbered = pages.join(order, ["lawd", "at"]).withColumn("item", F.map_concat("item", F.create_map(F.lit("_line"), F.col("o.l_linenumber").cast("string"))))
-    shown = trades.normalise(numbered)
-    tag = lambda n: F.get_json_object("raw", f"$.{n}")
-    return shown.select("lawd", tag("_line").cast("int").alias("line"), "sgg_code", "build_year", "cancel_type", "cancel_day", "dealing_type", "agent", "buyer", "seller", tag("unknownTag").alias("unknown"))
+    pages = trades.parse_pages(responses(spark, sf))
+    # Outer: a plain posexplode filters on the size of its array, below the parser, and so parses everything again.
+    numbered = pages.select("lawd", "deal_month", "lines", F.posexplode_outer("items").alias("at", "item")).where("item is not null")
+    shown = trades.normalise(numbered.withColumn("line", F.get("lines", F.col("at")).cast("int")), keep=["line"])
+    return shown.select("lawd", "line", "sgg_code", "build_year", "cancel_type", "cancel_day", "dealing_type", "agent", "buyer", "seller", F.get_json_object("raw", "$.unknownTag").alias("unknown"))
 
 
 @query("s9_page_totals", "select l_orderkey as lawd, cast(count(*) as bigint) as total_count, cast(count(*) as int) as fetched, true as complete from lineitem group by 1", base=False)

@@ -39,7 +39,7 @@ def test_responses(spark):
             trades.parse_trades(rows.withColumn("xml", F.lit(bad))).collect()
 
 
-@pytest.mark.parametrize("name", ["s10_normalise_trades"])
+@pytest.mark.parametrize("name", ["s10_normalise_trades", "s10_all_fields"])
 def test_responses_are_parsed_once_by_compiled_code(spark, capsys, name):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
