@@ -8,8 +8,8 @@ filter) and the places of the shared word (positional filter) and 64-bit parity
 then verified on 64-bit hashes of all their words.
 
 A set needs one earlier match only. So the members of a group of near copies first meet two earlier sets that have two
-neighbours of their four least word hashes in common with them; the prefix join lists pairs for the sets that this leaves alone,
-and for those whose heads all fail the verification. A group of m near copies costs a few rows a member this way.
+neighbours of their four least word hashes in common with them; the prefix join lists pairs for the sets that this leaves alone.
+Those whose heads all fail the verification meet the whole group, once a pair. Other members cost a few rows each.
 """
 
 from __future__ import annotations
@@ -23,7 +23,10 @@ BUCKETS = 1 << 18  # entries of the rarity table (8 bytes each), whatever the in
 HASH_BITS = 56
 LEAST = 4  # least word hashes of a set, of which near copies share two neighbours
 LONG = 64  # words of a set from which its sketch has 128 bits
+OF_SET = ("id", "n", "sketch", "half")  # what the filters look at
+HEAD, BEFORE = 32, 16  # first words of a prefix that are counted, words before a shared one that tell whether two sets have met
 FEW = 20_000  # sets that are broadcast when left over; more are shuffled
+FEW_IDS = 500_000  # ids of 8 bytes that are broadcast
 
 
 def spaced(text: Column) -> Column:
@@ -48,8 +51,8 @@ def rarity_table(texts: DataFrame) -> DataFrame:
     """One row, one array of BUCKETS longs: how common the words of each hash bucket are over all texts, in the top byte."""
     spark = texts.sparkSession
     bucket = F.xxhash64("word").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket")
-    lines = texts.select(F.explode(F.split("text", "\n")).alias("line"))
-    counts = lines.select(F.explode(F.split("line", " ")).alias("word")).select(bucket).groupBy("bucket").agg(F.count("*").alias("n"))
+    words = texts.select(F.explode(F.split(F.translate("text", "\n", " "), " ")).alias("word"))
+    counts = words.select(bucket).groupBy("bucket").agg(F.count("*").alias("n"))
     every = spark.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"), F.lit(0).cast("long").alias("n"))
     level = F.least(F.lit(120), F.floor(F.log2(F.sum("n") + 1) * 4)).cast("long")
     levels = counts.unionByName(every).groupBy("bucket").agg(F.shiftleft(level, HASH_BITS).alias("level"))
@@ -61,7 +64,8 @@ def _codes(hashes: Column, table: Column) -> Column:
     """Sorted codes of words: rarity in the top byte, the word's hash in the other 56 bits."""
 
     def code(h: Column) -> Column:
-        return F.get(table, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
+        level = F.coalesce(F.get(table, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0).cast("long"))  # never null, so numbers are sorted as such
+        return level.bitwiseOR(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
 
     return F.sort_array(F.transform(hashes, code))
 
@@ -80,8 +84,7 @@ def line_sets(texts: DataFrame) -> DataFrame:
     least = F.transform(F.slice(by_hash, 1, LEAST), lambda h: h.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
     n = F.size("codes")
     prefix = F.transform(F.slice("codes", 1, F.when(n > 4, n - _ceil(4, n, 5) + 1).otherwise(0)), lambda c: c.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    bits = F.array(*(F.lit(i).cast("long") for i in (*(1 << i for i in range(63)), -(1 << 63))))
-    bit = lambda c: F.get(bits, F.shiftright(c, 31).bitwiseAND(F.lit(63)).cast("int"))
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(c, 31).bitwiseAND(F.lit(63)).cast("int"))
     odd = lambda codes: F.aggregate(codes, F.lit(0).cast("long"), lambda seen, c: seen.bitwiseXOR(bit(c)))
     half = F.when(n > LONG, odd(F.filter("codes", lambda c: F.shiftright(c, 37).bitwiseAND(F.lit(1)) == 1))).otherwise(F.lit(0).cast("long"))
     first = F.struct("doc", "line_no", n.alias("n"), least.alias("least"), odd("codes").alias("sketch"), half.alias("half"), prefix.alias("prefix")).alias("s")
@@ -108,12 +111,17 @@ def heads_met(sets: DataFrame) -> DataFrame:
 
     Sets with two neighbours among their least hashes in common meet the earliest of them and the one with most copies.
     """
-    pairs = F.array(*(F.struct(F.get("least", i).alias("x"), F.get("least", i + 1).alias("y")) for i in range(LEAST - 1)))
-    keyed = sets.where("n > 4").select(F.struct("id", "n", "sketch", "half").alias("a"), "copies", F.explode(pairs).alias("key"))
-    met = F.array_distinct(F.array(F.min("a"), F.max_by("a", F.struct("copies", -F.col("a.id"))))).alias("met")
-    heads = written(keyed.groupBy("key").agg(met, F.count("*").alias("all")).where("all > 1").drop("all"), "line-heads")
-    both = keyed.join(heads, "key").select("a", F.explode("met").alias("b")).where("b.id < a.id")
-    both = both.select(*(F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in ("id", "n", "sketch", "half")))
+    word = lambda i: F.get("least", i).cast("long")
+    pairs = F.array(*(F.shiftleft(word(i), 31).bitwiseOR(word(i + 1)) for i in range(LEAST - 1)))
+    most = F.shiftleft(F.least("copies", F.lit(127)).cast("long"), 56) - F.col("id")  # by copies, then the earliest
+    keyed = sets.where("n > 4").select(*OF_SET, most.alias("most"), F.explode(pairs).alias("key"))
+    # Numbers alone, so that groups are hashed and not sorted.
+    met = [f(c, by).alias(f"{c}_{by}") for f, by in ((F.min_by, "id"), (F.max_by, "most")) for c in OF_SET]
+    groups = keyed.groupBy("key").agg(*met, F.count("*").alias("all")).where("all > 1")
+    of = lambda by: F.struct(*(F.col(f"{c}_{by}").alias(c) for c in OF_SET))
+    heads = written(groups.select("key", F.array_distinct(F.array(of("id"), of("most"))).alias("met")), "line-heads")
+    both = keyed.select(F.struct(*OF_SET).alias("a"), "key").join(heads, "key").select("a", F.explode("met").alias("b")).where("b.id < a.id")
+    both = both.select(*(F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in OF_SET))
     return both.where(_may_match("a", "b")).select(F.col("id_a").alias("later"), F.col("id_b").alias("earlier")).distinct()
 
 
@@ -136,6 +144,28 @@ def candidate_pairs(later: DataFrame, sets: DataFrame) -> DataFrame:
     return met.where((F.least(F.col("both") + rest, first) * 9) >= (n_a + n_b) * 4).select("later", "earlier")
 
 
+def left_over_pairs(later: DataFrame, sets: DataFrame) -> DataFrame:
+    """(later, earlier): the sets of `later`, which has the columns of sets, with the earlier ones of `sets` that the
+    prefix and length filters and the sketches leave; almost always once a pair.
+
+    Near copies share most words of their prefixes. They meet at the first of them and are not listed again where
+    the BEFORE words before it, in both, have one in common: the join makes a row a pair and not one a shared word.
+    """
+
+    def at(of: DataFrame, side: str) -> DataFrame:
+        placed = of.where("n > 4").select(*OF_SET, "prefix", F.posexplode("prefix").alias("at", "code"))
+        seen = F.slice("prefix", F.greatest(F.col("at") - BEFORE, F.lit(0)) + 1, F.least("at", F.lit(BEFORE)))
+        return placed.select("code", *(F.col(c).alias(f"{c}_{side}") for c in OF_SET), F.slice("prefix", 1, HEAD).alias(f"head_{side}"), seen.alias(f"seen_{side}"))
+
+    n_a, n_b = F.col("n_a"), F.col("n_b")
+    beyond = lambda n: F.greatest(n - _ceil(4, n, 5) + 1 - HEAD, F.lit(0))
+    # Words shared by the prefixes, or more where words have equal codes or lie beyond the heads; see candidate_pairs().
+    shared = F.size("head_a") - F.size(F.array_except("head_a", "head_b")) + beyond(n_a) + beyond(n_b)
+    rest = F.greatest(_ceil(4, n_a, 5), _ceil(4, n_b, 5)) - 1
+    met = at(later, "a").join(at(sets, "b"), "code").where((F.col("id_b") < F.col("id_a")) & _may_match("a", "b") & ~F.arrays_overlap("seen_a", "seen_b") & ((shared + rest) * 9 >= (n_a + n_b) * 4))
+    return met.select(F.col("id_a").alias("later"), F.col("id_b").alias("earlier"))
+
+
 def line_words(asked: DataFrame, docs: DataFrame, left_over: bool) -> DataFrame:
     """(id, words): the hashes of the words of each set of `asked` (id, doc, line_no), a written table; left_over: it may
     be small enough to be broadcast."""
@@ -159,12 +189,12 @@ def repeated_sets(sets: DataFrame, docs: DataFrame) -> DataFrame:
     near = written(heads_met(sets), "line-near")
     ids = near.select(F.col("later").alias("id")).distinct()
     # Both sides of the join are the same rows, shuffled once: a set that met a head has no id below its upto.
-    known = sets.drop("doc", "line_no", "least", "copies").join(ids.withColumn("upto", F.lit(-1).cast("long")), "id", "left").withColumn("upto", F.coalesce("upto", "id"))
+    known = sets.drop("doc", "line_no", "least", "copies").join(few(ids.withColumn("upto", F.lit(-1).cast("long")), near, FEW_IDS), "id", "left").withColumn("upto", F.coalesce("upto", "id"))
     pairs = written(near.unionByName(candidate_pairs(known, known)), "line-pairs")
     settled = written(matches(pairs, sets, docs).select(F.col("later").alias("id")).distinct(), "line-settled")
     # Sets whose heads all failed have not met the others yet.
-    failed = written(sets.withColumn("upto", F.col("id")).join(ids, "id", "left_semi").join(settled, "id", "left_anti"), "line-failed")
-    more = written(candidate_pairs(few(failed, failed, FEW), sets), "line-more")
+    failed = written(sets.join(ids, "id", "left_semi").join(settled, "id", "left_anti"), "line-failed")
+    more = written(left_over_pairs(few(failed, failed, FEW), sets).distinct(), "line-more")
     return settled.unionByName(matches(more, sets, docs, left_over=True).select(F.col("later").alias("id")).distinct())
 
 
