@@ -155,7 +155,7 @@ def left_over_pairs(later: DataFrame, sets: DataFrame) -> DataFrame:
     def at(of: DataFrame, side: str) -> DataFrame:
         placed = of.where("n > 4").select(*OF_SET, "prefix", F.posexplode("prefix").alias("at", "code"))
         seen = F.slice("prefix", F.greatest(F.col("at") - BEFORE, F.lit(0)) + 1, F.least("at", F.lit(BEFORE)))
-        return placed.select("code", *(F.col(c).alias(f"{c}_{side}") for c in OF_SET), F.slice("prefix", 1, HEAD).alias(f"head_{side}"), seen.alias(f"seen_{side}"))
+        return placed.select("code", *(F.col(c).alias(f"{c}_{side}") for c in (*OF_SET, "at")), F.slice("prefix", 1, HEAD).alias(f"head_{side}"), seen.alias(f"seen_{side}"))
 
     n_a, n_b = F.col("n_a"), F.col("n_b")
     beyond = lambda n: F.greatest(n - _ceil(4, n, 5) + 1 - HEAD, F.lit(0))
@@ -163,7 +163,14 @@ def left_over_pairs(later: DataFrame, sets: DataFrame) -> DataFrame:
     shared = F.size("head_a") - F.size(F.array_except("head_a", "head_b")) + beyond(n_a) + beyond(n_b)
     rest = F.greatest(_ceil(4, n_a, 5), _ceil(4, n_b, 5)) - 1
     met = at(later, "a").join(at(sets, "b"), "code").where((F.col("id_b") < F.col("id_a")) & _may_match("a", "b") & ~F.arrays_overlap("seen_a", "seen_b") & ((shared + rest) * 9 >= (n_a + n_b) * 4))
-    return met.select(F.col("id_a").alias("later"), F.col("id_b").alias("earlier"))
+    return met.select(F.col("id_a").alias("later"), F.col("id_b").alias("earlier"), "n_a", "n_b", "at_a", "at_b")
+
+
+def once(met: DataFrame) -> DataFrame:
+    """(later, earlier) of left_over_pairs, each once, if what follows the first shared word of both is enough."""
+    pairs = met.groupBy("later", "earlier").agg(F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.min("at_a").alias("at_a"), F.min("at_b").alias("at_b"))
+    first = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    return pairs.where(first * 9 >= (F.col("n_a") + F.col("n_b")) * 4).select("later", "earlier")
 
 
 def line_words(asked: DataFrame, docs: DataFrame, left_over: bool) -> DataFrame:
@@ -194,7 +201,7 @@ def repeated_sets(sets: DataFrame, docs: DataFrame) -> DataFrame:
     settled = written(matches(pairs, sets, docs).select(F.col("later").alias("id")).distinct(), "line-settled")
     # Sets whose heads all failed have not met the others yet.
     failed = written(sets.join(ids, "id", "left_semi").join(settled, "id", "left_anti"), "line-failed")
-    more = written(left_over_pairs(few(failed, failed, FEW), sets).distinct(), "line-more")
+    more = written(once(left_over_pairs(few(failed, failed, FEW), sets)), "line-more")
     return settled.unionByName(matches(more, sets, docs, left_over=True).select(F.col("later").alias("id")).distinct())
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ridgeline.llm.bpe import decode, encode, round_trip
 from ridgeline.llm.exact_dedup import exact_dedup
 from ridgeline.llm.language import keep_known, learn, predict
-from ridgeline.llm.line_dedup import candidate_pairs, dedup_lines, left_over_pairs, line_sets
+from ridgeline.llm.line_dedup import candidate_pairs, dedup_lines, left_over_pairs, line_sets, once
 from ridgeline.llm.media import decode_media, encode_media, media_digest, payload
 from ridgeline.llm.packing import pack, shortest_pack_first, slots
 from ridgeline.llm.pii import KINDS, base_spans, find, find_personal_data, mask, tokens, train
@@ -205,6 +205,7 @@ def test_sets_left_over_meet_once_a_pair(spark):
     of = {r["id"]: set(texts[r["doc"]].split()) for r in sets.collect()}
     alike = {(a, b) for a in of for b in of if b < a and 9 * len(of[a] & of[b]) >= 4 * (len(of[a]) + len(of[b]))}
     assert len(alike) > 500 and alike <= pairs and len(found) < 1.2 * len(pairs)
+    assert alike <= {(r["later"], r["earlier"]) for r in once(left_over_pairs(sets, sets)).collect()} <= pairs
     assert alike <= {(r["later"], r["earlier"]) for r in candidate_pairs(sets.withColumn("upto", F.col("id")), sets.withColumn("upto", F.col("id"))).collect()}
 
 
