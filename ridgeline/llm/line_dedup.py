@@ -40,7 +40,9 @@ def spaced(text: Column) -> Column:
 
 def _hashes(line: Column) -> Column:
     """64-bit hashes of the distinct words of a line."""
-    return F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    found = F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)))
+    gaps = F.contains(F.concat(F.lit(" "), line, F.lit(" ")), F.lit("  "))  # else no word is empty
+    return F.when(gaps, F.array_remove(found, F.xxhash64(F.lit("")))).otherwise(found)
 
 
 def _ceil(times: int, n: Column, by: int) -> Column:
@@ -51,7 +53,7 @@ def rarity_table(texts: DataFrame) -> DataFrame:
     """One row, one array of BUCKETS longs: how common the words of each hash bucket are over all texts, in the top byte."""
     spark = texts.sparkSession
     bucket = F.xxhash64("word").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket")
-    words = texts.select(F.explode(F.split(F.translate("text", "\n", " "), " ")).alias("word"))
+    words = texts.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("word"))
     counts = words.select(bucket).groupBy("bucket").agg(F.count("*").alias("n"))
     every = spark.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"), F.lit(0).cast("long").alias("n"))
     level = F.least(F.lit(120), F.floor(F.log2(F.sum("n") + 1) * 4)).cast("long")
@@ -79,15 +81,16 @@ def line_sets(texts: DataFrame) -> DataFrame:
     texts = texts.select("doc", spaced(F.col("text")).alias("text"))
     table = rarity_table(texts)
     lines = texts.select("doc", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    coded = lines.withColumn("table", table.scalar()).select("doc", "line_no", _codes(_hashes(F.col("line")), F.col("table")).alias("codes"))
-    by_hash = F.sort_array(F.transform("codes", lambda c: c.bitwiseAND(F.lit((1 << HASH_BITS) - 1))))
-    least = F.transform(F.slice(by_hash, 1, LEAST), lambda h: h.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    hashed = lines.select("doc", "line_no", _hashes(F.col("line")).alias("hashes"))
+    least = F.transform(F.slice(F.sort_array("hashes"), 1, LEAST), lambda h: h.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    # The table comes in where hashes are used twice: projections then meet such that it is never copied into a row.
+    coded = hashed.select("doc", "line_no", least.alias("least"), "hashes", table.scalar().alias("table")).select("doc", "line_no", "least", _codes(F.col("hashes"), F.col("table")).alias("codes"))
     n = F.size("codes")
     prefix = F.transform(F.slice("codes", 1, F.when(n > 4, n - _ceil(4, n, 5) + 1).otherwise(0)), lambda c: c.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(c, 31).bitwiseAND(F.lit(63)).cast("int"))
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))
     odd = lambda codes: F.aggregate(codes, F.lit(0).cast("long"), lambda seen, c: seen.bitwiseXOR(bit(c)))
-    half = F.when(n > LONG, odd(F.filter("codes", lambda c: F.shiftright(c, 37).bitwiseAND(F.lit(1)) == 1))).otherwise(F.lit(0).cast("long"))
-    first = F.struct("doc", "line_no", n.alias("n"), least.alias("least"), odd("codes").alias("sketch"), half.alias("half"), prefix.alias("prefix")).alias("s")
+    half = F.when(n > LONG, odd(F.filter("codes", lambda c: c.bitwiseAND(F.lit(64)) != 0))).otherwise(F.lit(0).cast("long"))
+    first = F.struct("doc", "line_no", n.alias("n"), "least", odd("codes").alias("sketch"), half.alias("half"), prefix.alias("prefix")).alias("s")
     keyed = coded.select(F.xxhash64("codes").alias("k1"), F.hash("codes").alias("k2"), first)
     sets = keyed.groupBy("k1", "k2").agg(F.min("s").alias("s"), F.count("*").cast("int").alias("copies"))
     return sets.select("s.*", "copies").where("n > 0").orderBy("doc", "line_no").withColumn("id", F.monotonically_increasing_id())
@@ -125,23 +128,44 @@ def heads_met(sets: DataFrame) -> DataFrame:
     return both.where(_may_match("a", "b")).select(F.col("id_a").alias("later"), F.col("id_b").alias("earlier")).distinct()
 
 
-def candidate_pairs(later: DataFrame, sets: DataFrame) -> DataFrame:
-    """(later, earlier): the sets of `later`, which has the columns of sets and `upto`, with the sets of ids below upto that
-    the prefix, length and positional filters and the sketches leave; each pair once.
+def candidate_rows(later: DataFrame, sets: DataFrame) -> DataFrame:
+    """(later, earlier), few times a pair: the sets of `later` whose upto isn't below their id with those of lower ids that
+    the prefix, length and positional filters and the sketches leave. Both have the columns of sets and `upto`.
 
     Prefixes that two similar sets share by `both` words end in one of them with both in all; what the other may add is
-    its rest, so pairs with too few words shared in their prefixes fall too.
+    its rest, so pairs with too few words shared in their prefixes fall too. `both` is bounded by the bits on which the
+    words of both prefixes fall, and by the words of a prefix that share a bit.
+
+    Near copies share most words of their prefixes. A row is left out where one of the two words before the shared one
+    is the same in both: the pair has met there. So a pair is listed for its first shared word and after gaps.
     """
-    at = lambda of, side, more: of.where("n > 4").select(*(F.col(c).alias(f"{c}_{side}") for c in (*more, "id", "n", "sketch", "half")), F.posexplode("prefix").alias(f"at_{side}", "code"))
-    more = ["upto"] if "upto" in sets.columns else []
+    bits = F.aggregate("prefix", F.lit(0).cast("long"), lambda seen, c: seen.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)))))
+    before = lambda i: F.coalesce(F.get("prefix", F.col("at") - i), F.lit(0)).cast("long")
+    # Places are below 0 for sets that list nothing, so the same frame on both sides is shuffled once.
+    place = F.when(F.col("upto") < F.col("id"), -1 - F.col("at")).otherwise(F.col("at"))
+    row = {c: F.col(c) for c in (*OF_SET, "bits")} | {"at": place, "seen": F.shiftleft(before(1), 31).bitwiseOR(before(2))}
+
+    def at(of: DataFrame, side: str) -> DataFrame:
+        one = of.where("n > 4").select(*OF_SET, "upto", "prefix", bits.alias("bits"))
+        return one.select("*", F.posexplode("prefix").alias("at", "code")).select("code", *(v.alias(f"{c}_{side}") for c, v in row.items()))
+
     n_a, n_b = F.col("n_a"), F.col("n_b")
-    # At a shared word all before it may be shared, at the first one none is.
-    room = F.least("at_a", "at_b") + F.least(n_a - F.col("at_a"), n_b - F.col("at_b"))
-    met = at(later, "a", ["upto"]).join(at(sets, "b", more), "code").where((F.col("id_b") < F.col("upto_a")) & _may_match("a", "b") & (room * 9 >= (n_a + n_b) * 4))
-    met = met.groupBy(F.col("upto_a").alias("later"), F.col("id_b").alias("earlier")).agg(F.count("*").alias("both"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.min("at_a").alias("at_a"), F.min("at_b").alias("at_b"))
+    words = lambda n: n - _ceil(4, n, 5) + 1
+    both = F.bit_count(F.col("bits_a").bitwiseAND(F.col("bits_b"))) + F.least(words(n_a) - F.bit_count("bits_a"), words(n_b) - F.bit_count("bits_b"))
     rest = F.greatest(_ceil(4, n_a, 5), _ceil(4, n_b, 5)) - 1
-    first = F.least(n_a - F.col("at_a"), n_b - F.col("at_b"))
-    return met.where((F.least(F.col("both") + rest, first) * 9) >= (n_a + n_b) * 4).select("later", "earlier")
+    # At the first shared word of a pair, which is always listed, none before it is shared.
+    most = F.least(both + rest, n_a - F.col("at_a"), n_b - F.greatest(F.col("at_b"), -1 - F.col("at_b")))
+    word = lambda s, i: F.shiftright(f"seen_{s}", 31) if i == 1 else F.col(f"seen_{s}").bitwiseAND(F.lit(0x7FFFFFFF))
+    met = F.lit(False)
+    for i in (1, 2):
+        met = met | (word("a", i) > 0) & ((word("a", i) == word("b", 1)) | (word("a", i) == word("b", 2)))
+    found = at(later, "a").join(at(sets, "b"), "code").where((F.col("id_b") < F.col("id_a")) & (F.col("at_a") >= 0) & _may_match("a", "b") & (most * 9 >= (n_a + n_b) * 4) & ~met)
+    return found.select(F.col("id_a").alias("later"), F.col("id_b").alias("earlier"))
+
+
+def candidate_pairs(later: DataFrame, sets: DataFrame) -> DataFrame:
+    """(later, earlier) of candidate_rows, each pair once."""
+    return candidate_rows(later, sets).distinct()
 
 
 def left_over_pairs(later: DataFrame, sets: DataFrame) -> DataFrame:
@@ -184,7 +208,8 @@ def line_words(asked: DataFrame, docs: DataFrame, left_over: bool) -> DataFrame:
 
 def matches(pairs: DataFrame, sets: DataFrame, docs: DataFrame, left_over: bool = False) -> DataFrame:
     """The rows of pairs (later, earlier) whose sets have Jaccard >= 4/5."""
-    asked = pairs.select(F.explode(F.array("later", "earlier")).alias("id")).distinct().join(sets.select("id", "doc", "line_no"), "id")
+    ids = pairs.select(F.col("later").alias("id")).distinct().unionByName(pairs.select(F.col("earlier").alias("id")).distinct()).distinct()
+    asked = ids.join(sets.select("id", "doc", "line_no"), "id")
     words = written(line_words(written(asked, "line-asked"), docs, left_over), "line-words")
     of = lambda side: words.select(F.col("id").alias(side), F.col("words").alias(f"{side}_words"))
     both = pairs.join(of("earlier"), "earlier").join(of("later"), "later")

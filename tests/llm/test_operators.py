@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ridgeline.llm.bpe import decode, encode, round_trip
 from ridgeline.llm.exact_dedup import exact_dedup
 from ridgeline.llm.language import keep_known, learn, predict
-from ridgeline.llm.line_dedup import candidate_pairs, dedup_lines, left_over_pairs, line_sets, once
+from ridgeline.llm.line_dedup import candidate_pairs, candidate_rows, dedup_lines, left_over_pairs, line_sets, once
 from ridgeline.llm.media import decode_media, encode_media, media_digest, payload
 from ridgeline.llm.packing import pack, shortest_pack_first, slots
 from ridgeline.llm.pii import KINDS, base_spans, find, find_personal_data, mask, tokens, train
@@ -209,6 +209,31 @@ def test_sets_left_over_meet_once_a_pair(spark):
     assert alike <= {(r["later"], r["earlier"]) for r in candidate_pairs(sets.withColumn("upto", F.col("id")), sets.withColumn("upto", F.col("id"))).collect()}
 
 
+def test_candidates_meet_few_times_a_pair(spark):
+    """Round 3: the prefix join of sets that met no head made a row for each shared word of their prefixes."""
+    rng = np.random.default_rng(6)
+    texts = []
+    for size in (15, 60, 120, 420):
+        words = [f"w{size}x{i}" for i in range(size)]
+        for _ in range(30):
+            other = list(words)
+            for at in rng.choice(size, int(rng.integers(0, max(2, size // 9))), replace=False):
+                other[at] = f"o{rng.integers(1 << 40)}"
+            texts.append(" ".join(other))
+    sets = line_sets(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc long, text string")).persist()
+    rows = sets.collect()
+    of, prefix = {r["id"]: set(texts[r["doc"]].split()) for r in rows}, {r["id"]: set(r["prefix"]) for r in rows}
+    alike = {(a, b) for a in of for b in of if b < a and 9 * len(of[a] & of[b]) >= 4 * (len(of[a]) + len(of[b]))}
+    every = sets.withColumn("upto", F.col("id"))
+    found = [tuple(r) for r in candidate_rows(every, every).collect()]
+    assert len(alike) > 300 and alike <= {*found} and len(found) < 2.5 * len({*found})
+    assert sum(len(prefix[a] & prefix[b]) for a, b in alike) > 2 * len(found)
+    alone = {r["id"] for r in rows if r["doc"] % 2 == 0}
+    half = sets.withColumn("upto", F.when(F.col("doc") % 2 == 0, F.col("id")).otherwise(-1))
+    left = {tuple(r) for r in candidate_pairs(half, half).collect()}
+    assert {(a, b) for a, b in alike if a in alone} <= left and {a for a, _ in left} <= alone
+
+
 def test_language(spark):
     rng = np.random.default_rng(3)
     parts = {"en": ["the", "ing", "wh", "and", "th", "ed"], "fr": ["eau", "é", "que", "oi", "tion", "ai"], "de": ["sch", "ü", "ich", "ung", "ein", "z"]}
