@@ -10,6 +10,9 @@ then verified on 64-bit hashes of all their words.
 A set needs one earlier match only. So the members of a group of near copies first meet two earlier sets that have two
 neighbours of their four least word hashes in common with them; the prefix join lists pairs for the sets that this leaves alone.
 Those whose heads all fail the verification meet the whole group, once a pair. Other members cost a few rows each.
+
+Sets of less than four words have no similar ones. One of four is similar to those of five that hold it, and to no other;
+a set of five is looked up by each four of its words.
 """
 
 from __future__ import annotations
@@ -73,10 +76,11 @@ def _codes(hashes: Column, table: Column) -> Column:
 
 
 def line_sets(texts: DataFrame) -> DataFrame:
-    """One row per distinct set of words: id, n, its first line (doc, line_no), copies, its least hashes, sketch and prefix.
+    """One row per distinct set of words: id, n, its first line (doc, line_no), copies, its least hashes, sketch, prefix and kin.
 
     texts: doc, text. Ids follow the order of first lines. Sets are told apart by 96 bits of hashes of all their codes.
-    The prefix holds 31 bits of each code; a sketch bit is the parity of the number of words whose hash falls on it.
+    The prefix holds 31 bits of each code; a sketch bit is the parity of the number of words whose hash falls on it; kin
+    are the keys of a set of four words and of the fours of a set of five.
     """
     texts = texts.select("doc", spaced(F.col("text")).alias("text"))
     table = rarity_table(texts)
@@ -90,7 +94,9 @@ def line_sets(texts: DataFrame) -> DataFrame:
     bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))
     odd = lambda codes: F.aggregate(codes, F.lit(0).cast("long"), lambda seen, c: seen.bitwiseXOR(bit(c)))
     half = F.when(n > LONG, odd(F.filter("codes", lambda c: c.bitwiseAND(F.lit(64)) != 0))).otherwise(F.lit(0).cast("long"))
-    first = F.struct("doc", "line_no", n.alias("n"), "least", odd("codes").alias("sketch"), half.alias("half"), prefix.alias("prefix")).alias("s")
+    whole = F.aggregate("codes", F.lit(0).cast("long"), lambda seen, c: seen.bitwiseXOR(c))
+    kin = F.when(n == 5, F.transform("codes", lambda c: whole.bitwiseXOR(c))).when(n == 4, F.array(whole))
+    first = F.struct("doc", "line_no", n.alias("n"), "least", odd("codes").alias("sketch"), half.alias("half"), prefix.alias("prefix"), kin.alias("kin")).alias("s")
     keyed = coded.select(F.xxhash64("codes").alias("k1"), F.hash("codes").alias("k2"), first)
     sets = keyed.groupBy("k1", "k2").agg(F.min("s").alias("s"), F.count("*").cast("int").alias("copies"))
     return sets.select("s.*", "copies").where("n > 0").orderBy("doc", "line_no").withColumn("id", F.monotonically_increasing_id())
@@ -128,6 +134,13 @@ def heads_met(sets: DataFrame) -> DataFrame:
     return both.where(_may_match("a", "b")).select(F.col("id_a").alias("later"), F.col("id_b").alias("earlier")).distinct()
 
 
+def fours_met(sets: DataFrame) -> DataFrame:
+    """(later, earlier) of each set of four words and each set of five that holds them; five rows for a set of five at most."""
+    of = lambda n: sets.where(F.col("n") == n).select(F.explode("kin").alias("key"), F.col("id").alias(f"of_{n}"))
+    met = of(4).join(of(5), "key")
+    return met.select(F.greatest("of_4", "of_5").alias("later"), F.least("of_4", "of_5").alias("earlier"))
+
+
 def candidate_rows(later: DataFrame, sets: DataFrame) -> DataFrame:
     """(later, earlier), few times a pair: the sets of `later` whose upto isn't below their id with those of lower ids that
     the prefix, length and positional filters and the sketches leave. Both have the columns of sets and `upto`.
@@ -221,8 +234,8 @@ def repeated_sets(sets: DataFrame, docs: DataFrame) -> DataFrame:
     near = written(heads_met(sets), "line-near")
     ids = near.select(F.col("later").alias("id")).distinct()
     # Both sides of the join are the same rows, shuffled once: a set that met a head has no id below its upto.
-    known = sets.drop("doc", "line_no", "least", "copies").join(few(ids.withColumn("upto", F.lit(-1).cast("long")), near, FEW_IDS), "id", "left").withColumn("upto", F.coalesce("upto", "id"))
-    pairs = written(near.unionByName(candidate_pairs(known, known)), "line-pairs")
+    known = sets.drop("doc", "line_no", "least", "copies", "kin").join(few(ids.withColumn("upto", F.lit(-1).cast("long")), near, FEW_IDS), "id", "left").withColumn("upto", F.coalesce("upto", "id"))
+    pairs = written(near.unionByName(candidate_pairs(known, known)).unionByName(fours_met(sets)), "line-pairs")
     settled = written(matches(pairs, sets, docs).select(F.col("later").alias("id")).distinct(), "line-settled")
     # Sets whose heads all failed have not met the others yet.
     failed = written(sets.join(ids, "id", "left_semi").join(settled, "id", "left_anti"), "line-failed")
