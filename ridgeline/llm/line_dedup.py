@@ -99,7 +99,9 @@ def line_sets(texts: DataFrame) -> DataFrame:
     first = F.struct("doc", "line_no", n.alias("n"), "least", odd("codes").alias("sketch"), half.alias("half"), prefix.alias("prefix"), kin.alias("kin")).alias("s")
     keyed = coded.select(F.xxhash64("codes").alias("k1"), F.hash("codes").alias("k2"), first)
     sets = keyed.groupBy("k1", "k2").agg(F.min("s").alias("s"), F.count("*").cast("int").alias("copies"))
-    return sets.select("s.*", "copies").where("n > 0").orderBy("doc", "line_no").withColumn("id", F.monotonically_increasing_id())
+    # Not where the prefixes meet: a lambda there would make two shuffles of what is one.
+    bits = F.aggregate("prefix", F.lit(0).cast("long"), lambda seen, c: seen.bitwiseOR(bit(c)))
+    return sets.select("s.*", "copies").where("n > 0").withColumn("bits", bits).orderBy("doc", "line_no").withColumn("id", F.monotonically_increasing_id())
 
 
 def _may_match(a: str, b: str) -> Column:
@@ -152,14 +154,13 @@ def candidate_rows(later: DataFrame, sets: DataFrame) -> DataFrame:
     Near copies share most words of their prefixes. A row is left out where one of the two words before the shared one
     is the same in both: the pair has met there. So a pair is listed for its first shared word and after gaps.
     """
-    bits = F.aggregate("prefix", F.lit(0).cast("long"), lambda seen, c: seen.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)))))
     before = lambda i: F.coalesce(F.get("prefix", F.col("at") - i), F.lit(0)).cast("long")
     # Places are below 0 for sets that list nothing, so the same frame on both sides is shuffled once.
     place = F.when(F.col("upto") < F.col("id"), -1 - F.col("at")).otherwise(F.col("at"))
     row = {c: F.col(c) for c in (*OF_SET, "bits")} | {"at": place, "seen": F.shiftleft(before(1), 31).bitwiseOR(before(2))}
 
     def at(of: DataFrame, side: str) -> DataFrame:
-        one = of.where("n > 4").select(*OF_SET, "upto", "prefix", bits.alias("bits"))
+        one = of.where("n > 4 and id is not null").select(*OF_SET, "upto", "prefix", "bits")  # as the join asks of one side
         return one.select("*", F.posexplode("prefix").alias("at", "code")).select("code", *(v.alias(f"{c}_{side}") for c, v in row.items()))
 
     n_a, n_b = F.col("n_a"), F.col("n_b")
@@ -172,7 +173,9 @@ def candidate_rows(later: DataFrame, sets: DataFrame) -> DataFrame:
     met = F.lit(False)
     for i in (1, 2):
         met = met | (word("a", i) > 0) & ((word("a", i) == word("b", 1)) | (word("a", i) == word("b", 2)))
-    found = at(later, "a").join(at(sets, "b"), "code").where((F.col("id_b") < F.col("id_a")) & (F.col("at_a") >= 0) & _may_match("a", "b") & (most * 9 >= (n_a + n_b) * 4) & ~met)
+    # A condition on both sides: one on at_a alone would be moved below the shuffle of that side, which then would differ.
+    earlier = F.col("id_b") < F.when(F.col("at_a") >= 0, F.col("id_a")).otherwise(-1)
+    found = at(later, "a").join(at(sets, "b"), "code").where(earlier & _may_match("a", "b") & (most * 9 >= (n_a + n_b) * 4) & ~met)
     return found.select(F.col("id_a").alias("later"), F.col("id_b").alias("earlier"))
 
 
